@@ -118,7 +118,7 @@ def title_entity_overlap(entities: Column | str, title: Column | str, lang: Colu
         ents,
         lambda e: (F.length(e["text"]) > 0)
         & F.array_contains(valid, e["label"])
-        & ((F.locate(e["text"], t) > 0) | (F.locate(t, e["text"]) > 0)),
+        & (t.contains(e["text"]) | e["text"].contains(t)),
     )
 
 
