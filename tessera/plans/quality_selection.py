@@ -26,6 +26,7 @@ from ..functions.text import is_blank
 from ..operators.embed import embed_texts
 from ..operators.entropy import semantic_entropy_column
 from ..operators.knn import knn_mean_distance
+from ..session import cut_lineage
 from ..operators.quality import cluster_scores, density_mask, split_top_fraction, top_texts
 
 GROUP = ["lang", "cluster_id"]
@@ -66,7 +67,8 @@ def score_clusters(
     if vec_col is None:
         with_text = embed_texts(with_text, "text", "vec", embedder, normalize=True)
         vec_col = "vec"
-    dist = knn_mean_distance(with_text, GROUP, "idx", vec_col, k=k)
+    # materialised once: the median and the mask must see the very same values
+    dist = cut_lineage(knn_mean_distance(with_text, GROUP, "idx", vec_col, k=k))
     masked = density_mask(dist, GROUP, "idx")
     info = with_text.select(*GROUP, "idx", "title", "text", order_col) if order_col != "idx" else with_text.select(
         *GROUP, "idx", "title", "text"
