@@ -57,10 +57,11 @@ def title_invalid_class() -> str:
 TOKEN_PATTERN = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 # Runs of capitalised words (Latin, Greek, Cyrillic, ...) for the built-in
-# recogniser. Han/Kana runs are matched separately for zh/ja.
+# recogniser. Han/Katakana runs are matched separately for zh/ja.
 CAPITALISED_RUN_PATTERN = r"\p{Lu}[\p{L}\p{M}]*(?: \p{Lu}[\p{L}\p{M}]*)*"
-CJK_RUN_PATTERN_JAVA = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+"
-CJK_RUN_PATTERN_RE2 = r"[\p{Han}\p{Hiragana}\p{Katakana}]+"
+# Han or Katakana runs (Hiragana is mostly particles and inflection).
+CJK_RUN_PATTERN_JAVA = r"[\p{IsHan}\p{IsKatakana}\x{30fc}]+"
+CJK_RUN_PATTERN_RE2 = r"[\p{Han}\p{Katakana}\x{30fc}]+"
 
 
 def py_strip(col: Column | str) -> Column:

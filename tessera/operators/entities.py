@@ -1,7 +1,7 @@
 """Entity annotation and title-entity selection (stage 1).
 
 The built-in recogniser is model-free and deterministic: spans are runs of
-capitalised words (Han/Kana runs for zh/ja) found by ``regexp_extract_all``;
+capitalised words (Han/Katakana runs for zh/ja) found by ``regexp_extract_all``;
 each span gets a label picked by ``md5(span)`` from the language's label
 palette. It is expressed with built-in column functions only, so the whole
 selection stage stays inside whole-stage codegen. A real NER model plugs in

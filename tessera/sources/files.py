@@ -16,11 +16,12 @@ from pyspark.sql import types as T
 
 from ..operators.entities import ENTITY_TYPE
 
+# Stage-1 line format: entities are ``[text, label]`` pairs.
 NER_RECORD_SCHEMA = T.StructType(
     [
         T.StructField("title", T.StringType()),
         T.StructField("index", T.LongType()),
-        T.StructField("entities", ENTITY_TYPE),
+        T.StructField("entities", T.ArrayType(T.ArrayType(T.StringType()))),
         T.StructField("lang_code", T.StringType()),
     ]
 )
@@ -58,6 +59,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return df
 
 
+def entities_to_pairs(col: str = "entities"):
+    return F.transform(F.col(col), lambda e: F.array(e["text"], e["label"]))
+
+
+def pairs_to_entities(col: str = "entities"):
+    return F.transform(F.col(col), lambda p: F.struct(p[0].alias("text"), p[1].alias("label"))).cast(ENTITY_TYPE)
+
+
+def read_ner_records(spark: SparkSession, path: str) -> DataFrame:
+    """Stage-1 JSON Lines (any number of files) with entities as structs."""
+    return read_jsonl(spark, path, NER_RECORD_SCHEMA).withColumn("entities", pairs_to_entities())
+
+
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A file holding one JSON array of objects, one row per element."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
