@@ -46,15 +46,21 @@ class HashingEmbedder:
         return b
 
     def encode(self, texts: Sequence[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float64)
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            toks = _TOKEN_RE.findall(t.lower())
-            if toks:
-                idx = np.fromiter((self._bucket(x) for x in toks), dtype=np.int64, count=len(toks))
-                out[i] = np.bincount(idx, minlength=self.dim)
-        return out
+        """Vectorised per batch: tokens are factorised once, only distinct
+        tokens are hashed, and all counts come from one ``bincount``."""
+        n = len(texts)
+        per_doc = [_TOKEN_RE.findall(t.lower()) if t else [] for t in texts]
+        lengths = np.fromiter((len(x) for x in per_doc), dtype=np.int64, count=n)
+        total = int(lengths.sum())
+        if total == 0:
+            return np.zeros((n, self.dim), dtype=np.float64)
+        flat = np.empty(total, dtype=object)
+        flat[:] = [tok for doc in per_doc for tok in doc]
+        codes, uniques = pd.factorize(flat)
+        ub = np.fromiter((self._bucket(u) for u in uniques), dtype=np.int64, count=len(uniques))
+        doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
+        counts = np.bincount(doc * self.dim + ub[codes], minlength=n * self.dim)
+        return counts.reshape(n, self.dim).astype(np.float64)
 
 
 class SentenceTransformerEmbedder:
@@ -98,7 +104,10 @@ def embed_column(text: Column | str, embedder=None, normalize: bool = False) ->
                 m = l2_normalize_rows(m)
             yield pd.Series(list(m))
 
-    return _embed(F.col(text) if isinstance(text, str) else text)
+    # Marked non-deterministic only so the optimizer never copies the call into
+    # a pushed-down predicate (e.g. the not-null/size filter Spark infers for
+    # explode), which would run inference twice.
+    return _embed.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
 def embed_texts(
@@ -111,7 +120,7 @@ def embed_texts(
 def sparse_entries(df: DataFrame, key_cols: Sequence[str], vec_col: str, value_name: str = "weight") -> DataFrame:
     """Long form ``(keys..., dim, weight)`` of the non-zero vector entries."""
     return (
-        df.select(*key_cols, F.posexplode(vec_col).alias("dim", value_name))
+        df.select(*key_cols, F.posexplode_outer(vec_col).alias("dim", value_name))
         .where(F.col(value_name) != 0)
         .withColumn("dim", F.col("dim").cast("bigint"))
     )

@@ -19,7 +19,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import KMEANS_SEED
 from .ranking import group_positions
@@ -45,11 +44,14 @@ def kmeans_fit_predict(
     prediction_col: str = "cluster_id",
     order_cols: Sequence[str] | None = None,
     num_partitions: int | None = None,
+    solver: str = "block",
 ):
     """Fit MLlib KMeans on ``vec_col`` (``array<double>``) and label every row.
 
     For repeatable labels the input is given a fixed partitioning and order
     (labels depend on it); ``k`` is clamped to the row count by the caller.
+    The ``block`` solver scores stacked rows against all centres with one
+    GEMM per block (dense vectors, Euclidean distance).
     Returns ``(labelled_df, model)``.
     """
     data = df
@@ -63,6 +65,7 @@ def kmeans_fit_predict(
         maxIter=max_iter,
         tol=tol,
         initMode=init_mode,
+        solver=solver,
         featuresCol="_features",
         predictionCol=prediction_col,
     )
@@ -171,14 +174,3 @@ def vector_schema_dim(df: DataFrame, vec_col: str) -> int:
     first = df.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
     return int(first[0]["d"]) if first else 0
 
-
-__all__ = [
-    "cluster_count",
-    "kmeans_fit_predict",
-    "assign_nearest",
-    "centroids",
-    "collect_centres",
-    "assemble_clusters",
-    "vector_schema_dim",
-    "T",
-]

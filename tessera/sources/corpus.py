@@ -38,8 +38,21 @@ def corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return spark.read.format(fmt).load(path).select("lang", "idx", "title", "text")
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows when the scan yields fewer splits than the cluster has cores.
+
+    A single large row group is one task; per-row text work (regexes, Python
+    inference) would then run on one core. Large inputs have many splits and
+    are left untouched (no shuffle).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_documents(read_table(spark, sf_dir, "documents"))
+    return corpus_from_documents(ensure_parallelism(read_table(spark, sf_dir, "documents")))
 
 
 def corpus_counts(corpus: DataFrame) -> DataFrame:
