@@ -16,6 +16,11 @@ acceptable, so positions are computed the way a distributed sort does it:
 The sorted frame is checkpointed (reliable storage) so both uses see the very
 same partitioning even if an executor is lost in between.
 
+Both operators first check the largest group (one cheap aggregation). When
+every group is below ``window_limit`` rows the plain window / ``median``
+aggregate is used - bounded by the check - and the range path is kept for
+anything larger.
+
 Top-*k* with a *constant* ``k`` does not need this: Spark plans
 ``row_number() <= k`` with a partial ``WindowGroupLimit`` before the shuffle.
 """
@@ -29,6 +34,14 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+WINDOW_GROUP_LIMIT = 1_000_000
+
+
+def max_group_size(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Rows in the largest group (partial aggregation; one small job)."""
+    row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
+    return int(row[0] or 0)
+
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -41,12 +54,23 @@ def group_positions(
     pos_col: str = "pos",
     size_col: str | None = "group_size",
     num_partitions: int | None = None,
+    window_limit: int = WINDOW_GROUP_LIMIT,
 ) -> DataFrame:
     """Add the exact 0-based position of each row inside its group.
 
     ``order_cols`` must make the order total (end it with a unique key) so
     positions are deterministic. Adds ``size_col`` (rows in the group) too.
     """
+    if window_limit and max_group_size(df, group_cols) <= window_limit:
+        w = Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))
+        out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("bigint"))
+        if size_col:
+            out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("bigint"))
+        return out
+    return _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitions)
+
+
+def _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitions):
     spark = df.sparkSession
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = _as_cols(group_cols) + _as_cols(order_cols)
@@ -84,14 +108,19 @@ def group_median(
     value_col: str,
     key_col: str,
     out_col: str = "median",
+    window_limit: int = WINDOW_GROUP_LIMIT,
 ) -> DataFrame:
     """Exact median of ``value_col`` per group (mean of the two middle values).
 
-    Same definition as ``numpy.median``. Only two rows per group survive the
-    position filter, so the final aggregation is tiny even for a hot group.
+    Same definition as ``numpy.median``. Below the size bound this is the
+    built-in exact ``median`` aggregate; above it only two rows per group
+    survive the position filter, so the final aggregation stays tiny even
+    for a hot group.
     """
-    ranked = group_positions(
-        df.select(*group_cols, value_col, key_col), group_cols, [value_col, key_col]
+    if window_limit and max_group_size(df, group_cols) <= window_limit:
+        return df.groupBy(*group_cols).agg(F.median(value_col).alias(out_col))
+    ranked = _range_positions(
+        df.select(*group_cols, value_col, key_col), group_cols, [value_col, key_col], "pos", "group_size", None
     )
     n = F.col("group_size")
     mid = ranked.where(

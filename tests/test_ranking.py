@@ -5,14 +5,18 @@ from tessera.operators.quality import split_top_fraction
 from tessera.operators.ranking import group_median, group_positions
 
 
-def test_group_positions_hot_group(spark):
+import pytest
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_group_positions_hot_group(spark, limit):
     rng = np.random.default_rng(1)
     n = 3000
     groups = np.where(rng.random(n) < 0.34, "hot", rng.choice(["a", "b", "c", "d"], n))
     vals = rng.integers(0, 50, n)  # many ties, broken by id
     pdf = pd.DataFrame({"g": groups, "v": vals, "id": np.arange(n)})
     df = spark.createDataFrame(pdf)
-    got = group_positions(df, ["g"], ["v", "id"], num_partitions=7).toPandas()
+    got = group_positions(df, ["g"], ["v", "id"], num_partitions=7, window_limit=limit).toPandas()
     exp = pdf.sort_values(["g", "v", "id"]).assign(pos=lambda x: x.groupby("g").cumcount())
     m = got.merge(exp, on=["g", "v", "id"], suffixes=("", "_e"))
     assert len(m) == n and (m["pos"] == m["pos_e"]).all()
@@ -20,10 +24,11 @@ def test_group_positions_hot_group(spark):
     assert (m["group_size"] == m["g"].map(sizes)).all()
 
 
-def test_group_median_matches_numpy(spark):
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_group_median_matches_numpy(spark, limit):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": rng.choice(["x", "y", "z"], 501), "v": rng.normal(size=501), "id": np.arange(501)})
-    got = {r["g"]: r["median"] for r in group_median(spark.createDataFrame(pdf), ["g"], "v", "id").collect()}
+    got = {r["g"]: r["median"] for r in group_median(spark.createDataFrame(pdf), ["g"], "v", "id", window_limit=limit).collect()}
     for g, part in pdf.groupby("g"):
         assert np.isclose(got[g], np.median(part["v"]))
 
