@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KMEANS_SEED
+from ..session import cut_lineage
 from .ranking import group_positions
 
 MAX_BROADCAST_BYTES = 256 << 20
@@ -159,8 +160,9 @@ def assemble_clusters(
     ``cluster_size`` the member count (0 for an empty cluster). Members are
     never collected into one array here - nest only bounded outputs.
     """
+    narrow = cut_lineage(labelled.select(lang_col, cluster_col, *order_cols, *[c for c in labelled.columns if c not in (lang_col, cluster_col, *order_cols)]))
     members = group_positions(
-        labelled, [lang_col, cluster_col], list(order_cols), pos_col="member_pos", size_col="cluster_size"
+        narrow, [lang_col, cluster_col], list(order_cols), pos_col="member_pos", size_col="cluster_size"
     )
     ids = k_per_lang.select(
         lang_col, F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias(cluster_col)

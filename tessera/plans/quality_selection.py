@@ -74,13 +74,16 @@ def score_clusters(
         *GROUP, "idx", "title", "text"
     )
     scored = masked.join(info, [*GROUP, "idx"])
-    candidates = scored.where("kept").withColumn("semantic_entropy", semantic_entropy_column("text", embedder))
+    # entropy is the expensive step: materialise it once for every later use
+    candidates = cut_lineage(
+        scored.where("kept").withColumn("semantic_entropy", semantic_entropy_column("text", embedder)).drop("text")
+    )
     top = top_texts(candidates, GROUP, "semantic_entropy", [order_col], k=top_k)
     if clusters is None:
         clusters = members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("cluster_size"))
     scores = cluster_scores(clusters, top, GROUP)
     ranked = split_top_fraction(scores, "lang", "avg_semantic_entropy", "cluster_id", fraction)
-    return QualityResult(scored.drop("text"), candidates.drop("text"), top.drop("text"), ranked)
+    return QualityResult(scored.drop("text"), candidates, top, ranked)
 
 
 def top_density_texts(top: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import HASH_DIM
 from ..functions.text import first_paragraph, paragraphs
 from ..functions.vectors import cosine_distance, l2_normalize
 from ..operators.crosslang import (
@@ -376,6 +375,13 @@ def q_multi_lang_dominated(spark, sf):
     return dominated
 
 
+def q_culture_clusters(spark, sf):
+    """All four stages end to end on the whole corpus (KMeans labels: rows-only check)."""
+    from .pipeline import run_pipeline
+
+    return run_pipeline(_corpus(spark, sf), max_iter=50).dominated
+
+
 # --- aggregations -----------------------------------------------------------------------
 
 
@@ -438,4 +444,3 @@ QUERIES: dict[str, Query] = {
 }
 
 FLAGSHIP = "lang_distribution"
-_ = HASH_DIM

@@ -1,0 +1,33 @@
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_SMALL
+from tessera.plans.pipeline import run_pipeline, write_pipeline
+from tessera.sources.corpus import load_corpus
+
+
+def test_pipeline_end_to_end(spark):
+    corpus = load_corpus(spark, SF_SMALL)
+    res = run_pipeline(corpus, k_multi=20, max_iter=20)
+    n_docs = corpus.count()
+    # stage 1: routes partition the non-blank input
+    routes = res.records.groupBy("selected").count().collect()
+    assert sum(r["count"] for r in routes) <= n_docs
+    # stage 2: every selected article in exactly one cluster; ids cover range(k)
+    sel = res.records.where("selected").count()
+    assert res.clusters.where(F.col("idx").isNotNull()).count() == sel
+    # stage 3: top + rest = all clusters; top count = floor(0.2 n) per language
+    sc = res.cluster_scores.toPandas()
+    for lang, part in sc.groupby("lang"):
+        assert int(part["is_top"].sum()) == int(len(part) * 0.2)
+    assert (res.top_texts.groupBy("lang", "cluster_id").count().where("count > 10").count()) == 0
+    # stage 4: dominated clusters meet the rule
+    for r in res.dominated.collect():
+        assert r["sample_count"] >= 5 and r["ratio"] >= 0.8
+    out = tempfile.mkdtemp(prefix="tessera-pipe-")
+    write_pipeline(res, out)
+    assert os.path.isdir(os.path.join(out, "ner", "selected"))
+    back = spark.read.parquet(os.path.join(out, "cluster_quality"))
+    assert back.count() == len(sc)
