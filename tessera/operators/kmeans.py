@@ -122,9 +122,17 @@ def assign_nearest(
             better = F.col(f"{tag}.dist") < best_d
             best_c = F.when(better, F.col(f"{tag}.cid")).otherwise(best_c)
             best_d = F.when(better, F.col(f"{tag}.dist")).otherwise(best_d)
-    lookup = F.element_at(F.array(*[F.lit(int(i)) for i in ids]), (best_c + 1).cast("int")) if len(ids) <= 4096 else best_c
     tags = [c for c in out.columns if c.startswith("_a") and c not in df.columns]
-    return out.withColumn(out_col, lookup.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
+    if np.array_equal(ids, np.arange(len(ids))):
+        return out.withColumn(out_col, best_c.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
+    if len(ids) <= 4096:
+        lookup = F.element_at(F.array(*[F.lit(int(i)) for i in ids]), (best_c + 1).cast("int"))
+        return out.withColumn(out_col, lookup.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
+    # many non-contiguous ids: translate positions with an equi-join on a k-row table
+    spark = df.sparkSession
+    id_map = spark.createDataFrame([(int(p), int(i)) for p, i in enumerate(ids)], f"_pos bigint, {out_col} bigint")
+    pos = out.withColumn("_pos", best_c.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
+    return pos.join(id_map, "_pos").drop("_pos")
 
 
 def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -137,11 +145,12 @@ def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFr
     return per.select(cluster_col, F.array(*[F.col(f"_c{i}") for i in range(dim)]).alias("centroid"), "n")
 
 
-def collect_centres(cents: DataFrame, cluster_col: str, max_rows: int = 1_000_000):
-    """Bring ``k x d`` centres to the driver after a size check."""
-    k = cents.count()
-    if k > max_rows:
-        raise ValueError(f"{k} centres exceed the driver bound of {max_rows}")
+def collect_centres(cents: DataFrame, cluster_col: str, max_bytes: int = 1 << 30):
+    """Bring ``k x d`` centres to the driver after a size check (``k * d * 8`` bytes)."""
+    stats = cents.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
+    k, d = int(stats["k"]), int(stats["d"] or 0)
+    if k * d * 8 > max_bytes:
+        raise ValueError(f"{k} x {d} centres exceed the driver bound of {max_bytes} bytes")
     rows = cents.orderBy(cluster_col).select(cluster_col, "centroid").collect()
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
 

@@ -20,6 +20,9 @@ def test_assign_nearest_chunked_equals_single(spark):
     chunked = {r["id"]: r["cluster_id"] for r in assign_nearest(df, "vec", cents, max_broadcast_bytes=6 * 8 * 5).collect()}
     brute = ((pts[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
     assert one == chunked == {i: int(b) for i, b in enumerate(brute)}
+    ids = [10 * i + 3 for i in range(len(cents))]
+    named = {r["id"]: r["cluster_id"] for r in assign_nearest(df, "vec", cents, ids).collect()}
+    assert named == {i: ids[int(b)] for i, b in enumerate(brute)}
 
 
 def test_kmeans_rows_at_nearest_centre(spark):
