@@ -70,7 +70,14 @@ def kmeans_fit_predict(
         featuresCol="_features",
         predictionCol=prediction_col,
     )
-    model = km.fit(feats)
+    try:
+        model = km.fit(feats)
+    except Exception as err:  # noqa: BLE001
+        # MLlib's block solver fails when k-means|| finds fewer distinct
+        # centres than k (duplicate rows); the row solver handles that case.
+        if solver != "block" or "ArrayIndexOutOfBounds" not in str(err):
+            raise
+        model = km.setSolver("row").fit(feats)
     labelled = model.transform(feats).drop("_features")
     return labelled, model
 

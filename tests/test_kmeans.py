@@ -51,3 +51,11 @@ def test_assembly_keeps_empty_ids(spark):
         (2, 1, 0, 4),
         (3, 0, None, None),
     ]
+
+
+def test_kmeans_with_fewer_distinct_points_than_k(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(20)] + [(20 + i, [float(i), 0.0]) for i in range(10)]
+    df = spark.createDataFrame(rows, "idx bigint, vec array<double>")
+    lab, model = kmeans_fit_predict(df, "vec", 25, max_iter=10, order_cols=["idx"])
+    assert lab.count() == 30
+    assert len(model.clusterCenters()) <= 25
