@@ -25,6 +25,10 @@ from ..session import cut_lineage
 from .ranking import group_positions
 
 MAX_BROADCAST_BYTES = 256 << 20
+# k-means|| seeds by running k-means++ over ~2k * initSteps candidates on the
+# driver; beyond this k that driver step dominates, so "auto" uses MLlib's
+# random init (k sampled rows) instead.
+KMEANS_PARALLEL_MAX_K = 2000
 
 
 def cluster_count(n: Column | int) -> Column | int:
@@ -41,7 +45,7 @@ def kmeans_fit_predict(
     seed: int = KMEANS_SEED,
     max_iter: int = 300,
     tol: float = 1e-4,
-    init_mode: str = "k-means||",
+    init_mode: str = "auto",
     prediction_col: str = "cluster_id",
     order_cols: Sequence[str] | None = None,
     num_partitions: int | None = None,
@@ -52,9 +56,12 @@ def kmeans_fit_predict(
     For repeatable labels the input is given a fixed partitioning and order
     (labels depend on it); ``k`` is clamped to the row count by the caller.
     The ``block`` solver scores stacked rows against all centres with one
-    GEMM per block (dense vectors, Euclidean distance).
+    GEMM per block (dense vectors, Euclidean distance). ``init_mode="auto"``
+    is ``k-means||`` up to ``KMEANS_PARALLEL_MAX_K`` centres, random above.
     Returns ``(labelled_df, model)``.
     """
+    if init_mode == "auto":
+        init_mode = "k-means||" if k <= KMEANS_PARALLEL_MAX_K else "random"
     data = df
     if order_cols:
         n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
