@@ -122,12 +122,13 @@ def title_entity_overlap(entities: Column | str, title: Column | str, lang: Colu
     )
 
 
-def ner_records(corpus: DataFrame, recognizer=None) -> DataFrame:
+def ner_records(corpus: DataFrame, recognizer=None, keep_first_paragraph: bool = False) -> DataFrame:
     """Stage-1 records for every non-blank article, with the routing flag.
 
-    Output: ``lang_code, index, title, entities, title_valid, has_overlap, selected``.
-    Rows whose stripped title or first paragraph is empty (or null title) are
-    in neither route.
+    Output: ``lang_code, index, title, entities, title_valid, has_overlap, selected``
+    (plus ``first_paragraph`` when asked, so a later stage in the same plan
+    needs no join back to the corpus). Rows whose stripped title or first
+    paragraph is empty (or null title) are in neither route.
     """
     base = corpus.select(
         "lang", "idx", "title", first_paragraph("text").alias("_fp")
@@ -144,6 +145,7 @@ def ner_records(corpus: DataFrame, recognizer=None) -> DataFrame:
         valid.alias("title_valid"),
         (valid & overlap).alias("has_overlap"),
         (valid & overlap & (F.size("entities") > 0)).alias("selected"),
+        *([F.col("_fp").alias("first_paragraph")] if keep_first_paragraph else []),
     )
 
 

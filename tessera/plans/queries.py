@@ -38,7 +38,13 @@ from ..sources.corpus import (
 )
 from .multi_lang import pool_articles, run_multi_lang
 from .quality_selection import score_clusters
-from .single_lang import k_per_language, out_of_range, run_single_lang, selected_articles
+from .single_lang import (
+    articles_from_records,
+    k_per_language,
+    out_of_range,
+    run_single_lang,
+    selected_articles,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 EMB_DIM = 64
@@ -60,7 +66,8 @@ def _ner(spark, sf):
 
 
 def _selected_articles(spark, sf):
-    return selected_articles(_ner(spark, sf).where("selected"), _corpus(spark, sf))
+    """Selected articles within one plan (first paragraph carried, no self-join)."""
+    return articles_from_records(ner_records(_corpus(spark, sf), keep_first_paragraph=True))
 
 
 def _vectors(spark, sf):
@@ -160,7 +167,8 @@ def q_ner_route_counts(spark, sf):
 
 
 def q_selected_articles(spark, sf):
-    return _selected_articles(spark, sf)
+    """J1 as a lookup: selected indices joined to the corpus by ``(lang, idx)``."""
+    return selected_articles(_ner(spark, sf).where("selected"), _corpus(spark, sf))
 
 
 def q_embed_prompt(spark, sf):
