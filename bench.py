@@ -14,6 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from tessera.operators.embed import embed_column  # noqa: E402
 from tessera.plans.queries import QUERIES  # noqa: E402
 from tessera.session import get_session  # noqa: E402
 
@@ -37,11 +38,14 @@ def main() -> None:
     spark = get_session(
         f"local[{cpus}]",
         app_name="tessera-bench",
-        shuffle_partitions=cpus * 2,
+        shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)),
         extra_conf={"spark.driver.memory": "16g"},
     )
-    # warm-up (JVM, Python workers), not timed
+    # warm-up, not timed: JVM code paths and one Python worker per core
     QUERIES["corpus_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    QUERIES["embed_prompt"](spark, sf_dir).withColumn(
+        "w", embed_column("prompt")
+    ).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
