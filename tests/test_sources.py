@@ -11,7 +11,6 @@ from tessera.sources.files import (
     read_curated_points,
     read_jsonl,
     read_ner_records,
-    write_jsonl,
 )
 
 
@@ -71,4 +70,3 @@ def test_curated_points_reader(spark):
     assert cur.count() == 2
     rows = curated_member_rows(cur).orderBy("lang", "member_pos").collect()
     assert [(r["lang"], r["title"], r["idx"]) for r in rows] == [("de", "C", 5), ("en", "A", 20), ("en", "B", 100)]
-    _ = write_jsonl

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.functions.text import (
     derived_title,
@@ -80,4 +79,3 @@ def test_tokens_consistent_with_python_embedder(spark, text):
 
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(tokens("text")).first()[0] == _TOKEN_RE.findall(text.lower())
-    _ = F
