@@ -347,7 +347,7 @@ SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY lang, cluster_id) AS cluster_size FROM lab),
     ids AS (SELECT lang, CAST(unnest(range(k)) AS INTEGER) AS cluster_id FROM ks)
     SELECT ids.lang, ids.cluster_id, CAST(coalesce(mem.cluster_size, 0) AS BIGINT) AS cluster_size,
-           CAST(mem.member_pos AS BIGINT) AS member_pos, mem.idx, mem.title
+           CAST(coalesce(mem.member_pos, -1) AS BIGINT) AS member_pos, CAST(coalesce(mem.idx, -1) AS BIGINT) AS idx, mem.title
     FROM ids LEFT JOIN mem USING (lang, cluster_id)""",
     "kmeans_assign_fixed": w(CENTROIDS)
     + "SELECT vec_id, CAST(cluster_id AS BIGINT) AS cluster_id, round(dist, 6) AS centre_distance FROM assign",

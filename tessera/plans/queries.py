@@ -341,7 +341,15 @@ def _fixed_label_articles(spark, sf):
 def q_cluster_assembly(spark, sf):
     lab, ks = _fixed_label_articles(spark, sf)
     out = assemble_clusters(lab.select("lang", "cluster_id", "idx", "title"), ks)
-    return out.select("lang", "cluster_id", "cluster_size", "member_pos", "idx", "title")
+    # empty clusters: -1 instead of null keeps the integer columns integral
+    return out.select(
+        "lang",
+        "cluster_id",
+        "cluster_size",
+        F.coalesce("member_pos", F.lit(-1).cast("bigint")).alias("member_pos"),
+        F.coalesce("idx", F.lit(-1).cast("bigint")).alias("idx"),
+        "title",
+    )
 
 
 def _fixed_assignment(spark, sf):
