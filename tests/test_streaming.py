@@ -33,3 +33,16 @@ def test_streaming_selection_equals_batch(spark):
     for lang, _, sel in exp:
         exp_counts[(lang, sel)] = exp_counts.get((lang, sel), 0) + 1
     assert counts == exp_counts
+
+
+def test_streaming_restart_resumes_from_checkpoint(spark):
+    out = tempfile.mkdtemp(prefix="tessera-stream-")
+    ck = tempfile.mkdtemp(prefix="tessera-stream-ck-")
+    path = os.path.join(out, "routes")
+    for _ in range(2):  # second run finds nothing new in the source
+        recs = selection_stream(read_documents_stream(spark, f"{SF_SMALL}/documents*.parquet"))
+        q = start_selection_sink(recs, path, name="restart_test", checkpoint_location=os.path.join(ck, "sel"))
+        q.awaitTermination(180)
+    n_docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("lang_code", "index").distinct().count() <= n_docs
