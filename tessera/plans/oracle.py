@@ -300,6 +300,20 @@ SQL: dict[str, str] = {
     "cluster_members": w(CORPUS, VECTORS, QUALITY) + "SELECT lang, cluster_id, idx, title FROM m",
     "knn_avg_distance": w(CORPUS, VECTORS, QUALITY)
     + "SELECT lang, cluster_id, idx, round(avg_distance, 6) AS avg_distance, group_size FROM dist",
+    "knn_neighbours": w(CORPUS, VECTORS, QUALITY)
+    + """SELECT lang, cluster_id, idx, nn_rank, nn_id, round(d, 6) AS distance FROM (
+      SELECT a.lang, a.cluster_id, a.idx, b.idx AS nn_id,
+             greatest(0.0, least(2.0, 1.0 - list_cosine_similarity(a.vec, b.vec))) AS d,
+             row_number() OVER (PARTITION BY a.lang, a.cluster_id, a.idx
+               ORDER BY greatest(0.0, least(2.0, 1.0 - list_cosine_similarity(a.vec, b.vec))), b.idx) AS nn_rank
+      FROM m a JOIN m b ON a.lang = b.lang AND a.cluster_id = b.cluster_id
+      JOIN sz ON sz.lang = a.lang AND sz.cluster_id = a.cluster_id
+      WHERE sz.group_size >= 5)
+    WHERE nn_rank <= 5""",
+    "paragraph_similarity": w(CORPUS, ENTROPY)
+    + "SELECT p.lang, ra.idx, CAST(ra.i AS BIGINT) AS p, round(coalesce(r.r, 0.0), 6) AS sim_rowsum "
+    + "FROM rows_all ra JOIN paras p ON p.idx = ra.idx AND p.p = ra.i "
+    + "LEFT JOIN rowsum r ON r.idx = ra.idx AND r.i = ra.i",
     "knn_density": w(CORPUS, VECTORS, QUALITY) + "SELECT lang, cluster_id, idx, round(density, 6) AS density FROM mask",
     "density_mask": w(CORPUS, VECTORS, QUALITY)
     + "SELECT lang, cluster_id, idx, round(median_distance, 6) AS median_distance, kept FROM mask",

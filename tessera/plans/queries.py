@@ -239,6 +239,26 @@ def q_knn_avg_distance(spark, sf):
     return q.members.select("lang", "cluster_id", "idx", r6(F.col("avg_distance")).alias("avg_distance"), "group_size")
 
 
+def q_knn_neighbours(spark, sf):
+    """J4 without pair rows: the 5 nearest members of every member."""
+    from ..operators.knn import knn_neighbours
+    from .quality_selection import GROUP, cluster_members
+
+    m = cluster_members(_given_members(spark, sf), _corpus(spark, sf))
+    nn = knn_neighbours(m, GROUP, "idx", "vec")
+    return nn.select("lang", "cluster_id", "idx", "nn_rank", "nn_id", r6(F.col("distance")).alias("distance"))
+
+
+def q_paragraph_similarity(spark, sf):
+    """J5 without pair rows: each paragraph's similarity row sum."""
+    from ..operators.entropy import paragraph_row_sums_column
+
+    c = _corpus(spark, sf).select("lang", "idx", paragraph_row_sums_column("text").alias("sums"))
+    return c.select("lang", "idx", F.posexplode("sums").alias("p", "sim_rowsum")).select(
+        "lang", "idx", F.col("p").cast("bigint").alias("p"), r6(F.col("sim_rowsum")).alias("sim_rowsum")
+    )
+
+
 def q_knn_density(spark, sf):
     q = _quality(spark, sf)
     return q.members.select("lang", "cluster_id", "idx", r6(F.col("density")).alias("density"))
