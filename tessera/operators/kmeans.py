@@ -58,8 +58,11 @@ def kmeans_fit_predict(
     The ``block`` solver scores stacked rows against all centres with one
     GEMM per block (dense vectors, Euclidean distance). ``init_mode="auto"``
     is ``k-means||`` up to ``KMEANS_PARALLEL_MAX_K`` centres, random above.
-    Returns ``(labelled_df, model)``.
+    Returns ``(labelled_df, model)``; ``model`` is ``None`` when ``k <= 1``.
     """
+    if k <= 1:
+        # one cluster: nothing to fit (MLlib requires k >= 2)
+        return df.withColumn(prediction_col, F.lit(0)), None
     if init_mode == "auto":
         init_mode = "k-means||" if k <= KMEANS_PARALLEL_MAX_K else "random"
     data = df

@@ -329,8 +329,9 @@ SQL: dict[str, str] = {
     + """SELECT lang, cluster_id, CAST(cluster_rank AS BIGINT) AS cluster_rank, n_clusters,
     round(avg_semantic_entropy, 6) AS avg_semantic_entropy FROM ranked_top WHERE NOT is_top""",
     "pool_articles": w(CORPUS, VECTORS, QUALITY, CLEAN)
-    + """SELECT clean.* FROM clean JOIN (
-      SELECT DISTINCT mb.lang, mb.idx FROM members mb JOIN ranked_top r USING (lang, cluster_id) WHERE r.is_top
+    + """SELECT clean.*, t.sel_pos FROM clean JOIN (
+      SELECT mb.lang, mb.idx, row_number() OVER (PARTITION BY mb.lang ORDER BY r.cluster_rank, mb.idx) - 1 AS sel_pos
+      FROM members mb JOIN ranked_top r USING (lang, cluster_id) WHERE r.is_top
     ) t ON clean.lang_code = t.lang AND clean.idx = t.idx""",
     # vectors
     "l2_normalize": w(VECTORS)

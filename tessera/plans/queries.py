@@ -309,9 +309,11 @@ def q_rest_clusters(spark, sf):
 def q_pool_articles(spark, sf):
     q = _quality(spark, sf)
     top_members = _given_members(spark, sf).join(
-        q.clusters.where("is_top").select("lang", "cluster_id"), ["lang", "cluster_id"]
+        q.clusters.where("is_top").select("lang", "cluster_id", "cluster_rank"), ["lang", "cluster_id"]
+    )
+    return pool_articles(
+        top_members.select("lang", "idx", "cluster_rank"), _corpus(spark, sf), with_sel_pos=True, order_cols=["cluster_rank"]
     )
-    return pool_articles(top_members.select("lang", "idx"), _corpus(spark, sf))
 
 
 def q_l2_normalize(spark, sf):

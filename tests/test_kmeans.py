@@ -59,3 +59,26 @@ def test_kmeans_with_fewer_distinct_points_than_k(spark):
     lab, model = kmeans_fit_predict(df, "vec", 25, max_iter=10, order_cols=["idx"])
     assert lab.count() == 30
     assert len(model.clusterCenters()) <= 25
+
+
+def test_single_lang_merge_order(spark):
+    from tessera.plans.single_lang import run_single_lang
+
+    idx = [36227, 299809, 14998, 366202, 19276]
+    rows = [("en", i, "T", "x", [1.0, 0.0]) for i in idx]
+    arts = spark.createDataFrame(rows, "lang string, idx bigint, title string, first_paragraph string, vec array<double>")
+    _, by_index = run_single_lang(arts, vec_col="vec", k_override=1, max_iter=5)
+    _, by_merge = run_single_lang(arts, vec_col="vec", k_override=1, max_iter=5, order="merge")
+    assert [r["idx"] for r in by_index.orderBy("member_pos").collect()] == sorted(idx)
+    assert [r["idx"] for r in by_merge.orderBy("member_pos").collect()] == [14998, 19276, 299809, 36227, 366202]
+
+
+def test_language_with_one_article_gets_one_cluster(spark):
+    from tessera.plans.single_lang import run_single_lang
+
+    rows = [("en", i, "T", "x", [float(i), 1.0]) for i in range(30)] + [("de", 7, "W", "y", [0.0, 1.0])]
+    arts = spark.createDataFrame(rows, "lang string, idx bigint, title string, first_paragraph string, vec array<double>")
+    lab, clusters = run_single_lang(arts, vec_col="vec", max_iter=5)
+    de = clusters.where("lang = 'de'").collect()
+    assert [(r["cluster_id"], r["cluster_size"], r["idx"]) for r in de] == [(0, 1, 7)]
+    assert clusters.where("lang = 'en'").select("cluster_id").distinct().count() == 3
