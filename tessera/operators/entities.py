@@ -109,6 +109,35 @@ def annotate_entities(
     return df.mapInPandas(run, schema)
 
 
+class SpacyRecognizer:
+    """Optional model plug-in: ``recognizer(lang, texts)`` backed by spaCy.
+
+    One pipeline per language, loaded lazily once per Python worker and reused
+    across batches. ``models`` maps a language to a pipeline name. spaCy is not
+    installed in this environment; the class only fails when called.
+    """
+
+    def __init__(self, models: dict[str, str], batch_size: int = 64):
+        self.models = dict(models)
+        self.batch_size = batch_size
+        self._nlp: dict = {}
+
+    def _pipeline(self, lang: str):
+        if lang not in self._nlp:
+            try:
+                import spacy  # type: ignore
+            except ImportError as e:  # pragma: no cover - optional dependency
+                raise RuntimeError("spaCy is not installed") from e
+            if lang not in self.models:
+                raise ValueError(f"Unsupported language code: {lang}")
+            self._nlp[lang] = spacy.load(self.models[lang])
+        return self._nlp[lang]
+
+    def __call__(self, lang: str, texts: list[str]) -> list[list[tuple[str, str]]]:
+        nlp = self._pipeline(lang)
+        return [[(e.text, e.label_) for e in doc.ents] for doc in nlp.pipe(texts, batch_size=self.batch_size)]
+
+
 def title_entity_overlap(entities: Column | str, title: Column | str, lang: Column | str) -> Column:
     """Some non-empty entity with a valid label is inside the title, or contains it (case-sensitive)."""
     ents = F.col(entities) if isinstance(entities, str) else entities

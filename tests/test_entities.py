@@ -54,3 +54,19 @@ def test_recogniser_plugin_runs_in_map_in_pandas(spark):
     out = annotate_entities(df, "ner_text", "lang", recognizer=fake).collect()
     assert out[0]["entities"][0]["text"] == "Wien"
     assert out[1]["entities"] == []
+
+
+def test_spacy_plugin_is_gated():
+    import importlib.util
+
+    import pytest
+
+    from tessera.operators.entities import SpacyRecognizer
+
+    rec = SpacyRecognizer({"en": "en_core_web_lg"})
+    if importlib.util.find_spec("spacy") is None:
+        with pytest.raises(RuntimeError):
+            rec("en", ["Vienna"])
+    else:  # pragma: no cover - only where spaCy is installed
+        with pytest.raises(ValueError):
+            rec("xx", ["text"])
