@@ -50,6 +50,8 @@ def kmeans_fit_predict(
     order_cols: Sequence[str] | None = None,
     num_partitions: int | None = None,
     solver: str = "block",
+    rows: int | None = None,
+    rows_per_partition: int = 2000,
 ):
     """Fit MLlib KMeans on ``vec_col`` (``array<double>``) and label every row.
 
@@ -68,6 +70,9 @@ def kmeans_fit_predict(
     data = df
     if order_cols:
         n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if rows is not None:
+            # size partitions by data: tiny fits should not schedule empty tasks
+            n_parts = max(1, min(n_parts, -(-rows // rows_per_partition)))
         data = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
     feats = data.withColumn("_features", array_to_vector(F.col(vec_col)))
     km = KMeans(
