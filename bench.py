@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tessera.operators.embed import embed_column  # noqa: E402
+from tessera.operators.kmeans import kmeans_fit_predict  # noqa: E402
 from tessera.plans.queries import QUERIES  # noqa: E402
 from tessera.session import get_session  # noqa: E402
 
@@ -46,6 +47,9 @@ def main() -> None:
     QUERIES["embed_prompt"](spark, sf_dir).withColumn(
         "w", embed_column("prompt")
     ).write.format("noop").mode("overwrite").save()
+    # ... and MLlib's KMeans code paths (a small fit on the given vectors)
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS idx", "CAST(embedding AS array<double>) AS vec")
+    kmeans_fit_predict(vecs, "vec", 8, max_iter=5, order_cols=["idx"])[0].write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
