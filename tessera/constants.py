@@ -1,4 +1,4 @@
-"""Fixed values the pipeline must share with the original workflow.
+"""Fixed values the stages must share with the original workflow.
 
 Everything in the first block is a value whose exact content decides results
 (label sets, thresholds, ordering lists). It is stated once, here, in natural

@@ -415,9 +415,9 @@ def q_multi_lang_dominated(spark, sf):
 
 def q_culture_clusters(spark, sf):
     """All four stages end to end on the whole corpus (KMeans labels: rows-only check)."""
-    from .pipeline import run_pipeline
+    from .end_to_end import run_all_stages
 
-    return run_pipeline(_corpus(spark, sf), max_iter=50).dominated
+    return run_all_stages(_corpus(spark, sf), max_iter=50).dominated
 
 
 # --- aggregations -----------------------------------------------------------------------

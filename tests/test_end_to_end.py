@@ -4,13 +4,13 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
-from tessera.plans.pipeline import run_pipeline, write_pipeline
+from tessera.plans.end_to_end import run_all_stages, write_stages
 from tessera.sources.corpus import load_corpus
 
 
-def test_pipeline_end_to_end(spark):
+def test_all_stages_end_to_end(spark):
     corpus = load_corpus(spark, SF_SMALL)
-    res = run_pipeline(corpus, k_multi=20, max_iter=20)
+    res = run_all_stages(corpus, k_multi=20, max_iter=20)
     n_docs = corpus.count()
     # stage 1: routes partition the non-blank input
     routes = res.records.groupBy("selected").count().collect()
@@ -26,8 +26,8 @@ def test_pipeline_end_to_end(spark):
     # stage 4: dominated clusters meet the rule
     for r in res.dominated.collect():
         assert r["sample_count"] >= 5 and r["ratio"] >= 0.8
-    out = tempfile.mkdtemp(prefix="tessera-pipe-")
-    write_pipeline(res, out)
+    out = tempfile.mkdtemp(prefix="tessera-stages-")
+    write_stages(res, out)
     assert os.path.isdir(os.path.join(out, "ner", "selected"))
     back = spark.read.parquet(os.path.join(out, "cluster_quality"))
     assert back.count() == len(sc)
