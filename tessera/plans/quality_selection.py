@@ -38,6 +38,7 @@ class QualityResult:
     candidates: DataFrame  # kept members + semantic_entropy
     top: DataFrame  # top texts with rank
     clusters: DataFrame  # lang, cluster_id, cluster_size, avg_semantic_entropy, n_top, cluster_rank, n_clusters, is_top
+    member_texts: DataFrame  # lang, cluster_id, idx, title, text of members with non-blank text
 
 
 def cluster_members(members: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -67,6 +68,8 @@ def score_clusters(
     if vec_col is None:
         with_text = embed_texts(with_text, "text", "vec", embedder, normalize=True)
         vec_col = "vec"
+    # one corpus lookup and one embedding pass for every later use
+    with_text = cut_lineage(with_text)
     # materialised once: the median and the mask must see the very same values
     dist = cut_lineage(knn_mean_distance(with_text, GROUP, "idx", vec_col, k=k))
     masked = density_mask(dist, GROUP, "idx")
@@ -83,7 +86,8 @@ def score_clusters(
         clusters = members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("cluster_size"))
     scores = cluster_scores(clusters, top, GROUP)
     ranked = split_top_fraction(scores, "lang", "avg_semantic_entropy", "cluster_id", fraction)
-    return QualityResult(scored.drop("text"), candidates, top, ranked)
+    member_texts = with_text.select(*GROUP, "idx", "title", "text")
+    return QualityResult(scored.drop("text"), candidates, top, ranked, member_texts)
 
 
 def top_density_texts(top: DataFrame) -> DataFrame:
