@@ -320,6 +320,8 @@ SQL: dict[str, str] = {
     "top_texts": w(CORPUS, VECTORS, QUALITY)
     + """SELECT lang, cluster_id, idx, title, CAST(rank AS BIGINT) AS rank, round(semantic_entropy, 6) AS semantic_entropy,
     round(density, 6) AS density FROM top""",
+    "top_density_texts": w(CORPUS, VECTORS, QUALITY)
+    + "SELECT lang, cluster_id, count(*) AS n_top, string_agg(title, '|' ORDER BY rank) AS top_titles FROM top GROUP BY ALL",
     "cluster_quality": w(CORPUS, VECTORS, QUALITY)
     + "SELECT lang, cluster_id, cluster_size, CAST(n_top AS BIGINT) AS n_top, round(avg_semantic_entropy, 6) AS avg_semantic_entropy FROM scores",
     "top_clusters": w(CORPUS, VECTORS, QUALITY)

@@ -284,6 +284,19 @@ def q_top_texts(spark, sf):
     )
 
 
+def q_top_density_texts(spark, sf):
+    """Nested top texts per cluster (bounded: at most 10), titles in rank order."""
+    from .quality_selection import top_density_texts
+
+    nested = top_density_texts(_quality(spark, sf).top)
+    return nested.select(
+        "lang",
+        "cluster_id",
+        F.size("top_density_texts").cast("bigint").alias("n_top"),
+        F.array_join(F.transform("top_density_texts", lambda t: t["title"]), "|").alias("top_titles"),
+    )
+
+
 def q_cluster_quality(spark, sf):
     q = _quality(spark, sf)
     return q.clusters.select(
