@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the operator names a shared folder in ``spark.checkpoint.dir``;
     we only read it. A private temporary folder is made only when the setting
-    is absent (local tests).
+    is absent and the master is local (tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +57,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder shared by all executors "
+                "(a machine-local temporary folder cannot hold checkpoints on a cluster)"
+            )
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

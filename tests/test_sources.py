@@ -70,3 +70,10 @@ def test_curated_points_reader(spark):
     assert cur.count() == 2
     rows = curated_member_rows(cur).orderBy("lang", "member_pos").collect()
     assert [(r["lang"], r["title"], r["idx"]) for r in rows] == [("de", "C", 5), ("en", "A", 20), ("en", "B", 100)]
+
+
+def test_checkpoint_dir_comes_from_session(spark):
+    from tessera.session import ensure_checkpoint_dir
+
+    d = ensure_checkpoint_dir(spark)
+    assert d and d == spark.sparkContext.getCheckpointDir()
