@@ -109,33 +109,43 @@ def token_counts(src: str, keys: str, text: str) -> str:
 
 
 def normalized(tf: str, keys: str) -> str:
-    """``c / max(||c||, 1e-12)`` per key."""
-    return f"""SELECT {keys}, dim, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY {keys})), 1e-12) AS w FROM {tf}"""
+    """``c / max(||c||, 1e-12)`` per key.
+
+    Sums run over lists in a fixed order (``list_sum(list(... ORDER BY dim))``)
+    so that identical inputs always give bit-identical results; DuckDB's
+    parallel aggregation would otherwise add in a varying order.
+    """
+    return f"""SELECT {keys}, t.dim, t.c / greatest(nm.nrm, 1e-12) AS w
+    FROM {tf} t JOIN (SELECT {keys}, sqrt(list_sum(list(c * c ORDER BY dim))) AS nrm FROM {tf} GROUP BY {keys}) nm
+    USING ({keys})"""
 
 
 ENTROPY = f"""{PARAS},
 multi AS (SELECT idx, count(*) AS m FROM paras GROUP BY idx HAVING count(*) > 1),
 ptf AS ({token_counts('paras JOIN multi USING (idx)', 'idx, p', 'paragraph')}),
 pe AS ({normalized('ptf', 'idx, p')}),
-pu AS (SELECT idx, p, dim, w / (sqrt(sum(w * w) OVER (PARTITION BY idx, p)) + 1e-8) AS u FROM pe),
+pn AS (SELECT idx, p, sqrt(list_sum(list(w * w ORDER BY dim))) AS n2 FROM pe GROUP BY idx, p),
+pu AS (SELECT pe.idx, pe.p, pe.dim, pe.w / (pn.n2 + 1e-8) AS u FROM pe JOIN pn USING (idx, p)),
 sim AS (
-  SELECT a.idx, a.p AS i, b.p AS j, sum(a.u * b.u) AS s
-  FROM pu a JOIN pu b ON a.idx = b.idx AND a.dim = b.dim GROUP BY ALL),
-rowsum AS (SELECT idx, i, sum(s) AS r, count(*) AS nnz FROM sim GROUP BY ALL),
+  SELECT a.idx, a.p AS i, b.p AS j, list_sum(list(a.u * b.u ORDER BY a.dim)) AS s
+  FROM pu a JOIN pu b ON a.idx = b.idx AND a.dim = b.dim GROUP BY a.idx, a.p, b.p),
+rowsum AS (SELECT idx, i, list_sum(list(s ORDER BY j)) AS r, count(*) AS nnz FROM sim GROUP BY idx, i),
 prob AS (
-  SELECT sim.idx, sim.i, least(greatest(s / (r + 1e-8), 1e-8), 1.0) AS q
+  SELECT sim.idx, sim.i, sim.j, least(greatest(s / (r + 1e-8), 1e-8), 1.0) AS q
   FROM sim JOIN rowsum USING (idx, i)),
 rows_all AS (
   SELECT paras.idx, paras.p AS i, multi.m FROM paras JOIN multi USING (idx)),
 row_terms AS (
   SELECT ra.idx, ra.i, ra.m,
-         coalesce(sum(prob.q), 0) + (ra.m - coalesce(any_value(rs.nnz), 0)) * 1e-8 AS z,
-         coalesce(sum(prob.q * ln(prob.q)), 0) + (ra.m - coalesce(any_value(rs.nnz), 0)) * 1e-8 * ln(1e-8) AS ql
+         coalesce(list_sum(list(prob.q ORDER BY prob.j)), 0) + (ra.m - coalesce(any_value(rs.nnz), 0)) * 1e-8 AS z,
+         coalesce(list_sum(list(prob.q * ln(prob.q) ORDER BY prob.j)), 0)
+           + (ra.m - coalesce(any_value(rs.nnz), 0)) * 1e-8 * ln(1e-8) AS ql
   FROM rows_all ra
   LEFT JOIN rowsum rs ON rs.idx = ra.idx AND rs.i = ra.i
   LEFT JOIN prob ON prob.idx = ra.idx AND prob.i = ra.i
   GROUP BY ra.idx, ra.i, ra.m),
-entropy AS (SELECT idx, avg(ln(z) - ql / z) AS semantic_entropy FROM row_terms GROUP BY idx)"""
+entropy AS (
+  SELECT idx, list_sum(list(ln(z) - ql / z ORDER BY i)) / count(*) AS semantic_entropy FROM row_terms GROUP BY idx)"""
 
 QUALITY = f"""{MEMBERS},
 m AS (
