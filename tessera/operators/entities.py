@@ -151,6 +151,25 @@ def title_entity_overlap(entities: Column | str, title: Column | str, lang: Colu
     )
 
 
+def selection_flag(corpus: DataFrame, out_col: str = "selected") -> DataFrame:
+    """Add the stage-1 routing flag to every corpus row (built-in recogniser).
+
+    Pure column expressions, so any per-row analysis can carry the flag
+    without a join; blank rows are never selected.
+    """
+    fp = first_paragraph("text")
+    ents = builtin_entities(py_strip(fp), "lang")
+    valid = title_is_valid("title")
+    flag = (
+        ~is_blank("title")
+        & ~is_blank(fp)
+        & valid
+        & title_entity_overlap(ents, "title", "lang")
+        & (F.size(ents) > 0)
+    )
+    return corpus.withColumn(out_col, F.coalesce(flag, F.lit(False)))
+
+
 def ner_records(corpus: DataFrame, recognizer=None, keep_first_paragraph: bool = False) -> DataFrame:
     """Stage-1 records for every non-blank article, with the routing flag.
 

@@ -64,3 +64,23 @@ def source_comparison(raw: DataFrame, selected: DataFrame, lang_col: str = "lang
         F.coalesce("raw_share", F.lit(0.0)).alias("raw_share"),
         F.coalesce("selected_share", F.lit(0.0)).alias("selected_share"),
     )
+
+
+def source_centroid_shift(df: DataFrame, vec_col: str, flag_col: str, dim: int, lang_col: str = "lang") -> DataFrame:
+    """Per language: cosine distance between the mean vector of all rows and of
+    the flagged (selected) rows - one aggregation with ``2 * dim`` means."""
+    from ..functions.vectors import cosine_distance
+
+    aggs = [F.count(F.lit(1)).alias("n_raw"), F.sum(F.col(flag_col).cast("long")).alias("n_selected")]
+    for i in range(dim):
+        x = F.col(vec_col)[i]
+        aggs += [F.avg(x).alias(f"r{i}"), F.avg(F.when(F.col(flag_col), x)).alias(f"s{i}")]
+    per = df.groupBy(lang_col).agg(*aggs)
+    raw = F.array(*[F.col(f"r{i}") for i in range(dim)])
+    sel = F.array(*[F.col(f"s{i}") for i in range(dim)])
+    return per.select(
+        lang_col,
+        "n_raw",
+        F.coalesce("n_selected", F.lit(0)).cast("bigint").alias("n_selected"),
+        F.when(F.col("n_selected") > 0, cosine_distance(raw, sel)).alias("centroid_distance"),
+    )

@@ -400,6 +400,24 @@ SQL: dict[str, str] = {
     WHERE sample_rank <= 50""",
     "lang_share": w(CORPUS)
     + "SELECT lang, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT lang, count(*) AS n FROM corpus GROUP BY lang)",
+    "source_centroids": w(CORPUS, NER)
+    + """, tw AS ("""
+    + normalized("(" + token_counts("corpus", "lang, idx", "text") + ")", "lang, idx")
+    + """),
+    flags AS (
+      SELECT c.lang, c.idx, coalesce(r.selected, false) AS selected
+      FROM corpus c LEFT JOIN ner_records r ON r.lang_code = c.lang AND r."index" = c.idx),
+    counts AS (SELECT lang, count(*) AS n_raw, sum(CASE WHEN selected THEN 1 ELSE 0 END) AS n_sel FROM flags GROUP BY lang),
+    cent AS (
+      SELECT tw.lang, tw.dim,
+             sum(tw.w) / any_value(counts.n_raw) AS r,
+             sum(CASE WHEN f.selected THEN tw.w ELSE 0 END) / nullif(any_value(counts.n_sel), 0) AS s
+      FROM tw JOIN flags f USING (lang, idx) JOIN counts USING (lang) GROUP BY tw.lang, tw.dim),
+    sims AS (
+      SELECT lang, sum(r * s) / (sqrt(sum(r * r)) * sqrt(sum(s * s))) AS cs FROM cent GROUP BY lang)
+    SELECT counts.lang, counts.n_raw, CAST(counts.n_sel AS BIGINT) AS n_selected,
+           CASE WHEN counts.n_sel > 0 THEN round(least(greatest(1.0 - sims.cs, 0.0), 2.0), 6) END AS centroid_distance
+    FROM counts LEFT JOIN sims USING (lang)""",
     "source_comparison": w(CORPUS, NER)
     + """, a AS (SELECT lang, count(*) AS n FROM corpus GROUP BY lang),
     b AS (SELECT lang_code AS lang, count(*) AS n FROM ner_records WHERE selected GROUP BY 1)

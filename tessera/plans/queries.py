@@ -484,6 +484,17 @@ def q_lang_share(spark, sf):
     return lang_share(_corpus(spark, sf)).withColumn("share", r6(F.col("share")))
 
 
+def q_source_centroids(spark, sf):
+    """R4, centroid side: raw vs selected mean text embedding per language."""
+    from ..operators.entities import selection_flag
+    from ..operators.report import source_centroid_shift
+
+    flagged = selection_flag(_corpus(spark, sf))
+    vecs = embed_texts(flagged.select("lang", "idx", "text", "selected"), "text", "vec", normalize=True)
+    out = source_centroid_shift(vecs, "vec", "selected", EMB_DIM)
+    return out.withColumn("centroid_distance", r6(F.col("centroid_distance")))
+
+
 def q_source_comparison(spark, sf):
     sel = _ner(spark, sf).where("selected").select(F.col("lang_code").alias("lang"))
     out = source_comparison(_corpus(spark, sf), sel)

@@ -70,3 +70,14 @@ def test_spacy_plugin_is_gated():
     else:  # pragma: no cover - only where spaCy is installed
         with pytest.raises(ValueError):
             rec("xx", ["text"])
+
+
+def test_selection_flag_agrees_with_records(spark):
+    from tessera.operators.entities import selection_flag
+    from tessera.sources.corpus import load_corpus
+    from tests.conftest import SF_SMALL
+
+    corpus = load_corpus(spark, SF_SMALL)
+    flagged = {(r["lang"], r["idx"]) for r in selection_flag(corpus).where("selected").collect()}
+    recs = {(r["lang_code"], r["index"]) for r in ner_records(corpus).where("selected").collect()}
+    assert flagged == recs and len(flagged) > 0
