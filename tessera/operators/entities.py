@@ -158,16 +158,15 @@ def selection_flag(corpus: DataFrame, out_col: str = "selected") -> DataFrame:
     without a join; blank rows are never selected.
     """
     fp = first_paragraph("text")
-    ents = builtin_entities(py_strip(fp), "lang")
-    valid = title_is_valid("title")
+    with_ents = corpus.withColumn("_ents", builtin_entities(py_strip(fp), "lang"))
     flag = (
         ~is_blank("title")
         & ~is_blank(fp)
-        & valid
-        & title_entity_overlap(ents, "title", "lang")
-        & (F.size(ents) > 0)
+        & title_is_valid("title")
+        & title_entity_overlap("_ents", "title", "lang")
+        & (F.size("_ents") > 0)
     )
-    return corpus.withColumn(out_col, F.coalesce(flag, F.lit(False)))
+    return with_ents.withColumn(out_col, F.coalesce(flag, F.lit(False))).drop("_ents")
 
 
 def ner_records(corpus: DataFrame, recognizer=None, keep_first_paragraph: bool = False) -> DataFrame:

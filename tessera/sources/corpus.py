@@ -45,10 +45,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     inference) would then run on one core. Large inputs have many splits and
     are left untouched (no shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

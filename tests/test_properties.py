@@ -60,3 +60,16 @@ def test_json_array_reader(spark):
         json.dump(clusters, f, indent=4)
     rows = read_json_array(spark, p, CURATED_CLUSTER).orderBy("cluster_id").collect()
     assert [(r["cluster_id"], r["cluster_size"], r["indices"]) for r in rows] == [(0, 2, [4, 9]), (1, 0, [])]
+
+
+def test_routes_partition_the_input(spark):
+    from tessera.functions.text import first_paragraph, is_blank
+    from tessera.operators.entities import ner_records
+
+    corpus = Q._corpus(spark, SF_SMALL)
+    recs = ner_records(corpus)
+    n_sel = recs.where("selected").count()
+    n_filt = recs.where("NOT selected").count()
+    skipped = corpus.where(is_blank("title") | is_blank(first_paragraph("text"))).count()
+    assert n_sel + n_filt + skipped == corpus.count()
+    assert recs.select("lang_code", "index").distinct().count() == n_sel + n_filt
