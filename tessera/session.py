@@ -15,12 +15,30 @@ DEFAULT_CONF = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    # long documents: bound Python-bound batches by bytes as well as rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+def cluster_conf(total_cores: int, split_mb: int = 128, shuffle_target_mb: int = 128) -> dict[str, str]:
+    """Partition sizing for a cluster run (pass as ``extra_conf``).
+
+    Input splits of ``split_mb``; shuffles start at ``4 x cores`` partitions and
+    AQE coalesces them towards ``shuffle_target_mb`` (or splits skewed ones),
+    so each task's share fits executor memory whatever the scale factor.
+    """
+    return {
+        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
+        "spark.sql.shuffle.partitions": str(4 * total_cores),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(4 * total_cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{shuffle_target_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * shuffle_target_mb}m",
+    }
+
+
 def get_session(
     master: str | None = None,
     app_name: str = "tessera",

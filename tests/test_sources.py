@@ -77,3 +77,11 @@ def test_checkpoint_dir_comes_from_session(spark):
 
     d = ensure_checkpoint_dir(spark)
     assert d and d == spark.sparkContext.getCheckpointDir()
+
+
+def test_cluster_conf_sizes():
+    from tessera.session import cluster_conf
+
+    c = cluster_conf(8000)
+    assert c["spark.sql.shuffle.partitions"] == "32000"
+    assert c["spark.sql.files.maxPartitionBytes"] == "128m"
