@@ -363,8 +363,11 @@ def q_cluster_count_rule(spark, sf):
 
 
 def _fixed_label_articles(spark, sf):
-    arts = _selected_articles(spark, sf).join(
-        _vectors(spark, sf).select(F.col("vec_id").alias("idx"), "label"), "idx"
+    from ..session import cut_lineage
+
+    # stage-1 output used three times below: materialise it once
+    arts = cut_lineage(
+        _selected_articles(spark, sf).join(_vectors(spark, sf).select(F.col("vec_id").alias("idx"), "label"), "idx")
     )
     ks = k_per_language(arts)
     lab = arts.join(ks.select("lang", "k"), "lang").withColumn(
