@@ -52,6 +52,8 @@ def main(argv=None) -> None:
     ap.add_argument("--ratio", type=float, default=DOMINANCE_RATIO)
     ap.add_argument("--max-iter", type=int, default=300)
     ap.add_argument("--order", choices=["index", "merge"], default="index")
+    ap.add_argument("--pool-from", choices=["all", "top_texts"], default="all")
+    ap.add_argument("--drop-outliers", action="store_true")
     args = ap.parse_args(argv)
 
     spark = get_session()
@@ -60,7 +62,16 @@ def main(argv=None) -> None:
 
     if args.stage == "all":
         write_stages(
-            run_all_stages(corpus, quality_langs=langs, k_multi=args.k, ratio=args.ratio, max_iter=args.max_iter, order=args.order),
+            run_all_stages(
+                corpus,
+                quality_langs=langs,
+                k_multi=args.k,
+                ratio=args.ratio,
+                max_iter=args.max_iter,
+                order=args.order,
+                pool_from=args.pool_from,
+                drop_outliers=args.drop_outliers,
+            ),
             args.out,
         )
     elif args.stage == "ner":
@@ -83,6 +94,8 @@ def main(argv=None) -> None:
         members = spark.read.parquet(args.clusters).where(F.col("idx").isNotNull())
         top_members = members.join(top, ["lang", "cluster_id"])
         pool = pool_articles(top_members, corpus, with_sel_pos=True, order_cols=["cluster_rank", "member_pos"])
-        samples, _, dominated = run_multi_lang(pool, k=args.k, ratio=args.ratio, max_iter=args.max_iter)
+        samples, _, dominated = run_multi_lang(
+            pool, k=args.k, ratio=args.ratio, max_iter=args.max_iter, drop_outliers=args.drop_outliers
+        )
         _parquet(samples, f"{args.out}/samples", ["lang_code"])
         _parquet(dominated, f"{args.out}/dominated")

@@ -31,3 +31,12 @@ def test_all_stages_end_to_end(spark):
     assert os.path.isdir(os.path.join(out, "ner", "selected"))
     back = spark.read.parquet(os.path.join(out, "cluster_quality"))
     assert back.count() == len(sc)
+
+
+def test_pool_from_top_texts_and_outlier_option(spark):
+    corpus = load_corpus(spark, SF_SMALL)
+    res = run_all_stages(corpus, k_multi=10, max_iter=10, pool_from="top_texts", drop_outliers=True)
+    top = {(r["lang"], r["idx"]) for r in res.top_texts.join(res.cluster_scores.where("is_top"), ["lang", "cluster_id"]).collect()}
+    pooled = {(r["lang_code"], r["idx"]) for r in res.pool.collect()}
+    assert pooled <= top
+    assert res.samples.count() <= res.pool.count()
