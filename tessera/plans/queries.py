@@ -244,7 +244,10 @@ def q_knn_neighbours(spark, sf):
     from ..operators.knn import knn_neighbours
     from .quality_selection import GROUP, cluster_members
 
-    m = cluster_members(_given_members(spark, sf), _corpus(spark, sf))
+    from ..session import cut_lineage
+
+    # members feed the size aggregate and both sides of the block join: materialise once
+    m = cut_lineage(cluster_members(_given_members(spark, sf), _corpus(spark, sf)).select(*GROUP, "idx", "vec"))
     nn = knn_neighbours(m, GROUP, "idx", "vec")
     return nn.select("lang", "cluster_id", "idx", "nn_rank", "nn_id", r6(F.col("distance")).alias("distance"))
 
