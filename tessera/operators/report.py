@@ -84,3 +84,24 @@ def source_centroid_shift(df: DataFrame, vec_col: str, flag_col: str, dim: int,
         F.coalesce("n_selected", F.lit(0)).cast("bigint").alias("n_selected"),
         F.when(F.col("n_selected") > 0, cosine_distance(raw, sel)).alias("centroid_distance"),
     )
+
+
+def flagged_source_comparison(df: DataFrame, flag_col: str, lang_col: str = "lang") -> DataFrame:
+    """``source_comparison`` for a selection given as a flag column: one pass.
+
+    Counts of all rows and of flagged rows per language come from a single
+    aggregation; shares are taken over that per-language table.
+    """
+    per = df.groupBy(lang_col).agg(
+        F.count(F.lit(1)).alias("raw_n"), F.sum(F.col(flag_col).cast("long")).alias("selected_n")
+    )
+    everything = Window.partitionBy()
+    return per.select(
+        lang_col,
+        F.col("raw_n").cast("bigint").alias("raw_n"),
+        F.coalesce("selected_n", F.lit(0)).cast("bigint").alias("selected_n"),
+        F.try_divide(F.col("raw_n"), F.sum("raw_n").over(everything)).alias("raw_share"),
+        F.coalesce(F.try_divide(F.col("selected_n"), F.sum("selected_n").over(everything)), F.lit(0.0)).alias(
+            "selected_share"
+        ),
+    )

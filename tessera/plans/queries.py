@@ -502,8 +502,11 @@ def q_source_centroids(spark, sf):
 
 
 def q_source_comparison(spark, sf):
-    sel = _ner(spark, sf).where("selected").select(F.col("lang_code").alias("lang"))
-    out = source_comparison(_corpus(spark, sf), sel)
+    """R4, share side: raw vs selected language shares in one pass over the corpus."""
+    from ..operators.entities import selection_flag
+    from ..operators.report import flagged_source_comparison
+
+    out = flagged_source_comparison(selection_flag(_corpus(spark, sf)).select("lang", "selected"), "selected")
     return out.withColumn("raw_share", r6(F.col("raw_share"))).withColumn("selected_share", r6(F.col("selected_share")))
 
 

@@ -73,3 +73,15 @@ def test_routes_partition_the_input(spark):
     skipped = corpus.where(is_blank("title") | is_blank(first_paragraph("text"))).count()
     assert n_sel + n_filt + skipped == corpus.count()
     assert recs.select("lang_code", "index").distinct().count() == n_sel + n_filt
+
+
+def test_flagged_comparison_equals_two_source_join(spark):
+    from tessera.operators.entities import ner_records, selection_flag
+    from tessera.operators.report import flagged_source_comparison, source_comparison
+    from pyspark.sql import functions as F
+
+    corpus = Q._corpus(spark, SF_SMALL)
+    one = flagged_source_comparison(selection_flag(corpus), "selected").orderBy("lang").collect()
+    sel = ner_records(corpus).where("selected").select(F.col("lang_code").alias("lang"))
+    two = source_comparison(corpus, sel).orderBy("lang").collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
