@@ -11,7 +11,10 @@ Per cluster (group ``(lang, cluster_id)``):
 7. cluster score = mean entropy of its top texts;
 8. per language, the first ``int(n * 0.2)`` clusters by score are *top*.
 
-All languages run in one plan keyed by ``(lang, cluster_id)``.
+All languages run in one plan keyed by ``(lang, cluster_id)``. The member
+texts (and vectors) and the entropy results are checkpointed once, so the
+corpus is looked up once and inference runs once; stage 4 pools from the
+materialised member texts.
 """
 
 from __future__ import annotations
