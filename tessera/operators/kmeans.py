@@ -16,7 +16,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,14 +158,17 @@ def assign_nearest(
     return pos.join(id_map, "_pos").drop("_pos")
 
 
-def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int) -> DataFrame:
+def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
     """Mean vector per cluster: ``(cluster, centroid array<double>, n)``.
 
-    One aggregation with ``dim`` averages (map-side combined), no explode.
+    One grouped ``Summarizer`` aggregate (array buffers, map-side combined) -
+    no explode and no per-dimension aggregate expressions, whatever ``dim``.
     """
-    aggs = [F.avg(F.col(vec_col)[i]).alias(f"_c{i}") for i in range(dim)]
-    per = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    return per.select(cluster_col, F.array(*[F.col(f"_c{i}") for i in range(dim)]).alias("centroid"), "n")
+    feats = df.select(cluster_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_f"))
+    per = feats.groupBy(cluster_col).agg(
+        F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_f")).alias("_m")
+    )
+    return per.select(cluster_col, vector_to_array("_m").alias("centroid"), "n")
 
 
 def collect_centres(cents: DataFrame, cluster_col: str, max_bytes: int = 1 << 30):

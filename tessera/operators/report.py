@@ -66,23 +66,32 @@ def source_comparison(raw: DataFrame, selected: DataFrame, lang_col: str = "lang
     )
 
 
-def source_centroid_shift(df: DataFrame, vec_col: str, flag_col: str, dim: int, lang_col: str = "lang") -> DataFrame:
+def source_centroid_shift(df: DataFrame, vec_col: str, flag_col: str, dim: int | None = None, lang_col: str = "lang") -> DataFrame:
     """Per language: cosine distance between the mean vector of all rows and of
-    the flagged (selected) rows - one aggregation with ``2 * dim`` means."""
+    the flagged (selected) rows - one grouped aggregation with two vector
+    means (``Summarizer``; the selected mean weights rows by the 0/1 flag)."""
+    from pyspark.ml.stat import Summarizer
+
     from ..functions.vectors import cosine_distance
 
-    aggs = [F.count(F.lit(1)).alias("n_raw"), F.sum(F.col(flag_col).cast("long")).alias("n_selected")]
-    for i in range(dim):
-        x = F.col(vec_col)[i]
-        aggs += [F.avg(x).alias(f"r{i}"), F.avg(F.when(F.col(flag_col), x)).alias(f"s{i}")]
-    per = df.groupBy(lang_col).agg(*aggs)
-    raw = F.array(*[F.col(f"r{i}") for i in range(dim)])
-    sel = F.array(*[F.col(f"s{i}") for i in range(dim)])
+    feats = df.select(
+        lang_col,
+        array_to_vector(F.col(vec_col).cast("array<double>")).alias("_f"),
+        F.col(flag_col).cast("double").alias("_w"),
+    )
+    per = feats.groupBy(lang_col).agg(
+        F.count(F.lit(1)).alias("n_raw"),
+        F.sum("_w").cast("bigint").alias("n_selected"),
+        Summarizer.mean(F.col("_f")).alias("_raw"),
+        Summarizer.mean(F.col("_f"), F.col("_w")).alias("_sel"),
+    )
     return per.select(
         lang_col,
         "n_raw",
         F.coalesce("n_selected", F.lit(0)).cast("bigint").alias("n_selected"),
-        F.when(F.col("n_selected") > 0, cosine_distance(raw, sel)).alias("centroid_distance"),
+        F.when(
+            F.col("n_selected") > 0, cosine_distance(vector_to_array("_raw"), vector_to_array("_sel"))
+        ).alias("centroid_distance"),
     )
 
 
