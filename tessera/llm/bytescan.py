@@ -65,6 +65,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the hash base and of its inverse."""
+    return _POWERS.upto(n)
+
+
 def span_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of ``units`` (bytes or code points): a
     polynomial, read off one running sum, then mixed."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid
+from tessera.llm import bpe, decontam, langid, linededup, neardup
 from tessera.llm.sql import SQL
 from tessera.session import table_path
 
@@ -47,6 +47,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @register
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
@@ -57,3 +64,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@register
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: removed lines and digest of the text left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = linededup.without_lines(docs, linededup.repeated_lines(docs))
+    return left.select("doc_id", "exact_lines", "near_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

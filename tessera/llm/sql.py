@@ -33,3 +33,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAS
   sha256(coalesce(list_aggregate(list_sort(ids), 'string_agg', ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n_hit ON n_hit.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id
 """
+
+SQL["op10_line_dedup"] = f"""
+WITH ln AS (
+  SELECT doc_id, i - 1 AS line, w, list_aggregate(w, 'string_agg', ' ') AS s, len(w) AS n
+  FROM (SELECT doc_id, i, {BLACK_WORDS.format(x=LOWER.format(x="lines[i]"))} AS w
+        FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL)))
+  WHERE len(w) >= 3
+),
+u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min({{'d': doc_id, 'l': line}}) AS f FROM ln GROUP BY s),
+cut AS (
+  SELECT s, n, f, i, coalesce(list_aggregate(list_concat(w[1:i - 1], w[i + 1:n]), 'string_agg', ' '), '') AS v
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 8)
+),
+near AS (
+  SELECT a.s FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.f < a.f
+  UNION SELECT a.s FROM cut a JOIN u b ON a.v = b.s AND b.n >= 8 AND b.f < a.f
+  UNION SELECT b.s FROM cut a JOIN u b ON a.v = b.s AND b.n >= 8 AND a.f < b.f
+),
+gone AS (
+  SELECT doc_id, line, {{'d': doc_id, 'l': line}} <> u.f AS ex, near.s IS NOT NULL AS nr
+  FROM ln JOIN u ON u.s = ln.s LEFT JOIN near ON near.s = ln.s
+),
+per AS (
+  SELECT doc_id, count(*) FILTER (WHERE ex) AS e, count(*) FILTER (WHERE NOT ex) AS m, list(line) AS ls
+  FROM gone WHERE ex OR nr GROUP BY 1
+)
+SELECT d.doc_id, coalesce(e, 0) AS exact_lines, coalesce(m, 0) AS near_lines,
+  sha256(CASE WHEN ls IS NULL THEN text ELSE coalesce(list_aggregate(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ls, i - 1)), 'string_agg', chr(10)), '') END) AS text_sha256
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
