@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, linededup, neardup
+from tessera.llm import bpe, decontam, hmm, imatch, langid, licenses, linededup, neardup, urlfilter
+from tessera.llm.tokencounts import TokenRollup, count_words
 from tessera.llm.sql import SQL
 from tessera.session import table_path
 
@@ -33,6 +34,40 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.score(docs, model).select("doc_id", (langid.crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@register
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents, the second committed twice.
+
+    ``load`` inserts every document under two tokenizer versions (white-space
+    words; runs of ASCII letters and digits or other non-ASCII characters).
+    ``repeats`` revises the first version's counts to what is left when a
+    document's repeated lines count once. ``blank`` deletes documents without a
+    word under either version.
+    """
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("source", "lang", text.alias("text"))
+    counted = docs.select(
+        "source",
+        "lang",
+        count_words().alias("words"),
+        F.regexp_count("text", F.lit(r"[A-Za-z0-9\x{80}-\x{10FFFF}]+")).cast("long").alias("runs"),
+        F.regexp_count(F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("once"),
+    )
+    versions = F.explode(F.array(F.struct(F.lit("words-1").alias("tokenizer_version"), F.col("words").alias("n")), F.struct(F.lit("runs-1").alias("tokenizer_version"), F.col("runs").alias("n"))))
+    both = counted.select("source", "lang", "words", "runs", versions.alias("v")).select("source", "lang", "words", "runs", "v.*")
+    none = F.lit(None).cast("long")
+    load = both.select(F.lit("insert").alias("op"), "source", "lang", "tokenizer_version", F.col("n").alias("n_tokens"), none.alias("n_tokens_before"))
+    repeats = counted.where("once <> words").select(F.lit("revise").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer_version"), F.col("once").alias("n_tokens"), F.col("words").alias("n_tokens_before"))
+    blank = both.where("words = 0 OR runs = 0").select(F.lit("delete").alias("op"), "source", "lang", "tokenizer_version", none.alias("n_tokens"), F.col("n").alias("n_tokens_before"))
+    rollup = TokenRollup.temporary(spark)
+    rollup.commit("load", load)
+    rollup.commit("repeats", repeats)
+    rollup.commit("repeats", repeats)
+    rollup.commit("blank", blank)
+    rollup.compact()
+    return rollup.totals()
+
+
 @register
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
@@ -47,6 +82,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and likeness to the next."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.compared_with_next(docs, imatch.build_lexicon(docs))
+
+
 @register
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
@@ -54,6 +96,19 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@register
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page URL: the rules', else the models'."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@register
+def op7_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under the model learned from ids outside remainder 2 of 7."""
+    docs = table(spark, sf_dir, "documents")
+    return hmm.score(docs, langid.crc_bucket(F.col("doc_id"), 7) == 2)
+
+
 @register
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their decoding, as digests."""
@@ -66,6 +121,26 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document: base phrases and rules."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    base, more = F.col("base.label"), F.col("detections.label")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.first").alias("first_word"),
+        F.array_max("base.first").alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.concat(base, more)).alias("labels"),
+        # sure of any label: one minus the chance that all evidence is mistaken
+        F.round(1 - F.aggregate(F.concat(F.transform("base", lambda _: F.lit(0.9)), F.col("detections.confidence")), F.lit(1.0), lambda acc, c: acc * (1 - c)), 9).alias("score"),
+        F.col("detections.rule").alias("rules"),
+    )
+
+
 @register
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: removed lines and digest of the text left."""

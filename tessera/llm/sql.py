@@ -64,3 +64,19 @@ SELECT d.doc_id, coalesce(e, 0) AS exact_lines, coalesce(m, 0) AS near_lines,
   sha256(CASE WHEN ls IS NULL THEN text ELSE coalesce(list_aggregate(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(ls, i - 1)), 'string_agg', chr(10)), '') END) AS text_sha256
 FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
 """
+
+SQL["op2_token_counts"] = r"""
+WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
+c AS (
+  SELECT source, lang, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
+    len(regexp_extract_all(t, '[A-Za-z0-9\x{80}-\x{10FFFF}]+')) AS runs,
+    (SELECT coalesce(sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))), 0) FROM (SELECT DISTINCT unnest(string_split(t, chr(10))) AS line)) AS once
+  FROM d
+)
+SELECT source, lang, tokenizer_version, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
+  SELECT source, lang, 'words-1' AS tokenizer_version, CASE WHEN words = 0 OR runs = 0 THEN 0 ELSE 1 END AS n_docs,
+    once - CASE WHEN words = 0 OR runs = 0 THEN words ELSE 0 END AS n FROM c
+  UNION ALL
+  SELECT source, lang, 'runs-1', CASE WHEN words = 0 OR runs = 0 THEN 0 ELSE 1 END, CASE WHEN words = 0 OR runs = 0 THEN 0 ELSE runs END FROM c
+) GROUP BY ALL HAVING sum(n_docs) <> 0 OR sum(n) <> 0
+"""

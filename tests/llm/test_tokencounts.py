@@ -1,0 +1,88 @@
+import random
+from collections import Counter
+
+import pytest
+
+from tessera.llm.tokencounts import GROUP, TokenRollup, count_words, signed_deltas
+from tests.llm.helpers import ODD, black_words, odd_documents
+
+CHANGES = "op string, source string, lang string, tokenizer_version string, n_tokens long, n_tokens_before long, extra string"
+
+
+def rows_of(df):
+    return {tuple(r[c] for c in GROUP): (r["n_docs"], r["n_tokens"]) for r in df.collect()}
+
+
+def made_up_batches(seed=2):
+    """Random life cycles of documents, and what must be left at the end."""
+    rng, live, batches = random.Random(seed), {}, []
+    for _ in range(5):
+        batch = []
+        for k in range(60):
+            group = (rng.choice(["hot", "hot", "b", None]), rng.choice(["en", "de", None]), rng.choice(["v1", "v2"]))
+            action = rng.choice(["insert", "Delete", "revise"])
+            if action == "insert" or not live:
+                key, n = rng.random(), rng.randint(0, 50)
+                live[key] = (group, n)
+                batch.append(("insert", *group, n, None, "x"))
+            else:
+                key = rng.choice(list(live))
+                group, before = live[key]
+                if action == "Delete":
+                    del live[key]
+                    batch.append((action, *group, None, before, "x"))
+                else:
+                    n = rng.randint(0, 50)
+                    live[key] = (group, n)
+                    batch.append((action, *group, n, before, "x"))
+        batches.append(batch)
+    docs, tokens = Counter(), Counter()
+    for group, n in live.values():
+        docs[group] += 1
+        tokens[group] += n
+    return batches, {g: (docs[g], tokens[g]) for g in docs}
+
+
+def test_totals_equal_a_recount_and_repeats_change_nothing(spark):
+    batches, want = made_up_batches()
+    rollup = TokenRollup.temporary(spark)
+    assert rollup.totals().count() == 0
+    for k, batch in enumerate(batches):
+        frame = spark.createDataFrame(batch, CHANGES)
+        assert rollup.commit(f"b-{k}", frame)
+        assert not rollup.commit(f"b-{k}", frame)
+        if k == 2:
+            rollup.compact()
+            assert rollup.committed("b-1") and not rollup.commit("b-1", frame)
+    assert rows_of(rollup.totals()) == want
+    rollup.compact()
+    rollup.compact()
+    assert rows_of(rollup.totals()) == want
+    assert not rollup.commit("b-4", spark.createDataFrame(batches[4], CHANGES))
+
+
+def test_a_half_written_batch_does_not_count(spark):
+    rollup = TokenRollup.temporary(spark)
+    frame = spark.createDataFrame([("insert", "a", "en", "v1", 5, None, "")], CHANGES)
+    rollup.commit("one", frame)
+    system, mark = rollup._file(f"{rollup.path}/batch-one/_SUCCESS")
+    system.delete(mark, False)
+    assert rollup.totals().count() == 0 and not rollup.committed("one")
+    assert rollup.commit("one", frame) and rows_of(rollup.totals()) == {("a", "en", "v1"): (1, 5)}
+
+
+def test_deltas_of_odd_rows(spark):
+    rows = [("insert", None, None, "v", None, None, ""), ("INSERT", None, None, "v", 3, None, ""), ("revise", "a", "en", "v", 3, None, ""), ("delete", "b", "en", "v", None, 4, ""), ("insert", "b", "en", "v", 4, None, "")]
+    got = rows_of(signed_deltas(spark.createDataFrame(rows, CHANGES)))
+    assert got == {(None, None, "v"): (2, 3), ("a", "en", "v"): (0, 3)}
+    assert signed_deltas(spark.createDataFrame([], CHANGES)).count() == 0
+    for bad in ("upsert", None):
+        with pytest.raises(Exception, match="unknown change"):
+            signed_deltas(spark.createDataFrame([(bad, "a", "en", "v", 1, None, "")], CHANGES)).collect()
+    with pytest.raises(ValueError):
+        TokenRollup.temporary(spark).commit("../x", spark.createDataFrame(rows, CHANGES))
+
+
+def test_word_count(spark):
+    got = {(r[0], r[1]): r[2] for r in odd_documents(spark).select("doc_id", "text", count_words().alias("n")).collect()}
+    assert all(got[i, t] == len(black_words(t)) for i, t, *_ in ODD)
