@@ -34,7 +34,7 @@ from tessera.llm.scratch import schema_with
 #: The band as shares of documents: inverse document frequencies ln(1 / 0.05) = 3.0 to ln(1 / 0.001) = 6.9.
 MIN_SHARE, MAX_SHARE = 0.001, 0.05
 MIN_TERMS = 3
-LEVELS, COPIES = 5, 12
+LEVELS, COPIES = 5, 24
 
 _SEEDS = odd_constants(COPIES, 23)
 
@@ -114,7 +114,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MI
 
 
 def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """(texts, LEVELS * COPIES) 32-bit hashes; 0 for a subset that selects nothing."""
+    """(texts, LEVELS * COPIES) 16-bit hashes; 0 for a subset that selects nothing."""
     value, first = distinct_terms(data, offsets)
     inside = lexicon.holds(value)
     count = np.concatenate([[0], np.cumsum(inside)])[first]
@@ -122,7 +122,7 @@ def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np
     inside |= np.repeat(few, np.diff(first))
     count = np.concatenate([[0], np.cumsum(inside)])
     value, first = value[inside], count[first]
-    out = np.zeros((len(first) - 1, LEVELS * COPIES), dtype=np.uint32)
+    out = np.zeros((len(first) - 1, LEVELS * COPIES), dtype=np.uint16)
     for c in range(COPIES):
         x = mix(value * _SEEDS[c])
         at = np.arange(len(x))
@@ -131,8 +131,8 @@ def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x[at]))])
             edge = np.searchsorted(at, first)
             some = edge[1:] > edge[:-1]
-            h = (mix(total[edge[1:]] - total[edge[:-1]]) >> np.uint64(32)).astype(np.uint32)
-            out[:, level * COPIES + c] = np.where(some, h | np.uint32(1), 0)
+            h = (mix(total[edge[1:]] - total[edge[:-1]]) >> np.uint64(48)).astype(np.uint16)
+            out[:, level * COPIES + c] = np.where(some, h | np.uint16(1), 0)
     return out
 
 
@@ -150,9 +150,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def as_text(hashes: np.ndarray) -> list[str]:
-    """Fingerprints as strings: eight hex digits per subset."""
-    raw = hashes.astype(">u4").tobytes().hex()
-    width = hashes.shape[1] * 8
+    """Fingerprints as strings: four hex digits per subset."""
+    raw = hashes.astype(">u2").tobytes().hex()
+    width = hashes.shape[1] * 4
     return [raw[k : k + width] for k in range(0, len(raw), width)]
 
 

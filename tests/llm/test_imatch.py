@@ -49,7 +49,7 @@ def test_edits_keep_likeness_and_strangers_have_none(spark):
     assert (got.near_edited > got.near_next)[differ].mean() > 0.97
     assert got.near_edited.mean() > 0.3 and got.near_next[differ].mean() < 0.05
     for a, b in zip(got.fingerprint, got.edited_fingerprint, strict=True):
-        assert len(a) == len(b) == 8 * imatch.LEVELS * imatch.COPIES
+        assert len(a) == len(b) == 4 * imatch.LEVELS * imatch.COPIES
 
 
 def test_terms_count_as_sets(spark):
