@@ -8,18 +8,19 @@ lower-cased); with fewer words the whole sequence is its only element.
    64-bit words.
 2. *Classes*: documents with equal sets (128-bit digest of the set) are one class,
    represented by the smallest id. Copies leave the work here.
-3. *Candidates*: representatives that share a band key. First only (leader,
-   member) pairs, the leader being the smallest id of the bucket: n members
-   give n - 1 pairs. The packed signatures are compared by bit counts, and the
-   share of equal fields is corrected for chance equality (``2 ** -BITS``).
-   Pairs estimated far below the threshold (``MARGIN``, about five standard
-   errors) are dropped.
+3. *Candidates*: representatives that share a band key. In each of ``STAR_ROUNDS``
+   rounds, every bucket whose members are still in different components gets a
+   leader (the smallest id, then one by hash), and only (leader, member) pairs
+   are made: n members give n - 1 pairs. The packed signatures are compared by
+   bit counts, and the share of equal fields is corrected for chance equality
+   (``2 ** -BITS``). Pairs estimated far below the threshold (``MARGIN``, four
+   standard errors) are dropped.
 4. *Confirmation* on the full sets, then connected components.
-5. *The rest*: buckets whose members are still in different components are
-   compared member with member, but only across components, and the estimate is
-   part of the join condition: a pair that fails it is never emitted. Big buckets
-   are split into blocks, so no task gets a whole one. Confirmed links join
-   the components.
+5. *The rest*: in buckets that are still split, members of different components
+   are compared. Estimate and confirmation on the full sets are conditions of
+   the join, so a pair that is no link is never emitted; a pair is confirmed in
+   the first band it shares. Big buckets are cut into blocks, so no task gets a
+   whole one. The links join the components.
 
 Every pair that shares a band is thus linked, or confirmed to be no link, or already in
 one component. At similarity 0.75, a pair shares none of 32 bands of 4
@@ -37,13 +38,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import BLACK, Words, chunks, flat, mix, odd_constants, span_hashes, window_hashes
 from tessera.llm.components import components
-from tessera.llm.scratch import schema_with, semi_join, store
+from tessera.llm.scratch import map_batches, schema_with, semi_join, store
 
 SHINGLE = 5
 BANDS, ROWS, BITS = 32, 4, 4
 SIMILAR = (75, 100)
-#: Estimates this far below the threshold are not confirmed: 5 standard errors of 128 fields.
-MARGIN = 0.2
+#: Estimates this far below the threshold are not confirmed: 4 standard errors of 128 fields.
+MARGIN = 0.16
+STAR_ROUNDS = 3
 #: Members of a bucket that are compared in one block.
 BLOCK = 512
 
@@ -138,19 +140,22 @@ def equal_share(a: Column, b: Column) -> Column:
     return (same - chance) / (1 - chance)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, shingles binary``: full sets (ascending 64-bit hashes) of some documents."""
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, form: str = "binary") -> DataFrame:
+    """``id, shingles``: full sets (ascending 64-bit hashes) of some documents, packed or as ``array<long>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = flat(batch.column(1))
             for i, j in chunks(offsets):
                 value, first = shingle_sets(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(value)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed.cast(pa.binary())], names=["id", "shingles"])
+                if form == "binary":
+                    column = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(value)])
+                else:
+                    column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column], names=["id", "shingles"])
 
     rows = semi_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), ids, "id")
-    return rows.mapInArrow(run, schema_with(docs.schema[id_col].dataType, "shingles binary"))
+    return map_batches(rows, run, schema_with(docs.schema[id_col].dataType, f"shingles {form}"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -173,23 +178,66 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     schema = schema_with(kind, "b long")
     schema.fields[0].name, schema.names[0] = "a", "a"
     schema.fields[1].dataType = kind
-    return both.select("a", "b", "x", "y").mapInArrow(run, schema).distinct()
+    return map_batches(both.select("a", "b", "x", "y"), run, schema).distinct()
 
 
-def _across(buckets: DataFrame, least: float) -> DataFrame:
-    """``a, b``: members of one bucket, in different components, whose estimate is at least ``least``.
+def _labelled(rows: DataFrame, label: DataFrame | None, column: str = "id", name: str = "component") -> DataFrame:
+    """``rows`` with the component of ``column``; an id without a label is its own."""
+    if label is None:
+        return rows.withColumn(name, F.col(column))
+    known = label.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    return rows.join(known, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__component", column)).drop("__node", "__component")
 
-    Buckets are cut into blocks of about ``BLOCK`` members by hash, and each pair of blocks
-    is a join key of its own; the estimate is a condition of the join.
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after some more ``links(a, b)``."""
+    ends = _labelled(_labelled(links, label, "a", "ca"), label, "b", "cb")
+    more = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    if label is None:
+        return more
+    moved = label.join(more.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    old = moved.select("node", F.coalesce("root", "component").alias("component"))
+    return store(old.union(more.join(label, "node", "left_anti").select("node", "component")), "components")
+
+
+def _star_pairs(members: DataFrame, label: DataFrame | None, turn: int, least: float) -> DataFrame:
+    """``a < b``: the leader of each split bucket with members of other components, if the estimate is high enough."""
+    now = _labelled(members, label)
+    order = F.lit(0) if turn == 0 else F.xxhash64("id", F.lit(turn))
+    lead = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "id", "component", "sig")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    near = (F.col("component") != F.col("lead.component")) & (equal_share(F.col("sig"), F.col("lead.sig")) >= least)
+    return now.join(lead.select("key", "lead"), "key").where(near).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+
+
+def _links_across(members: DataFrame, label: DataFrame | None, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """``a, b``: links between members of one bucket in different components.
+
+    Buckets are cut into blocks of about ``BLOCK`` members by hash, and each pair
+    of blocks is a join key of its own. A first semi-join keeps the members with
+    any partner whose estimate is high enough; only their full sets are looked up.
     """
-    size = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = buckets.join(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    now = _labelled(members, label)
+    size = now.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    blocks = now.join(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = open_.select("key", F.col("own").alias("i"), F.explode(every).alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"))
-    right = open_.select("key", F.explode(every).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
-    near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (equal_share(F.col("sa"), F.col("sb")) >= least)
-    same = (left["key"] == right["key"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    return left.join(right, same & near).select("a", "b").distinct()
+
+    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        keep = ["key", "band", "blocks", "own", "id", "component", "sig", *more]
+        left = rows.select(*keep, F.col("own").alias("i"), F.explode(every).alias("j")).alias("l")
+        return left, rows.select(*keep, F.explode(every).alias("i"), F.col("own").alias("j")).alias("r")
+
+    at = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
+    near = (F.col("l.component") != F.col("r.component")) & (equal_share(F.col("l.sig"), F.col("r.sig")) >= least)
+    left, right = sides(blocks)
+    open_ = store(left.join(right, [*at, near], "left_semi").drop("i", "j").distinct(), "open-members")
+    sets = store(_sets(docs, open_.select("id").distinct(), id_col, text_col, "array<long>"), "open-sets")
+    wide = open_.join(sets, "id").join(reps.select("id", "keys"), "id")
+    left, right = sides(wide, "shingles", "keys")
+    same = F.size(F.array_intersect("l.shingles", "r.shingles"))
+    alike = F.lit(SIMILAR[1]) * same >= F.lit(SIMILAR[0]) * (F.size("l.shingles") + F.size("r.shingles") - same)
+    before = F.exists(F.zip_with(F.slice("l.keys", 1, F.col("l.band")), F.slice("r.keys", 1, F.col("r.band")), lambda x, y: x == y), lambda e: e)
+    found = left.join(right, [*at, F.col("l.id") < F.col("r.id"), near, ~before, alike])
+    return found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,36 +252,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketch = store(rows.mapInArrow(_sketch, schema_with(kind, "n long, one long, two long, keys array<long>, sig array<long>")), "sketch")
+    sketch = store(map_batches(rows, _sketch, schema_with(kind, "n long, one long, two long, keys array<long>, sig array<long>")), "sketch")
     known = sketch.where("n > 0 AND id IS NOT NULL")
     classes = store(known.groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("id"), "n", "one", "two"), ["id", "n", "one", "two"], "left_semi")
 
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
-    members = store(banded.join(shared.select("key", "leader"), "key"), "members")
-    signed = reps.select("id", "sig")
+    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    members = store(banded.join(shared, "key").join(reps.select("id", "sig"), "id"), "members")
     least = SIMILAR[0] / SIMILAR[1] - MARGIN
-    stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    close = (
-        stars.join(signed.withColumnRenamed("sig", "sa"), F.col("a") == F.col("id"))
-        .drop("id")
-        .join(signed.withColumnRenamed("sig", "sb"), F.col("b") == F.col("id"))
-        .where(equal_share(F.col("sa"), F.col("sb")) >= least)
-        .select("a", "b")
-    )
-    label = components(_confirmed(store(close, "stars"), docs, id_col, text_col))
-
-    def labelled(rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(label.withColumnRenamed("node", column), column, "left").withColumn("component", F.coalesce("component", column))
-
-    buckets = store(labelled(members.select("id", "key").join(signed, "id"), "id"), "buckets")
-    rest = store(_confirmed(store(_across(buckets, least), "rest"), docs, id_col, text_col), "rest-links")
-    ends = rest.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    label = None
+    for turn in range(STAR_ROUNDS):
+        pairs = store(_star_pairs(members, label, turn, least), "stars")
+        label = _merged(label, store(_confirmed(pairs, docs, id_col, text_col), "star-links"))
+    label = _merged(label, store(_links_across(members, label, reps, docs, id_col, text_col, least), "rest-links"))
     of_row = sketch.select("id", F.col("n").alias("n_shingles"), "n", "one", "two").join(classes, ["n", "one", "two"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    rooted = labelled(of_row, "rep").join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
-    return rooted.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("root", "component")).alias("component_id"))
+    return _labelled(of_row, label, "rep").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
