@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import chunks, flat, span_hashes
-from tessera.llm.scratch import schema_with
+from tessera.llm.scratch import map_batches, schema_with
 
 #: Fixed value: the word pattern of byte-level BPE vocabularies.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words remembered by a worker between chunks, and pairs judged; beyond it the memory is emptied, not the work.
-MEMORY_WORDS = 1_500_000
-MEMORY_PAIRS = 2_000_000
+MEMORY_WORDS = 400_000
+MEMORY_PAIRS = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -422,4 +422,4 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     schema = schema_with(docs.schema[id_col].dataType, f"ids {'binary' if pack else 'array<int>'}, decoded binary")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import ALNUM, Words, chunks, flat, window_hashes
-from tessera.llm.scratch import packed, schema_with, store, unpacked
+from tessera.llm.scratch import map_batches, packed, schema_with, store, unpacked
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -134,10 +134,10 @@ def scan_documents(
     for windows in blocks:
         if not first:  # one scan per block: keep the earlier ones' result instead of running them again
             rows = store(rows, "decontam")
-        rows = rows.select("id", "text", "items", "spans").mapInArrow(scanner(spark.sparkContext.broadcast(windows)), schema)
+        rows = map_batches(rows.select("id", "text", "items", "spans"), scanner(spark.sparkContext.broadcast(windows)), schema)
         first = False
     if first:
-        rows = rows.mapInArrow(scanner(spark.sparkContext.broadcast(WindowSet([], []))), schema)
+        rows = map_batches(rows, scanner(spark.sparkContext.broadcast(WindowSet([], []))), schema)
     return rows.withColumnRenamed("id", id_col)
 
 

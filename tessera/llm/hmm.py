@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytescan import BLACK, Words, chunks, flat, mix
-from tessera.llm.scratch import store
+from tessera.llm.scratch import map_batches, store
 
 STATES = 8
 CLASS_BITS = 14
 CLASSES = 1 << CLASS_BITS  # the end is class number CLASSES
 ROUNDS = 3
 SEGMENT = 128
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Tokens whose forward and backward values are held at once.
 TOKENS_AT_ONCE = 250_000
 #: Documents that seed the states' first emissions, and the longest that is taken.
@@ -169,7 +169,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> D
                 number += 1
 
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("binary").alias("text"))
-    return store(rows.mapInArrow(run, schema), "tokens")
+    return store(map_batches(rows, run, schema), "tokens")
 
 
 def _block(batch: pa.RecordBatch, k: int, *names: str) -> list[np.ndarray]:
@@ -195,7 +195,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
                 some = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["h", "c"])
 
-    rows = tokens.select("held", "sizes", "hashes", "places").mapInArrow(run, "h long, c long")
+    rows = map_batches(tokens.select("held", "sizes", "hashes", "places"), run, "h long, c long")
     return store(rows.groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
 
 
@@ -281,7 +281,7 @@ def baum_welch(tokens: DataFrame, model: Hmm, totals: ClassTotals) -> Hmm:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(table[some, s]) for s in range(states)]], names=["k", *names])
 
     schema = "k int, " + ", ".join(f"{n} double" for n in names)
-    rows = tokens.select("held", "sizes", "hashes", "places").mapInArrow(run, schema).groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    rows = map_batches(tokens.select("held", "sizes", "hashes", "places"), run, schema).groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
     table = np.zeros((CLASSES + 2 + states, states))
     table[rows["k"]] = rows[names]
     emit = table[: CLASSES + 1] + PRIOR * totals.shares()[:, None]
@@ -317,7 +317,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         c = part.column("c").to_numpy()[np.argsort(h)]
         return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int64()), "counts": pa.array([c.astype(np.int64).tobytes()], pa.binary())})
 
-    words = tokens.select("block", "hashes").mapInArrow(distinct_words, "block long, h long")
+    words = map_batches(tokens.select("block", "hashes"), distinct_words, "block long, h long")
     known = words.join(counts, "h", "left").select("block", "h", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
     blocks = known.groupBy("block").applyInArrow(in_hash_order, "block long, counts binary")
     shared = docs.sparkSession.sparkContext.broadcast((model, totals))
@@ -351,4 +351,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                     names=schema.names,
                 )
 
-    return tokens.join(blocks, "block").select("ids", "held", "sizes", "hashes", "places", "counts").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(tokens.join(blocks, "block").select("ids", "held", "sizes", "hashes", "places", "counts"), run, schema).withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import ALNUM, Words, chunks, flat, mix, odd_constants
-from tessera.llm.scratch import schema_with
+from tessera.llm.scratch import map_batches, schema_with
 
 #: The band as shares of documents: inverse document frequencies ln(1 / 0.05) = 3.0 to ln(1 / 0.001) = 6.9.
 MIN_SHARE, MAX_SHARE = 0.001, 0.05
@@ -107,7 +107,7 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", min_share: float = MI
             keys, n = reduced()
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
 
-    counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "term long, n long")
+    counts = map_batches(docs.select(F.col(text_col).cast("binary").alias("text")), run, "term long, n long")
     n = docs.count()
     band = counts.groupBy("term").agg(F.sum("n").alias("df")).where((F.col("df") >= min_share * n) & (F.col("df") <= max(1.0, max_share * n)))
     return Lexicon.of(band.select("term").toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64))
@@ -176,7 +176,7 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(as_text(got), pa.string())], names=["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema_with(docs.schema[id_col].dataType, "fingerprint string")).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema_with(docs.schema[id_col].dataType, "fingerprint string")).withColumnRenamed("id", id_col)
 
 
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -270,4 +270,4 @@ def compared_with_next(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id"
             yield judged(held, False)
 
     ordered = in_order(docs, id_col, text_col).select("bucket", "ahead", "id", "text")
-    return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(ordered, run, schema).withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import chunks, flat
-from tessera.llm.scratch import packed, schema_with, unpacked
+from tessera.llm.scratch import map_batches, packed, schema_with, unpacked
 
 ORDER = 3
 #: Bound of the fit: documents per language, and bytes of the longest that is taken.
@@ -120,7 +120,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> PpmModel:
     """Model from the labelled rows of ``docs``. Null languages and null texts
     teach nothing; without any labelled row the model knows no language."""
-    taught = sample(docs, id_col, text_col, lang_col, per_language).mapInArrow(_gram_counts, "lang string, size int, gram long, n long")
+    taught = map_batches(sample(docs, id_col, text_col, lang_col, per_language), _gram_counts, "lang string, size int, gram long, n long")
     grams = taught.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(grams["lang"].unique().tolist())
     seen = np.unique(grams.loc[grams["size"] == 1, "gram"].to_numpy(dtype=np.int64))
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: st
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema).withColumnRenamed("id", id_col)
 
 
 def crc_bucket(id_col: Column, n: int) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import ALNUM, Words, chunks, flat
 from tessera.llm.license_rules import Rule, rules
-from tessera.llm.scratch import schema_with
+from tessera.llm.scratch import map_batches, schema_with
 
 #: Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -147,4 +147,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema_with(docs.schema[id_col].dataType, FOUND)).withColumnRenamed("id", id_col)
+    return map_batches(rows, run, schema_with(docs.schema[id_col].dataType, FOUND)).withColumnRenamed("id", id_col)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import BLACK, Words, chunks, flat, hash_powers, mix, span_hashes
-from tessera.llm.scratch import schema_with, semi_join, store
+from tessera.llm.scratch import map_batches, schema_with, semi_join, store
 
 EDITS = 1
 NEAR_WORDS = 8
@@ -116,7 +116,7 @@ def _list_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,7 +141,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
                             text.append(lines.words.text(int(lines.first[k]), int(lines.stop[k])))
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(text, pa.binary())], names=["h", "words"])
 
-    return rows.join(per_doc, "id").select("text", "lines").mapInArrow(run, "h long, words binary")
+    return map_batches(rows.join(per_doc, "id").select("text", "lines"), run, "h long, words binary")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                 line, place, key = got.variants(np.arange(len(got.first)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[i + got.row[line]]), pa.array(place, pa.int32()), pa.array(key.view(np.int64))], names=["h", "place", "key"])
 
-    return lines.mapInArrow(run, "h long, place int, key long")
+    return map_batches(lines, run, "h long, place int, key long")
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -195,7 +195,7 @@ def _near_lines(docs: DataFrame, table: DataFrame, first: DataFrame, id_col: str
     shorter = cut.groupBy("key").agg(F.min("at").alias("other")).join(whole, "key").where("other < whole").select(F.col("whole.h").alias("h"), F.col("other.h").alias("o"))
     pairs = replaced.union(longer).union(shorter).distinct()
     both = pairs.join(texts.withColumnRenamed("words", "a"), "h").join(texts.select(F.col("h").alias("o"), F.col("words").alias("b")), "o")
-    return both.select("h", "a", "b").mapInArrow(_verify, "h long").distinct()
+    return map_batches(both.select("h", "a", "b"), _verify, "h long").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

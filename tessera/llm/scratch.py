@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from tessera.session import ensure_checkpoint_dir
 #: Rows of 8-byte keys that a broadcast may hold (about 16 MB raw, some 60 MB as a hash table).
 BROADCAST_KEYS = 1_000_000
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def schema_with(id_type: T.DataType, rest: str) -> T.StructType:
     """``id`` of the given type (a struct of carried columns may be one), then the columns of the DDL ``rest``."""
@@ -30,6 +35,20 @@ def unpacked(df: DataFrame, columns: list[str], text_col: str = "text") -> DataF
     return df.select(*[F.col(f"`{text_col}`").cast("string").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of about ``BATCH_BYTES`` (or one row), whatever the
+    length of the texts; a session that sets its own bound keeps it."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+
+    return df.mapInArrow(run, schema)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder; Hadoop deletes it when the driver ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
