@@ -22,7 +22,6 @@ VALID_LABELS_OTHER = ["LOC", "ORG", "MISC"]
 CROSSLANG_ORDER = ["en", "es", "ja", "zh", "fr", "de"]
 
 # Thresholds and sizes.
-ROW_CAP_PER_LANG = 500_000
 CHUNK_ROWS = 10_000
 KNN_K = 5
 TOP_TEXTS_PER_CLUSTER = 10

@@ -90,7 +90,9 @@ def annotate_entities(
     """Add ``out_col`` with the entities of ``text_col``.
 
     ``recognizer(lang, texts) -> [[(text, label), ...], ...]`` is a model
-    plug-in run by ``mapInPandas``; ``None`` uses the built-in recogniser.
+    plug-in run by ``mapInPandas``; ``None`` uses the built-in recogniser. Rows
+    of a null language are passed with ``None``; a result count that differs
+    from the number of texts is an error.
     """
     if recognizer is None:
         return df.withColumn(out_col, builtin_entities(text_col, lang_col))
@@ -100,10 +102,13 @@ def annotate_entities(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ents: list = [None] * len(pdf)
-            for lang, part in pdf.groupby(lang_col, sort=False):
-                found = recognizer(lang, part[text_col].fillna("").tolist())
-                for pos, e in zip(part.index, found):
-                    ents[pdf.index.get_loc(pos)] = [{"text": t.strip(), "label": lab} for t, lab in e]
+            pdf = pdf.reset_index(drop=True)
+            for lang, part in pdf.groupby(lang_col, sort=False, dropna=False):
+                found = recognizer(None if pd.isna(lang) else lang, part[text_col].fillna("").tolist())
+                if len(found) != len(part):
+                    raise ValueError(f"the recogniser returned {len(found)} results for {len(part)} texts")
+                for pos, e in zip(part.index, found, strict=True):
+                    ents[pos] = [{"text": t.strip(), "label": lab} for t, lab in e]
             yield pdf.assign(**{out_col: ents})
 
     return df.mapInPandas(run, schema)
@@ -129,7 +134,7 @@ class SpacyRecognizer:
             except ImportError as e:  # pragma: no cover - optional dependency
                 raise RuntimeError("spaCy is not installed") from e
             if lang not in self.models:
-                raise ValueError(f"Unsupported language code: {lang}")
+                raise ValueError(f"no pipeline is named for language {lang!r}")
             self._nlp[lang] = spacy.load(self.models[lang])
         return self._nlp[lang]
 
@@ -190,8 +195,8 @@ def ner_records(corpus: DataFrame, recognizer=None, keep_first_paragraph: bool =
         "title",
         "entities",
         valid.alias("title_valid"),
-        (valid & overlap).alias("has_overlap"),
-        (valid & overlap & (F.size("entities") > 0)).alias("selected"),
+        F.coalesce(valid & overlap, F.lit(False)).alias("has_overlap"),
+        F.coalesce(valid & overlap & (F.size("entities") > 0), F.lit(False)).alias("selected"),
         *([F.col("_fp").alias("first_paragraph")] if keep_first_paragraph else []),
     )
 

@@ -1,16 +1,21 @@
 """Clustering: count rule, MLlib KMeans, fixed-centroid assignment, assembly.
 
-KMeans itself is MLlib's distributed Lloyd iteration (``k-means||`` init).
-Only the centres travel through the driver - ``k x d`` numbers, inherent to
-the model. Assignment to *given* centres uses the same idea as
-``KMeansModel.transform``: centres are broadcast to a vectorised Pandas UDF,
-but only after their byte size is checked; beyond the bound the centres are
-applied in several bounded chunks, one pass each, and the running best is
-kept per row - never a cross join.
+KMeans itself is MLlib's distributed Lloyd iteration over the *distinct*
+vectors, weighted by how often each occurs: copies cost nothing, and an init
+that samples rows always finds as many different centres as it is asked for.
+The flat fit holds its ``k x d`` centres on the driver and in every task, as
+MLlib does. ``two_level_kmeans`` is the explicit alternative for large ``k``:
+only the coarse centres travel.
+
+Assignment to *given* centres walks tiles of centres inside one vectorised
+UDF; centres beyond a byte bound are applied block by block, with the running
+best written in between. There is one init and one solver unless the caller
+names others, and nothing is chosen by size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,16 +25,18 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import KMEANS_SEED
 from ..session import cut_lineage
-from .ranking import group_positions
+from .ranking import group_positions, join_groups
 
 MAX_BROADCAST_BYTES = 256 << 20
-# k-means|| seeds by running k-means++ over ~2k * initSteps candidates on the
-# driver; beyond this k that driver step dominates, so "auto" uses MLlib's
-# random init (k sampled rows) instead.
-KMEANS_PARALLEL_MAX_K = 2000
+# Partitions of a fit. Which rows the init samples depends on it, so it is a
+# fixed parameter and not read from the session or the data; raise it with the data.
+FIT_PARTITIONS = 16
+# Cells of the distance matrix that the assignment holds at once (64 MB).
+TILE_CELLS = 8 << 20
 
 
 def cluster_count(n: Column | int) -> Column | int:
@@ -39,6 +46,11 @@ def cluster_count(n: Column | int) -> Column | int:
     return F.least(F.greatest(F.lit(2).cast("bigint"), F.floor(n / 10).cast("bigint")), n.cast("bigint"))
 
 
+def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
+    """``vec, weight, key``: distinct vectors, their multiplicity, a content hash."""
+    return df.groupBy(F.col(vec_col).alias("vec")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("key", F.xxhash64("vec"))
+
+
 def kmeans_fit_predict(
     df: DataFrame,
     vec_col: str,
@@ -46,38 +58,29 @@ def kmeans_fit_predict(
     seed: int = KMEANS_SEED,
     max_iter: int = 300,
     tol: float = 1e-4,
-    init_mode: str = "auto",
+    init_mode: str = "random",
     prediction_col: str = "cluster_id",
-    order_cols: Sequence[str] | None = None,
-    num_partitions: int | None = None,
+    num_partitions: int = FIT_PARTITIONS,
     solver: str = "block",
-    rows: int | None = None,
-    rows_per_partition: int = 2000,
 ):
     """Fit MLlib KMeans on ``vec_col`` (``array<double>``) and label every row.
 
-    For repeatable labels the input is given a fixed partitioning and order
-    (labels depend on it); ``k`` is clamped to the row count by the caller.
-    The ``block`` solver scores stacked rows against all centres with one
-    GEMM per block (dense vectors, Euclidean distance). ``init_mode="auto"``
-    is ``k-means||`` up to ``KMEANS_PARALLEL_MAX_K`` centres, random above.
-    Returns ``(labelled_df, model)``; ``model`` is ``None`` when ``k <= 1``.
+    The fit sees the distinct vectors, hash-partitioned by content into a fixed
+    number of partitions and sorted there, so equal data give equal labels
+    whatever the input's order or partitioning. ``init_mode="random"`` samples
+    ``k`` distinct vectors; ``"k-means||"`` may find fewer than ``k`` centres, which
+    MLlib's block solver does not take: use ``solver="row"`` with it. ``k`` above
+    the number of distinct vectors is lowered to it. Returns ``(labelled_df,
+    model)``; ``model`` is ``None`` when one cluster (or none) is left.
     """
-    if k <= 1:
+    rows = distinct_vectors(df, vec_col).repartition(num_partitions, "key").sortWithinPartitions("key", "vec")
+    rows = rows.withColumn("_features", array_to_vector("vec")).select("_features", "weight")
+    n = df.select(vec_col).distinct().limit(k + 1).count()
+    if min(k, n) <= 1:
         # one cluster: nothing to fit (MLlib requires k >= 2)
         return df.withColumn(prediction_col, F.lit(0)), None
-    if init_mode == "auto":
-        init_mode = "k-means||" if k <= KMEANS_PARALLEL_MAX_K else "random"
-    data = df
-    if order_cols:
-        n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        if rows is not None:
-            # size partitions by data: tiny fits should not schedule empty tasks
-            n_parts = max(1, min(n_parts, -(-rows // rows_per_partition)))
-        data = df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-    feats = data.withColumn("_features", array_to_vector(F.col(vec_col)))
     km = KMeans(
-        k=k,
+        k=min(k, n),
         seed=seed,
         maxIter=max_iter,
         tol=tol,
@@ -85,77 +88,148 @@ def kmeans_fit_predict(
         solver=solver,
         featuresCol="_features",
         predictionCol=prediction_col,
+        weightCol="weight",
     )
-    try:
-        model = km.fit(feats)
-    except Exception as err:  # noqa: BLE001
-        # MLlib's block solver fails when k-means|| finds fewer distinct
-        # centres than k (duplicate rows); the row solver handles that case.
-        if solver != "block" or "ArrayIndexOutOfBounds" not in str(err):
-            raise
-        model = km.setSolver("row").fit(feats)
-    labelled = model.transform(feats).drop("_features")
-    return labelled, model
-
-
-def _assign_udf(centres: np.ndarray, offset: int):
-    c = np.ascontiguousarray(centres, dtype=np.float64)
-    c_sq = (c * c).sum(axis=1)
+    model = km.fit(rows)
+    return model.transform(df.withColumn("_features", array_to_vector(F.col(vec_col)))).drop("_features"), model
+
 
+def _lloyd(x: np.ndarray, weight: np.ndarray, k: int, seed: int, max_iter: int, tol: float) -> np.ndarray:
+    """Weighted Lloyd iterations on one cell; an emptied centre keeps its place."""
+    centres = x[np.sort(np.random.default_rng(seed).choice(len(x), size=k, replace=False))]
+    label = np.zeros(len(x), dtype=np.int64)
+    for _ in range(max_iter):
+        label = np.concatenate([nearest(x[i : i + 2048], centres)[0] for i in range(0, len(x), 2048)])
+        total = np.bincount(label, weights=weight, minlength=k)
+        sums = np.stack([np.bincount(label, weights=weight * x[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
+        moved = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centres)
+        shift = ((moved - centres) ** 2).sum(axis=1).max()
+        centres = moved
+        if shift <= tol * tol:
+            break
+    return np.concatenate([nearest(x[i : i + 2048], centres)[0] for i in range(0, len(x), 2048)])
+
+
+def two_level_kmeans(
+    df: DataFrame,
+    vec_col: str,
+    k: int,
+    seed: int = KMEANS_SEED,
+    max_iter: int = 300,
+    tol: float = 1e-4,
+    max_cell: int = 20_000,
+    prediction_col: str = "cluster_id",
+    num_partitions: int = FIT_PARTITIONS,
+    max_levels: int = 6,
+) -> DataFrame:
+    """Label every row with one of ``k`` clusters, coarse cells first.
+
+    Distinct vectors are split into cells by a flat fit with few centres; a cell
+    of more than ``max_cell`` distinct vectors is split again. Each cell gets its
+    share of ``k`` (by distinct vectors, largest remainders, at least 1), and is
+    clustered on its own in one bounded task. Only coarse centres and one row
+    per cell pass through the driver. An approximation of the flat fit, chosen
+    by the caller, never by size. With fewer than ``k`` distinct vectors, or more
+    cells than ``k``, the number of clusters is that number. ``max_levels`` splits
+    that leave a cell too big are an error.
+    """
+    points = cut_lineage(distinct_vectors(df, vec_col).withColumn("cell", F.lit("0")))
+    for level in range(max_levels + 1):
+        big = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell).collect()
+        if not big:
+            break
+        if level == max_levels:
+            raise ValueError(f"{len(big)} cells keep more than {max_cell} vectors after {max_levels} splits")
+        parts = [points.where(~F.col("cell").isin([r["cell"] for r in big]))]
+        for r in big:
+            part, _ = kmeans_fit_predict(points.where(F.col("cell") == r["cell"]), "vec", max(2, math.ceil(4 * r["n"] / max_cell)), seed, max_iter, tol, prediction_col="_part", num_partitions=num_partitions)
+            parts.append(part.withColumn("cell", F.concat("cell", F.lit("."), F.col("_part").cast("string"))).drop("_part"))
+        merged = parts[0]
+        for p in parts[1:]:
+            merged = merged.unionByName(p)
+        points = cut_lineage(merged)
+    sizes = sorted((r["cell"], r["n"]) for r in points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
+    total = sum(n for _, n in sizes)
+    spare = max(0, min(k, total) - len(sizes))
+    exact = [spare * (n - 1) / max(1, total - len(sizes)) for _, n in sizes]
+    share = [1 + int(x) for x in exact]
+    for i in sorted(range(len(sizes)), key=lambda i: (-(exact[i] % 1), sizes[i][0]))[: spare - sum(int(x) for x in exact)]:
+        share[i] += 1
+    plan = pd.DataFrame({"cell": [c for c, _ in sizes], "k": share, "first": np.cumsum([0, *share])[:-1] if sizes else []})
+    cells = df.sparkSession.createDataFrame(plan.astype({"k": int, "first": int}) if len(plan) else [], "cell string, k long, first long")
+
+    def fine(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        label = _lloyd(np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["weight"].to_numpy(), min(int(pdf["k"].iloc[0]), len(pdf)), seed, max_iter, tol)
+        return pd.DataFrame({"vec": pdf["vec"], "label": label + int(pdf["first"].iloc[0])})
+
+    labelled = points.join(cells, "cell").groupBy("cell").applyInPandas(fine, "vec array<double>, label long")
+    labelled = cut_lineage(labelled)
+    same = df[vec_col].eqNullSafe(labelled["vec"])
+    return df.join(labelled.withColumnRenamed("label", prediction_col), same).drop(labelled["vec"])
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of every row and the squared distance, over tiles of centres."""
+    own = (x * x).sum(axis=1)
+    best, dist = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    tile = max(1, TILE_CELLS // max(1, len(x)))
+    for start in range(0, len(centres), tile):
+        c = centres[start : start + tile]
+        d2 = own[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+        at = d2.argmin(axis=1)
+        least = d2[np.arange(len(x)), at]
+        better = least < dist
+        best[better], dist[better] = at[better] + start, least[better]
+    return best, dist
+
+
+def _assign_udf(centres: np.ndarray, ids: np.ndarray):
     @F.pandas_udf("struct<cid:bigint, dist:double>")
     def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             if len(s) == 0:
                 yield pd.DataFrame({"cid": pd.Series([], dtype="int64"), "dist": pd.Series([], dtype="float64")})
                 continue
-            x = np.stack(s.to_numpy()).astype(np.float64)
-            d2 = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + c_sq[None, :]
-            best = np.argmin(d2, axis=1)
-            dist = np.sqrt(np.maximum(d2[np.arange(len(best)), best], 0.0))
-            yield pd.DataFrame({"cid": best.astype(np.int64) + offset, "dist": dist})
+            best, dist = nearest(np.stack(s.to_numpy()).astype(np.float64), centres)
+            yield pd.DataFrame({"cid": ids[best], "dist": np.sqrt(np.maximum(dist, 0.0))})
 
-    return assign
+    return assign.asNondeterministic()
 
 
 def assign_nearest(
     df: DataFrame,
     vec_col: str,
-    centres: np.ndarray,
-    centre_ids: Sequence[int] | None = None,
+    centres: DataFrame,
+    centre_col: str = "cluster_id",
+    centroid_col: str = "centroid",
     out_col: str = "cluster_id",
     dist_col: str = "centre_distance",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """Nearest centre (squared Euclidean) for every row; ties go to the lower index.
+    """Nearest row of ``centres(centre_col, centroid_col)`` for every row of ``df``;
+    ties go to the smaller id.
 
-    ``centres`` is ``k x d``. If it exceeds ``max_broadcast_bytes`` it is
-    applied in chunks that each fit the bound.
+    Centres go out in blocks of at most ``max_broadcast_bytes``; the running best
+    is written between blocks, so any number of centres works in bounded memory.
+    Without centres, both outputs are null.
     """
-    centres = np.asarray(centres, dtype=np.float64)
-    ids = np.asarray(centre_ids if centre_ids is not None else np.arange(len(centres)), dtype=np.int64)
-    per_chunk = max(1, int(max_broadcast_bytes // max(1, centres.shape[1] * 8)))
-    out = df
-    best_d, best_c = None, None
-    for start in range(0, len(centres), per_chunk):
-        tag = f"_a{start}"
-        out = out.withColumn(tag, _assign_udf(centres[start : start + per_chunk], start)(F.col(vec_col)))
-        if best_d is None:
-            best_d, best_c = F.col(f"{tag}.dist"), F.col(f"{tag}.cid")
-        else:
-            better = F.col(f"{tag}.dist") < best_d
-            best_c = F.when(better, F.col(f"{tag}.cid")).otherwise(best_c)
-            best_d = F.when(better, F.col(f"{tag}.dist")).otherwise(best_d)
-    tags = [c for c in out.columns if c.startswith("_a") and c not in df.columns]
-    if np.array_equal(ids, np.arange(len(ids))):
-        return out.withColumn(out_col, best_c.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
-    if len(ids) <= 4096:
-        lookup = F.element_at(F.array(*[F.lit(int(i)) for i in ids]), (best_c + 1).cast("int"))
-        return out.withColumn(out_col, lookup.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
-    # many non-contiguous ids: translate positions with an equi-join on a k-row table
-    spark = df.sparkSession
-    id_map = spark.createDataFrame([(int(p), int(i)) for p, i in enumerate(ids)], f"_pos bigint, {out_col} bigint")
-    pos = out.withColumn("_pos", best_c.cast("bigint")).withColumn(dist_col, best_d).drop(*tags)
-    return pos.join(id_map, "_pos").drop("_pos")
+    stats = centres.agg(F.count(F.lit(1)).alias("k"), F.max(F.size(centroid_col)).alias("d")).first()
+    size = int(stats["k"]) * int(stats["d"] or 0) * 8
+    blocks = max(1, -(-size // max_broadcast_bytes))
+    out = df.withColumn("_best", F.lit(None).cast("struct<dist:double,cid:bigint>"))
+    for b in range(blocks):
+        part = centres.where(F.pmod(F.xxhash64(centre_col), F.lit(blocks)) == b) if blocks > 1 else centres
+        rows = sorted(part.select(F.col(centre_col).cast("bigint"), centroid_col).collect())
+        if not rows:
+            continue
+        if b:
+            out = cut_lineage(out)
+        udf = _assign_udf(np.array([r[1] for r in rows], dtype=np.float64), np.array([r[0] for r in rows], dtype=np.int64))
+        out = out.withColumn("_new", udf(F.col(vec_col)))
+        new = F.struct(F.col("_new.dist").alias("dist"), F.col("_new.cid").alias("cid"))
+        out = out.withColumn("_best", F.when(F.col("_best").isNull(), new).otherwise(F.least(F.col("_best"), new))).drop("_new")
+    return out.withColumn(out_col, F.col("_best.cid")).withColumn(dist_col, F.col("_best.dist")).drop("_best")
 
 
 def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int | None = None) -> DataFrame:
@@ -171,16 +245,6 @@ def centroids(df: DataFrame, cluster_col: str, vec_col: str, dim: int | None = N
     return per.select(cluster_col, vector_to_array("_m").alias("centroid"), "n")
 
 
-def collect_centres(cents: DataFrame, cluster_col: str, max_bytes: int = 1 << 30):
-    """Bring ``k x d`` centres to the driver after a size check (``k * d * 8`` bytes)."""
-    stats = cents.agg(F.count(F.lit(1)).alias("k"), F.max(F.size("centroid")).alias("d")).first()
-    k, d = int(stats["k"]), int(stats["d"] or 0)
-    if k * d * 8 > max_bytes:
-        raise ValueError(f"{k} x {d} centres exceed the driver bound of {max_bytes} bytes")
-    rows = cents.orderBy(cluster_col).select(cluster_col, "centroid").collect()
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)
-
-
 def assemble_clusters(
     labelled: DataFrame,
     k_per_lang: DataFrame,
@@ -195,19 +259,12 @@ def assemble_clusters(
     ``cluster_size`` the member count (0 for an empty cluster). Members are
     never collected into one array here - nest only bounded outputs.
     """
-    narrow = cut_lineage(labelled.select(lang_col, cluster_col, *order_cols, *[c for c in labelled.columns if c not in (lang_col, cluster_col, *order_cols)]))
     members = group_positions(
-        narrow, [lang_col, cluster_col], list(order_cols), pos_col="member_pos", size_col="cluster_size"
+        labelled, [lang_col, cluster_col], list(order_cols), pos_col="member_pos", size_col="cluster_size"
     )
     ids = k_per_lang.select(
         lang_col, F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))).alias(cluster_col)
     )
-    return ids.join(members, [lang_col, cluster_col], "left").withColumn(
+    return join_groups(ids, members, [lang_col, cluster_col], "left").withColumn(
         "cluster_size", F.coalesce("cluster_size", F.lit(0)).cast("bigint")
     )
-
-
-def vector_schema_dim(df: DataFrame, vec_col: str) -> int:
-    first = df.select(F.size(vec_col).alias("d")).where(F.col("d") > 0).limit(1).collect()
-    return int(first[0]["d"]) if first else 0
-

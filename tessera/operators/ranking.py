@@ -13,13 +13,9 @@ acceptable, so positions are computed the way a distributed sort does it:
    offsets with a window whose partitions hold at most ``#partitions`` rows;
 4. join the offsets back: ``pos = offset + id - first_id``.
 
-The sorted frame is checkpointed (reliable storage) so both uses see the very
-same partitioning even if an executor is lost in between.
-
-Both operators first check the largest group (one cheap aggregation). When
-every group is below ``window_limit`` rows the plain window / ``median``
-aggregate is used - bounded by the check - and the range path is kept for
-anything larger.
+The sorted frame is written once, so both uses see the very same partitioning
+even if an executor is lost in between. There is one path, whatever the size of
+a group, and a null group is a group like any other.
 
 Top-*k* with a *constant* ``k`` does not need this: Spark plans
 ``row_number() <= k`` with a partial ``WindowGroupLimit`` before the shuffle.
@@ -27,6 +23,7 @@ Top-*k* with a *constant* ``k`` does not need this: Spark plans
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,19 +31,18 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-WINDOW_GROUP_LIMIT = 1_000_000
-
-
-def max_group_size(df: DataFrame, group_cols: Sequence[str]) -> int:
-    """Rows in the largest group (partial aggregation; one small job)."""
-    row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on group keys in which a null key matches a null key; the left keys stay."""
+    other = right.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = functools.reduce(lambda x, y: x & y, [left[k].eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return left.join(other, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def group_positions(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -54,25 +50,13 @@ def group_positions(
     pos_col: str = "pos",
     size_col: str | None = "group_size",
     num_partitions: int | None = None,
-    window_limit: int = WINDOW_GROUP_LIMIT,
 ) -> DataFrame:
     """Add the exact 0-based position of each row inside its group.
 
     ``order_cols`` must make the order total (end it with a unique key) so
     positions are deterministic. Adds ``size_col`` (rows in the group) too.
     """
-    if window_limit and max_group_size(df, group_cols) <= window_limit:
-        w = Window.partitionBy(*group_cols).orderBy(*_as_cols(order_cols))
-        out = df.withColumn(pos_col, (F.row_number().over(w) - 1).cast("bigint"))
-        if size_col:
-            out = out.withColumn(size_col, F.count(F.lit(1)).over(Window.partitionBy(*group_cols)).cast("bigint"))
-        return out
-    return _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitions)
-
-
-def _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitions):
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = _as_cols(group_cols) + _as_cols(order_cols)
     ordered = (
         df.repartitionByRange(n_parts, *keys)
@@ -82,9 +66,7 @@ def _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitio
     )
     ordered = cut_lineage(ordered)
     g = list(group_cols)
-    per_part = ordered.groupBy("_pid", *g).agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt")
-    )
+    per_part = ordered.groupBy("_pid", *g).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
     offsets = per_part.select(
@@ -94,7 +76,7 @@ def _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitio
         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(whole).alias("_gsize"),
     )
-    out = ordered.join(offsets, ["_pid", *g]).withColumn(
+    out = join_groups(ordered, offsets, ["_pid", *g]).withColumn(
         pos_col, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint")
     )
     if size_col:
@@ -103,27 +85,20 @@ def _range_positions(df, group_cols, order_cols, pos_col, size_col, num_partitio
 
 
 def group_median(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    value_col: str,
-    key_col: str,
-    out_col: str = "median",
-    window_limit: int = WINDOW_GROUP_LIMIT,
+    df: DataFrame, group_cols: Sequence[str], value_col: str, key_col: str, out_col: str = "median"
 ) -> DataFrame:
     """Exact median of ``value_col`` per group (mean of the two middle values).
 
-    Same definition as ``numpy.median``. Below the size bound this is the
-    built-in exact ``median`` aggregate; above it only two rows per group
-    survive the position filter, so the final aggregation stays tiny even
-    for a hot group.
+    Same definition as ``numpy.median`` over the values that are not null; a
+    group without any has a null median. Only two rows per group survive the
+    position filter, so the final aggregation stays tiny even for a hot group.
     """
-    if window_limit and max_group_size(df, group_cols) <= window_limit:
-        return df.groupBy(*group_cols).agg(F.median(value_col).alias(out_col))
-    ranked = _range_positions(
-        df.select(*group_cols, value_col, key_col), group_cols, [value_col, key_col], "pos", "group_size", None
+    g = list(group_cols)
+    ranked = group_positions(
+        df.where(F.col(value_col).isNotNull()).select(*g, value_col, key_col), g, [value_col, key_col], "pos", "group_size"
     )
     n = F.col("group_size")
-    mid = ranked.where(
-        (F.col("pos") == F.floor((n - 1) / 2)) | (F.col("pos") == F.floor(n / 2))
-    )
-    return mid.groupBy(*group_cols).agg(F.avg(value_col).alias(out_col))
+    mid = ranked.where((F.col("pos") == F.floor((n - 1) / 2)) | (F.col("pos") == F.floor(n / 2)))
+    medians = mid.groupBy(*g).agg(F.avg(value_col).alias(out_col))
+    groups = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return join_groups(groups, medians, g, "left")

@@ -1,22 +1,15 @@
 """DuckDB SQL oracles for the registered queries.
 
-Written independently of the Spark plans, as plain SQL over the given tables:
-pair self-joins, window functions and ``median`` - the straightforward forms
-the Spark plans avoid for scale reasons. The character classes are the same
-rule-built strings the Spark side uses.
+Plain SQL over the given tables: pair self-joins, window functions and
+``median`` - the straightforward forms the Spark plans avoid for scale reasons.
+The label sets, palettes and language orders are stated here once more, so a
+slip in the engine's lists shows up as a mismatch. Shared with the Spark side
+are only the character classes, built by rule from Python's Unicode tables, and
+the token patterns.
 """
 
 from __future__ import annotations
 
-from ..constants import (
-    CROSSLANG_ORDER,
-    ONTONOTES_LANGS,
-    STANDIN_LABELS_ONTONOTES,
-    STANDIN_LABELS_OTHER,
-    SUPPORTED_LANGS,
-    VALID_LABELS_ONTONOTES,
-    VALID_LABELS_OTHER,
-)
 from ..functions.text import (
     CAPITALISED_RUN_PATTERN,
     CJK_RUN_PATTERN_RE2,
@@ -25,6 +18,18 @@ from ..functions.text import (
     title_invalid_class,
 )
 
+# Fixed values, stated independently of ``constants``.
+SUPPORTED_LANGS = ["en", "zh", "de", "fr", "es", "it", "nl", "pt", "ja"]
+ONTONOTES_LANGS = ["zh", "ja", "en"]
+VALID_LABELS_ONTONOTES = ["DATE", "FAC", "GPE", "LOC", "ORG", "WORK_OF_ART", "NORP"]
+VALID_LABELS_OTHER = ["LOC", "ORG", "MISC"]
+CROSSLANG_ORDER = ["en", "es", "ja", "zh", "fr", "de"]
+STANDIN_LABELS_ONTONOTES = [
+    "PERSON", "NORP", "FAC", "ORG", "GPE", "LOC",
+    "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "DATE",
+]
+STANDIN_LABELS_OTHER = ["PER", "LOC", "ORG", "MISC"]
+
 WS = "(" + " || ".join(f"chr({ord(c)})" for c in py_whitespace_chars()) + ")"
 
 
@@ -241,6 +246,10 @@ assign AS (
   WHERE rn = 1)"""
 
 
+KMEANS_COUNTS = """SELECT lang, count(*) AS n, count(DISTINCT idx) AS n_once, least(greatest(2, count(*) // 10), count(*)) AS k,
+  count(*) AS size_sum, true AS in_range FROM selected_articles GROUP BY lang"""
+
+
 def w(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -250,11 +259,18 @@ SQL: dict[str, str] = {
     "corpus_scan": w(CORPUS) + "SELECT * FROM corpus",
     "corpus_counts": w(CORPUS) + "SELECT lang, count(*) AS n_rows FROM corpus GROUP BY lang",
     "corpus_slice": w(CORPUS)
-    + "SELECT lang, CAST(floor(idx / 10000) * 10000 AS BIGINT) AS slice_start, count(*) AS n_rows FROM corpus GROUP BY ALL",
-    "corpus_cap": w(CORPUS) + "SELECT lang, idx, title FROM corpus WHERE idx < 500000",
+    + "SELECT lang, idx, title FROM corpus WHERE idx >= 100 AND idx < 300",
+    "slice_counts": w(CORPUS)
+    + "SELECT lang, CAST(floor(idx / 100) * 100 AS BIGINT) AS slice_start, count(*) AS n_rows FROM corpus GROUP BY ALL",
+    "corpus_cap": w(CORPUS)
+    + "SELECT lang, idx, title FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY idx) AS rn FROM corpus) WHERE rn <= 50",
+    "jsonl_read": """SELECT lang, source, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum, 'good' AS reason
+    FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'es') GROUP BY lang, source
+    UNION ALL SELECT '-', '-', count(*), -1, 'not_an_object' FROM documents WHERE lang = 'fr' HAVING count(*) > 0
+    UNION ALL SELECT '-', '-', count(*), -1, 'bad_field' FROM documents WHERE lang = 'es' HAVING count(*) > 0""",
     "chunk_merge_order": w(CORPUS)
     + """SELECT lang, idx, chunk_file, row_number() OVER (PARTITION BY lang ORDER BY chunk_file, idx) - 1 AS merge_pos
-    FROM (SELECT lang, idx, 'selected_data_' || CAST(CAST(floor(idx / 10000) * 10000 AS BIGINT) AS VARCHAR) || '.json' AS chunk_file FROM corpus)""",
+    FROM (SELECT lang, idx, 'selected_data_' || CAST(CAST(floor(idx / 10) * 10 AS BIGINT) AS VARCHAR) || '.json' AS chunk_file FROM corpus)""",
     # projections / predicates
     "first_paragraph": w(CORPUS) + f"SELECT lang, idx, {fp('text')} AS first_paragraph FROM corpus",
     "title_valid": w(CORPUS)
@@ -273,9 +289,14 @@ SQL: dict[str, str] = {
     FROM ner_records WHERE NOT selected""",
     "ner_route_counts": w(CORPUS, NER) + "SELECT lang_code, selected, count(*) AS n FROM ner_records GROUP BY ALL",
     "selected_articles": w(CORPUS, NER, SELECTED_ARTICLES) + "SELECT * FROM selected_articles",
+    "selected_articles_pos": w(CORPUS, NER)
+    + """, sel AS (SELECT lang_code, "index", 0 AS turn FROM ner_records WHERE selected
+      UNION ALL SELECT lang_code, "index", 1 FROM ner_records WHERE selected AND lang_code = 'de'),
+    placed AS (SELECT lang_code, "index", row_number() OVER (PARTITION BY lang_code ORDER BY turn, "index") - 1 AS pos FROM sel)
+    SELECT c.lang, c.idx, p.pos, c.title FROM placed p JOIN corpus c ON c.lang = p.lang_code AND c.idx = p."index" """,
     "embed_prompt": w(CORPUS, NER, SELECTED_ARTICLES)
     + f"SELECT lang, idx, '<title> ' || coalesce({strip('title')}, '') || ' <text> ' || coalesce({strip('first_paragraph')}, '') AS prompt FROM selected_articles",
-    "index_out_of_range": w(CORPUS) + "SELECT vec_id AS idx FROM embeddings WHERE vec_id NOT IN (SELECT idx FROM corpus)",
+    "index_out_of_range": w(CORPUS) + "SELECT vec_id * 3 AS idx FROM embeddings WHERE vec_id * 3 NOT IN (SELECT idx FROM corpus)",
     "paragraphs": w(CORPUS, PARAS) + "SELECT lang, idx, CAST(p AS BIGINT) AS p, paragraph FROM paras",
     "clean_articles": w(CORPUS, CLEAN) + "SELECT * FROM clean",
     # embeddings
@@ -334,6 +355,22 @@ SQL: dict[str, str] = {
     + "SELECT lang, cluster_id, count(*) AS n_top, string_agg(title, '|' ORDER BY rank) AS top_titles FROM top GROUP BY ALL",
     "cluster_quality": w(CORPUS, VECTORS, QUALITY)
     + "SELECT lang, cluster_id, cluster_size, CAST(n_top AS BIGINT) AS n_top, round(avg_semantic_entropy, 6) AS avg_semantic_entropy FROM scores",
+    "cluster_quality_gaps": w(CORPUS, VECTORS, QUALITY)
+    + """, gaps AS (
+      SELECT lang, cluster_id, cluster_size, n_top, avg_semantic_entropy FROM scores
+      UNION ALL SELECT lang, cluster_id + 1000, cluster_size, 0, NULL FROM clusters
+      UNION ALL SELECT lang, cluster_id + 2000, 0, 0, NULL FROM clusters)
+    SELECT lang, cluster_id, CAST(cluster_size AS BIGINT) AS cluster_size, CAST(n_top AS BIGINT) AS n_top,
+      round(coalesce(avg_semantic_entropy, -1.0), 6) AS avg_semantic_entropy,
+      row_number() OVER (PARTITION BY lang ORDER BY coalesce(avg_semantic_entropy, 0.0) DESC, cluster_id) - 1 AS cluster_rank FROM gaps""",
+    "knn_blocked": w(VECTORS)
+    + """, sz AS (SELECT label, count(*) AS group_size FROM vectors GROUP BY 1),
+    pairs AS (SELECT a.label, a.vec_id, greatest(0.0, least(2.0, 1.0 - list_cosine_similarity(a.vec, b.vec))) AS d
+      FROM vectors a JOIN vectors b ON a.label = b.label),
+    near AS (SELECT label, vec_id, avg(d) AS avg_distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY d) AS rn FROM pairs) WHERE rn <= 5 GROUP BY ALL)
+    SELECT label AS cluster_id, vec_id AS idx, round(CASE WHEN group_size < 5 THEN 0.0 ELSE avg_distance END, 6) AS avg_distance, group_size
+    FROM near JOIN sz USING (label)""",
     "top_clusters": w(CORPUS, VECTORS, QUALITY)
     + """SELECT lang, cluster_id, CAST(cluster_rank AS BIGINT) AS cluster_rank, n_clusters,
     round(avg_semantic_entropy, 6) AS avg_semantic_entropy FROM ranked_top WHERE is_top""",
@@ -381,6 +418,12 @@ SQL: dict[str, str] = {
     "kmeans_lloyd_step": w(CENTROIDS)
     + """SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(dim AS BIGINT) AS dim, round(avg(x), 6) AS value FROM (
       SELECT cluster_id, unnest(generate_series(0, len(vec) - 1)) AS dim, unnest(vec) AS x FROM assign) GROUP BY ALL""",
+    "kmeans_invariants": """SELECT count(*) AS n, count(*) AS n_in_range, CAST(0 AS BIGINT) AS n_off_centre,
+      greatest(2, count(DISTINCT embedding) // 10) AS k FROM embeddings""",
+    "kmeans_single_lang_invariants": w(CORPUS, NER, SELECTED_ARTICLES) + KMEANS_COUNTS,
+    "kmeans_two_level_invariants": w(CORPUS, NER, SELECTED_ARTICLES) + KMEANS_COUNTS,
+    "kmeans_multi_lang_invariants": w(CORPUS, CLEAN) + "SELECT count(*) AS n, count(*) AS n_once, true AS in_range FROM clean",
+    "pca_invariants": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings",
     # aggregations
     "cluster_sizes": w(CORPUS)
     + "SELECT e.label AS cluster_id, count(*) AS sample_count FROM corpus c JOIN embeddings e ON c.idx = e.vec_id GROUP BY 1",
@@ -389,6 +432,20 @@ SQL: dict[str, str] = {
              FROM corpus c JOIN embeddings e ON c.idx = e.vec_id GROUP BY ALL)
     SELECT * FROM (SELECT cluster_id, lang_code, n, CAST(sum(n) OVER (PARTITION BY cluster_id) AS BIGINT) AS sample_count FROM pl)
     WHERE sample_count >= 5""",
+    "lang_distribution_map": w(CORPUS)
+    + """, pl AS (SELECT e.label AS cluster_id, c.lang AS lang_code, count(*) AS n
+             FROM corpus c JOIN embeddings e ON c.idx = e.vec_id GROUP BY ALL)
+    SELECT cluster_id, CAST(sum(n) AS BIGINT) AS sample_count, string_agg(lang_code || ':' || n, ',' ORDER BY lang_code) AS lang_distribution
+    FROM pl GROUP BY cluster_id HAVING sum(n) >= 5""",
+    "stage4_records": w(CORPUS, FIRST_CHAR)
+    + f""", pos AS (SELECT lang, idx, row_number() OVER (PARTITION BY lang ORDER BY idx) - 1 AS sel_pos FROM corpus),
+    full_fc AS (SELECT fc.cluster_id, fc.lang_code, pos.sel_pos, clean.title FROM fc
+      JOIN pos ON pos.lang = fc.lang_code AND pos.idx = fc.idx JOIN clean ON clean.lang_code = fc.lang_code AND clean.idx = fc.idx),
+    dm AS (SELECT cluster_id, CAST(sample_count AS BIGINT) AS sample_count, string_agg(lang_code || ':' || n, ',' ORDER BY lang_code) AS lang_distribution
+      FROM fc_dist GROUP BY cluster_id, sample_count),
+    sm AS (SELECT cluster_id, string_agg(lang_code || '/' || sel_pos || '/' || title, '|' ORDER BY lang_code, sel_pos) AS samples FROM full_fc GROUP BY cluster_id)
+    SELECT dm.cluster_id, dm.sample_count, dm.lang_distribution, CASE WHEN dm.sample_count <= 60 THEN sm.samples ELSE '-' END AS samples
+    FROM dm JOIN sm USING (cluster_id)""",
     "cluster_min_size": w(CORPUS, FIRST_CHAR) + "SELECT DISTINCT cluster_id, CAST(sample_count AS BIGINT) AS sample_count FROM fc_dist",
     "dominant_lang_clusters": w(CORPUS, DOMINATED)
     + "SELECT cluster_id, sample_count, dominant_lang, round(ratio, 6) AS ratio, round_even(ratio, 3) AS dominant_lang_ratio FROM dominated",

@@ -11,15 +11,15 @@ Per cluster (group ``(lang, cluster_id)``):
 7. cluster score = mean entropy of its top texts;
 8. per language, the first ``int(n * 0.2)`` clusters by score are *top*.
 
-All languages run in one plan keyed by ``(lang, cluster_id)``. The member
-texts (and vectors) and the entropy results are checkpointed once, so the
-corpus is looked up once and inference runs once; stage 4 pools from the
-materialised member texts.
+All languages run in one plan keyed by ``(lang, cluster_id)``. Every part is
+made when it is first asked for and written once: the kNN distances do not
+run entropy, and the vectors, a narrow table without texts, are all that kNN
+reads. Texts are joined last, for the kept members only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,27 +29,68 @@ from ..functions.text import is_blank
 from ..operators.embed import embed_texts
 from ..operators.entropy import semantic_entropy_column
 from ..operators.knn import knn_mean_distance
-from ..session import cut_lineage
 from ..operators.quality import cluster_scores, density_mask, split_top_fraction, top_texts
+from ..operators.ranking import join_groups
+from ..session import cut_lineage
 
 GROUP = ["lang", "cluster_id"]
 
 
-@dataclass
-class QualityResult:
-    members: DataFrame  # lang, cluster_id, idx, title, avg_distance, group_size, median_distance, kept, density
-    candidates: DataFrame  # kept members + semantic_entropy
-    top: DataFrame  # top texts with rank
-    clusters: DataFrame  # lang, cluster_id, cluster_size, avg_semantic_entropy, n_top, cluster_rank, n_clusters, is_top
-    member_texts: DataFrame  # lang, cluster_id, idx, title, text of members with non-blank text
-
-
 def cluster_members(members: DataFrame, corpus: DataFrame) -> DataFrame:
     """Members with their article text; the title is the cluster's, not the corpus's."""
     text = corpus.select("lang", "idx", "text")
     return members.join(text, ["lang", "idx"]).where(~is_blank("text"))
 
 
+class QualityResult:
+    """Stage 3 over ``members(lang, cluster_id, idx, title[, vec_col])``, part by part."""
+
+    def __init__(self, members, corpus, vec_col, embedder, k, top_k, fraction, clusters, order_col) -> None:
+        self._given, self._corpus, self._vec_col, self._embedder = members, corpus, vec_col, embedder
+        self._k, self._top_k, self._fraction, self._clusters, self._order = k, top_k, fraction, clusters, order_col
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """``lang, cluster_id, idx, title, vec[, order_col]`` of members with a non-blank text."""
+        keep = dict.fromkeys([*GROUP, "idx", "title", self._order])
+        if self._vec_col is None:
+            out = embed_texts(cluster_members(self._given.select(*keep), self._corpus), "text", "vec", self._embedder, normalize=True)
+            return cut_lineage(out.select(*keep, "vec"))
+        # only the keys of the corpus travel; its texts are tested in the scan
+        there = self._corpus.where(~is_blank("text")).select("lang", "idx")
+        return cut_lineage(self._given.select(*keep, F.col(self._vec_col).alias("vec")).join(there, ["lang", "idx"]).select(*keep, "vec"))
+
+    @cached_property
+    def distances(self) -> DataFrame:
+        """``lang, cluster_id, idx, avg_distance, group_size``."""
+        return cut_lineage(knn_mean_distance(self.vectors.select(*GROUP, "idx", "vec"), GROUP, "idx", "vec", k=self._k))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Distances, median, ``kept`` flag and density, with title and input order."""
+        return join_groups(density_mask(self.distances, GROUP, "idx"), self.vectors.drop("vec"), [*GROUP, "idx"])
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """Kept members with the entropy of their text; inference runs once, here."""
+        kept = cut_lineage(self.members.where("kept"))
+        texts = kept.join(self._corpus.select("lang", "idx", "text"), ["lang", "idx"])
+        return cut_lineage(texts.withColumn("semantic_entropy", semantic_entropy_column("text", self._embedder)).drop("text"))
+
+    @cached_property
+    def top(self) -> DataFrame:
+        """Top texts with rank."""
+        return top_texts(self.candidates, GROUP, "semantic_entropy", [self._order], k=self._top_k)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        """``lang, cluster_id, cluster_size, avg_semantic_entropy, n_top, cluster_rank, n_clusters, is_top``."""
+        every = self._clusters
+        if every is None:
+            every = self._given.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("cluster_size"))
+        return split_top_fraction(cluster_scores(every, self.top, GROUP), "lang", "avg_semantic_entropy", "cluster_id", self._fraction)
+
+
 def score_clusters(
     members: DataFrame,
     corpus: DataFrame,
@@ -61,36 +102,13 @@ def score_clusters(
     clusters: DataFrame | None = None,
     order_col: str = "idx",
 ) -> QualityResult:
-    """Run stage 3 on ``members(lang, cluster_id, idx, title[, vec_col])``.
+    """Stage 3 on ``members(lang, cluster_id, idx, title[, vec_col])``; nothing runs yet.
 
     ``clusters(lang, cluster_id, cluster_size)`` may list empty clusters too;
     by default it is derived from ``members``. ``order_col`` is the members'
     input order (ties), ``cluster_id`` the clusters' input order.
     """
-    with_text = cluster_members(members, corpus)
-    if vec_col is None:
-        with_text = embed_texts(with_text, "text", "vec", embedder, normalize=True)
-        vec_col = "vec"
-    # one corpus lookup and one embedding pass for every later use
-    with_text = cut_lineage(with_text)
-    # materialised once: the median and the mask must see the very same values
-    dist = cut_lineage(knn_mean_distance(with_text, GROUP, "idx", vec_col, k=k))
-    masked = density_mask(dist, GROUP, "idx")
-    info = with_text.select(*GROUP, "idx", "title", "text", order_col) if order_col != "idx" else with_text.select(
-        *GROUP, "idx", "title", "text"
-    )
-    scored = masked.join(info, [*GROUP, "idx"])
-    # entropy is the expensive step: materialise it once for every later use
-    candidates = cut_lineage(
-        scored.where("kept").withColumn("semantic_entropy", semantic_entropy_column("text", embedder)).drop("text")
-    )
-    top = top_texts(candidates, GROUP, "semantic_entropy", [order_col], k=top_k)
-    if clusters is None:
-        clusters = members.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("cluster_size"))
-    scores = cluster_scores(clusters, top, GROUP)
-    ranked = split_top_fraction(scores, "lang", "avg_semantic_entropy", "cluster_id", fraction)
-    member_texts = with_text.select(*GROUP, "idx", "title", "text")
-    return QualityResult(scored.drop("text"), candidates, top, ranked, member_texts)
+    return QualityResult(members, corpus, vec_col, embedder, k, top_k, fraction, clusters, order_col)
 
 
 def top_density_texts(top: DataFrame) -> DataFrame:

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import first_paragraph, paragraphs
 from ..functions.vectors import cosine_distance, l2_normalize
@@ -20,23 +22,26 @@ from ..operators.crosslang import (
     dominant_lang_clusters,
     dominant_lang_counts,
     lang_distribution,
+    lang_distribution_map,
 )
 from ..operators.embed import embed_texts, sparse_entries
 from ..operators.entities import entity_string, ner_records, valid_labels_table
 from ..operators.entropy import semantic_entropy_column
-from ..operators.kmeans import assemble_clusters, assign_nearest, centroids, collect_centres
+from ..operators.kmeans import assemble_clusters, assign_nearest, centroids, kmeans_fit_predict
 from ..operators.ranking import group_positions
 from ..operators.report import lang_share, pca_2d, sample_per_lang, source_comparison
 from ..operators.scaling import standardize, zscore_outliers
 from ..sources.corpus import (
     corpus_cap,
     corpus_counts,
+    corpus_slice,
     load_corpus,
     merge_order_key,
     read_table,
     slice_counts,
 )
-from .multi_lang import pool_articles, run_multi_lang
+from ..sources.files import parse_jsonl
+from .multi_lang import cluster_records, pool_articles, run_multi_lang
 from .quality_selection import score_clusters
 from .single_lang import (
     articles_from_records,
@@ -99,22 +104,43 @@ def q_corpus_scan(spark, sf):
 
 
 def q_corpus_counts(spark, sf):
-    return corpus_counts(_corpus(spark, sf))
+    return corpus_counts(load_corpus(spark, sf, spread=False))
 
 
 def q_corpus_slice(spark, sf):
-    return slice_counts(_corpus(spark, sf))
+    """Rows of the range [100, 300)."""
+    return corpus_slice(load_corpus(spark, sf, spread=False), 100, 300).select("lang", "idx", "title")
+
+
+def q_slice_counts(spark, sf):
+    return slice_counts(load_corpus(spark, sf, spread=False), chunk_rows=100)
 
 
 def q_corpus_cap(spark, sf):
-    return corpus_cap(_corpus(spark, sf)).select("lang", "idx", "title")
+    """The first 50 rows of every language, by position in the language."""
+    return corpus_cap(load_corpus(spark, sf, spread=False), 50).select("lang", "idx", "title")
 
 
 def q_chunk_merge_order(spark, sf):
-    c = _corpus(spark, sf).select("lang", "idx", merge_order_key("idx").alias("chunk_file"))
+    """Chunk files of ten rows, so that the name order differs from the row order."""
+    c = load_corpus(spark, sf, spread=False).select("lang", "idx", merge_order_key("idx", chunk_rows=10).alias("chunk_file"))
     return group_positions(c, ["lang"], ["chunk_file", "idx"], pos_col="merge_pos", size_col=None)
 
 
+def q_jsonl_read(spark, sf):
+    """Tolerant read of one JSON line per document; the lines of French documents
+    are cut short, those of Spanish ones have text where a number belongs."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
+    line = F.to_json(F.struct("doc_id", "lang", "source"))
+    broken = F.when(F.col("lang") == "fr", F.substring(line, F.lit(1), F.length(line) - 1)).when(
+        F.col("lang") == "es", F.to_json(F.struct(F.lit("many").alias("doc_id"), "lang", "source"))
+    ).otherwise(line)
+    good, rejected = parse_jsonl(docs.select(broken.alias("value")), T.StructType.fromDDL("doc_id bigint, lang string, source string"))
+    kept = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("id_sum")).withColumn("reason", F.lit("good"))
+    lost = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit("-").alias("lang"), F.lit("-").alias("source"), "n", F.lit(-1).cast("bigint").alias("id_sum"), "reason")
+    return kept.unionByName(lost)
+
+
 # --- projections / predicates ------------------------------------------------
 
 
@@ -171,6 +197,14 @@ def q_selected_articles(spark, sf):
     return selected_articles(_ner(spark, sf).where("selected"), _corpus(spark, sf))
 
 
+def q_selected_articles_pos(spark, sf):
+    """J1 with the order of the selection, in which German articles come twice."""
+    sel = _ner(spark, sf).where("selected").select("lang_code", "index")
+    twice = sel.withColumn("turn", F.lit(0)).unionByName(sel.where(F.col("lang_code") == "de").withColumn("turn", F.lit(1)))
+    placed = group_positions(twice, ["lang_code"], ["turn", "index"], pos_col="pos", size_col=None)
+    return selected_articles(placed, _corpus(spark, sf)).select("lang", "idx", "pos", "title")
+
+
 def q_embed_prompt(spark, sf):
     from ..functions.text import embed_prompt
 
@@ -180,8 +214,9 @@ def q_embed_prompt(spark, sf):
 
 
 def q_index_out_of_range(spark, sf):
-    sel = _vectors(spark, sf).select(F.col("vec_id").alias("idx"))
-    return out_of_range(sel, _corpus(spark, sf), keys=("idx",))
+    """A selection that reaches past the end: three times each given id."""
+    sel = _vectors(spark, sf).select((F.col("vec_id") * 3).alias("idx"))
+    return out_of_range(sel, load_corpus(spark, sf, spread=False), keys=("idx",))
 
 
 def q_paragraphs(spark, sf):
@@ -307,6 +342,28 @@ def q_cluster_quality(spark, sf):
     )
 
 
+def q_cluster_quality_gaps(spark, sf):
+    """Cluster scores where some clusters are empty and some have members without an article."""
+    given = _given_members(spark, sf)
+    past = given.select("lang", (F.col("idx") + 1_000_000_000).alias("idx"), (F.col("cluster_id") + 1000).alias("cluster_id"), "title", "vec")
+    members = given.unionByName(past)
+    sizes = members.groupBy("lang", "cluster_id").agg(F.count(F.lit(1)).alias("cluster_size"))
+    empty = given.select("lang", (F.col("cluster_id") + 2000).alias("cluster_id")).distinct().withColumn("cluster_size", F.lit(0).cast("bigint"))
+    q = score_clusters(members, _corpus(spark, sf), vec_col="vec", clusters=sizes.unionByName(empty))
+    return q.clusters.select(
+        "lang", "cluster_id", "cluster_size", "n_top", r6(F.coalesce("avg_semantic_entropy", F.lit(-1.0))).alias("avg_semantic_entropy"), "cluster_rank"
+    )
+
+
+def q_knn_blocked(spark, sf):
+    """V3 with three-row blocks: every group is a join of block pairs."""
+    from ..operators.knn import knn_mean_distance
+
+    v = _vectors(spark, sf).select(F.col("label").alias("cluster_id"), F.col("vec_id").alias("idx"), "vec")
+    out = knn_mean_distance(v, ["cluster_id"], "idx", "vec", block_rows=3)
+    return out.select("cluster_id", "idx", r6(F.col("avg_distance")).alias("avg_distance"), "group_size")
+
+
 def _clusters_route(spark, sf, flag: bool):
     q = _quality(spark, sf)
     return q.clusters.where(F.col("is_top") == flag).select(
@@ -395,8 +452,7 @@ def q_cluster_assembly(spark, sf):
 
 def _fixed_assignment(spark, sf):
     v = _vectors(spark, sf)
-    ids, cents = collect_centres(centroids(v, "label", "vec", EMB_DIM), "label")
-    return assign_nearest(v, "vec", cents, ids, out_col="cluster_id", dist_col="centre_distance")
+    return assign_nearest(v, "vec", centroids(v, "label", "vec", EMB_DIM), centre_col="label")
 
 
 def q_kmeans_assign_fixed(spark, sf):
@@ -413,30 +469,94 @@ def q_kmeans_lloyd_step(spark, sf):
 
 
 def q_kmeans_single_lang(spark, sf):
-    labelled, _ = run_single_lang(_selected_articles(spark, sf), max_iter=50)
+    labelled, _ = run_single_lang(_selected_articles(spark, sf))
     return labelled.select("lang", "idx", "cluster_id")
 
 
 def q_single_lang_clusters(spark, sf):
-    _, clusters = run_single_lang(_selected_articles(spark, sf), max_iter=50)
+    _, clusters = run_single_lang(_selected_articles(spark, sf))
     return clusters.select("lang", "cluster_id", "cluster_size", "member_pos", "idx", "title")
 
 
 def q_kmeans_multi_lang(spark, sf):
-    samples, _, _ = run_multi_lang(clean_articles(_corpus(spark, sf)), max_iter=50)
+    samples, _, _ = run_multi_lang(clean_articles(_corpus(spark, sf)))
     return samples.select("lang_code", "idx", "cluster_id")
 
 
 def q_multi_lang_dominated(spark, sf):
-    _, _, dominated = run_multi_lang(clean_articles(_corpus(spark, sf)), max_iter=50)
+    _, _, dominated = run_multi_lang(clean_articles(_corpus(spark, sf)))
     return dominated
 
 
+def _off_centre(labelled, model, vec_col: str, label_col: str):
+    """Rows with a centre nearer than their own (beyond rounding), counted in SQL-free plain NumPy."""
+    import numpy as np
+
+    centres = np.array(model.clusterCenters())
+
+    @F.pandas_udf("long")
+    def off(vec: pd.Series, label: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype="int64")
+        x = np.stack(vec.to_numpy())
+        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+        return pd.Series((d[np.arange(len(x)), label.to_numpy()] > d.min(axis=1) + 1e-9).astype("int64"))
+
+    return labelled.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((F.col(label_col) >= 0) & (F.col(label_col) < len(centres))).alias("n_in_range"),
+        F.sum(off(vec_col, label_col)).alias("n_off_centre"),
+    ).withColumn("k", F.lit(len(centres)).cast("bigint"))
+
+
+def q_kmeans_invariants(spark, sf):
+    """KMeans of the given vectors, k = n // 10 distinct: every row is labelled and at its nearest centre."""
+    v = _vectors(spark, sf)
+    k = max(2, v.select("vec").distinct().count() // 10)
+    labelled, model = kmeans_fit_predict(v.select("vec_id", "vec"), "vec", k)
+    return _off_centre(labelled, model, "vec", "cluster_id")
+
+
+def q_kmeans_single_lang_invariants(spark, sf):
+    """Per language: rows in, rows labelled once, labels inside range(k), sizes that sum to n."""
+    labelled, clusters = run_single_lang(_selected_articles(spark, sf))
+    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idx").alias("n_once"), F.min("cluster_id").cast("bigint").alias("least"), F.max("cluster_id").alias("last"))
+    sizes = clusters.select("lang", "cluster_id", "cluster_size").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.sum("cluster_size").alias("size_sum"))
+    return n.join(sizes, "lang").select("lang", "n", "n_once", "k", "size_sum", ((F.col("least") >= 0) & (F.col("last") < F.col("k"))).alias("in_range"))
+
+
+def q_kmeans_two_level_invariants(spark, sf):
+    """The same for the two-level method, with cells small enough to be split again."""
+    labelled, clusters = run_single_lang(_selected_articles(spark, sf), method="two_level", max_cell=60)
+    n = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("idx").alias("n_once"), F.min("cluster_id").cast("bigint").alias("least"), F.max("cluster_id").alias("last"))
+    sizes = clusters.select("lang", "cluster_id", "cluster_size").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("k"), F.sum("cluster_size").alias("size_sum"))
+    return n.join(sizes, "lang").select("lang", "n", "n_once", "k", "size_sum", ((F.col("least") >= 0) & (F.col("last") < F.col("k"))).alias("in_range"))
+
+
+def q_kmeans_multi_lang_invariants(spark, sf):
+    """Stage-4 KMeans: every cleaned article labelled once, labels inside range(1000)."""
+    samples, _, _ = run_multi_lang(clean_articles(_corpus(spark, sf)))
+    return samples.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("lang_code", "idx").alias("n_once"), ((F.min("cluster_id") >= 0) & (F.max("cluster_id") < 1000)).alias("in_range")
+    )
+
+
+def q_pca_invariants(spark, sf):
+    """Components of the given vectors: centred, uncorrelated, ordered by variance."""
+    p = pca_2d(_vectors(spark, sf), "vec", EMB_DIM)
+    return p.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.abs(F.avg("pc1")) + F.abs(F.avg("pc2")) < 1e-6).alias("centred"),
+        (F.abs(F.covar_pop("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("pc1") >= F.var_pop("pc2")).alias("ordered"),
+    )
+
+
 def q_culture_clusters(spark, sf):
     """All four stages end to end on the whole corpus (KMeans labels: rows-only check)."""
     from .end_to_end import run_all_stages
 
-    return run_all_stages(_corpus(spark, sf), max_iter=50).dominated
+    return run_all_stages(_corpus(spark, sf)).dominated
 
 
 # --- aggregations -----------------------------------------------------------------------
@@ -456,6 +576,24 @@ def q_lang_distribution(spark, sf):
     return lang_distribution(_label_samples(spark, sf))
 
 
+def q_lang_distribution_map(spark, sf):
+    """A2 as a map per cluster, rendered ``lang:count`` in language order."""
+    m = lang_distribution_map(lang_distribution(_label_samples(spark, sf)))
+    entries = F.transform(F.array_sort(F.map_entries("lang_distribution")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return m.select("cluster_id", "sample_count", F.array_join(entries, ",").alias("lang_distribution"))
+
+
+def q_stage4_records(spark, sf):
+    """Stage-4 records of given cluster ids: language map and nested samples with
+    their selection position, for clusters of at most 60 samples."""
+    pool = group_positions(load_corpus(spark, sf), ["lang"], ["idx"], pos_col="sel_pos", size_col=None)
+    samples = clean_articles(pool, keep=["sel_pos"]).withColumn("cluster_id", F.substring("text", 1, 1))
+    rec = cluster_records(samples, lang_distribution(samples), 60)
+    entries = F.transform(F.array_sort(F.map_entries("lang_distribution")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    members = F.transform("samples", lambda s: F.concat(s["lang_code"], F.lit("/"), s["index"].cast("string"), F.lit("/"), s["title"]))
+    return rec.select("cluster_id", "sample_count", F.array_join(entries, ",").alias("lang_distribution"), F.coalesce(F.array_join(members, "|"), F.lit("-")).alias("samples"))
+
+
 def q_cluster_min_size(spark, sf):
     d = lang_distribution(_first_char_pool(spark, sf))
     return d.select("cluster_id", "sample_count").distinct()
@@ -487,7 +625,7 @@ def q_pca_2d(spark, sf):
 
 
 def q_lang_share(spark, sf):
-    return lang_share(_corpus(spark, sf)).withColumn("share", r6(F.col("share")))
+    return lang_share(load_corpus(spark, sf, spread=False)).withColumn("share", r6(F.col("share")))
 
 
 def q_source_centroids(spark, sf):

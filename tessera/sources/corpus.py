@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_ROWS, ROW_CAP_PER_LANG
+from ..constants import CHUNK_ROWS
 from ..functions.text import derived_title
+from ..operators.ranking import group_positions
 from ..session import table_path
 
 
@@ -41,20 +42,19 @@ def corpus_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread rows when the scan yields fewer splits than the cluster has cores.
 
-    A single large row group is one task; per-row text work (regexes, Python
-    inference) would then run on one core. Large inputs have many splits and
-    are left untouched (no shuffle).
+    A file of one large row group is one task, whatever the split size, and
+    per-row text work (regexes, Python inference) would run on one core. Only
+    the placement of rows changes, never a result. An input with many splits is
+    read as it is, without a shuffle.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(target) if current < target else df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_from_documents(ensure_parallelism(read_table(spark, sf_dir, "documents")))
+def load_corpus(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """The corpus of a table folder; ``spread=False`` where no per-row text work follows."""
+    documents = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return corpus_from_documents(ensure_parallelism(documents) if spread else documents)
 
 
 def corpus_counts(corpus: DataFrame) -> DataFrame:
@@ -65,11 +65,11 @@ def corpus_counts(corpus: DataFrame) -> DataFrame:
 def corpus_slice(corpus: DataFrame, start_idx: int, end_idx: int) -> DataFrame:
     """Rows with ``start_idx <= idx < end_idx``; pushed down to the scan.
 
-    Same argument check as the original loader; an ``end_idx`` beyond the
+    The range must be non-empty and must not begin below 0; an end beyond the
     data simply selects to the end.
     """
-    if start_idx < 0 or end_idx <= start_idx:
-        raise ValueError(f"Invalid indices: start_idx={start_idx}, end_idx={end_idx}")
+    if not 0 <= start_idx < end_idx:
+        raise ValueError(f"not a row range: [{start_idx}, {end_idx})")
     return corpus.where((F.col("idx") >= start_idx) & (F.col("idx") < end_idx))
 
 
@@ -84,9 +84,17 @@ def slice_counts(corpus: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     )
 
 
-def corpus_cap(corpus: DataFrame, cap: int = ROW_CAP_PER_LANG) -> DataFrame:
-    """First ``cap`` rows of every language (``idx`` is the per-source row number)."""
-    return corpus.where(F.col("idx") < cap)
+def corpus_cap(corpus: DataFrame, cap: int) -> DataFrame:
+    """First ``cap`` rows of every language, counted by position in ``idx`` order.
+
+    Opt-in: no stage applies it unless asked to. Positions come from a narrow
+    table (language and idx), so no language meets in one task; rows of equal
+    ``idx`` share one fate.
+    """
+    keys = corpus.select("lang", "idx").distinct()
+    first = group_positions(keys, ["lang"], ["idx"], pos_col="_pos", size_col=None).where(F.col("_pos") < cap).drop("_pos")
+    same = corpus["lang"].eqNullSafe(first["lang"]) & corpus["idx"].eqNullSafe(first["idx"])
+    return corpus.join(first, same, "left_semi")
 
 
 def merge_order_key(idx_col: str = "idx", prefix: str = "selected_data_", chunk_rows: int = CHUNK_ROWS):

@@ -48,15 +48,42 @@ def write_jsonl(
     w.save(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tolerant JSON Lines read: malformed lines are dropped, blank lines skipped.
+def parse_jsonl(lines: DataFrame, schema: T.StructType, line_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``(good, rejected)`` of JSON lines; every non-blank line is in exactly one.
+
+    The whole schema is parsed before anything is selected, so which lines are
+    good never depends on the columns that are read later. ``rejected`` is
+    ``line, reason``: ``not_an_object`` (no JSON object at all) or
+    ``bad_field`` (an object with a field of another type). Blank and null
+    lines are neither. A field that is missing in a line is taken from a column
+    of that name, if ``lines`` has one (the partition folder it was read from).
+    """
+    flagged = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    folder = [f for f in schema.fields if f.name in lines.columns and f.name != line_col]
+    rows = lines.where(F.length(F.trim(F.col(line_col))) > 0).select(
+        F.col(line_col).alias("line"),
+        *[F.col(f.name).cast(f.dataType).alias(f"_in_{f.name}") for f in folder],
+        F.from_json(F.col(line_col), flagged, options).alias("r"),
+        F.from_json(F.col(line_col), "map<string,string>", {"mode": "PERMISSIVE"}).alias("m"),
+    )
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | F.col("m").isNull()
+    reason = F.when(F.col("m").isNull(), F.lit("not_an_object")).otherwise(F.lit("bad_field"))
+    value = {f.name: F.col(f"r.`{f.name}`") for f in schema.fields} | {f.name: F.coalesce(f"r.{f.name}", f"_in_{f.name}") for f in folder}
+    return rows.where(~bad).select(*[value[f.name].alias(f.name) for f in schema.fields]), rows.where(bad).select("line", reason.alias("reason"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, reject_path: str | None = None) -> DataFrame:
+    """Tolerant JSON Lines read: the good lines; rejected ones go to ``reject_path`` if given.
 
     Raises if nothing valid is left (the original treats that as an error).
     """
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    if df.limit(1).count() == 0:
-        raise ValueError(f"No valid records found in {path}")
-    return df
+    good, rejected = parse_jsonl(spark.read.text(path), schema)
+    if reject_path:
+        rejected.write.mode("overwrite").json(reject_path)
+    if good.limit(1).count() == 0:
+        raise ValueError(f"nothing in {path} could be read as a record")
+    return good
 
 
 def entities_to_pairs(col: str = "entities"):
@@ -67,9 +94,9 @@ def pairs_to_entities(col: str = "entities"):
     return F.transform(F.col(col), lambda p: F.struct(p[0].alias("text"), p[1].alias("label"))).cast(ENTITY_TYPE)
 
 
-def read_ner_records(spark: SparkSession, path: str) -> DataFrame:
+def read_ner_records(spark: SparkSession, path: str, reject_path: str | None = None) -> DataFrame:
     """Stage-1 JSON Lines (any number of files) with entities as structs."""
-    return read_jsonl(spark, path, NER_RECORD_SCHEMA).withColumn("entities", pairs_to_entities())
+    return read_jsonl(spark, path, NER_RECORD_SCHEMA, reject_path).withColumn("entities", pairs_to_entities())
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -56,6 +56,21 @@ def test_recogniser_plugin_runs_in_map_in_pandas(spark):
     assert out[1]["entities"] == []
 
 
+def test_plugin_keeps_rows_without_a_language_and_checks_counts(spark):
+    import pytest
+
+    def fake(lang, texts):
+        return [[("Wien", "LOC")] for _ in texts]
+
+    rows = [("de", 1, "Wien", "Wien ist schön"), (None, 2, "Wien", "Wien ist schön"), (None, 3, "Graz", "Graz")]
+    corpus = spark.createDataFrame(rows, "lang string, idx bigint, title string, text string").coalesce(1)
+    recs = {r["index"]: r for r in ner_records(corpus, fake).collect()}
+    assert {i: r["selected"] for i, r in recs.items()} == {1: True, 2: True, 3: False}
+    assert all(r["entities"] for r in recs.values())
+    with pytest.raises(Exception, match="2 results for 1"):
+        annotate_entities(spark.createDataFrame([("de", "x")], "lang string, ner_text string"), recognizer=lambda lang, texts: [[], []]).collect()
+
+
 def test_spacy_plugin_is_gated():
     import importlib.util
 

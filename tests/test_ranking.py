@@ -5,18 +5,14 @@ from tessera.operators.quality import split_top_fraction
 from tessera.operators.ranking import group_median, group_positions
 
 
-import pytest
-
-
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_group_positions_hot_group(spark, limit):
+def test_group_positions_hot_group(spark):
     rng = np.random.default_rng(1)
     n = 3000
     groups = np.where(rng.random(n) < 0.34, "hot", rng.choice(["a", "b", "c", "d"], n))
     vals = rng.integers(0, 50, n)  # many ties, broken by id
     pdf = pd.DataFrame({"g": groups, "v": vals, "id": np.arange(n)})
     df = spark.createDataFrame(pdf)
-    got = group_positions(df, ["g"], ["v", "id"], num_partitions=7, window_limit=limit).toPandas()
+    got = group_positions(df, ["g"], ["v", "id"], num_partitions=7).toPandas()
     exp = pdf.sort_values(["g", "v", "id"]).assign(pos=lambda x: x.groupby("g").cumcount())
     m = got.merge(exp, on=["g", "v", "id"], suffixes=("", "_e"))
     assert len(m) == n and (m["pos"] == m["pos_e"]).all()
@@ -24,11 +20,10 @@ def test_group_positions_hot_group(spark, limit):
     assert (m["group_size"] == m["g"].map(sizes)).all()
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_group_median_matches_numpy(spark, limit):
+def test_group_median_matches_numpy(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"g": rng.choice(["x", "y", "z"], 501), "v": rng.normal(size=501), "id": np.arange(501)})
-    got = {r["g"]: r["median"] for r in group_median(spark.createDataFrame(pdf), ["g"], "v", "id", window_limit=limit).collect()}
+    got = {r["g"]: r["median"] for r in group_median(spark.createDataFrame(pdf), ["g"], "v", "id").collect()}
     for g, part in pdf.groupby("g"):
         assert np.isclose(got[g], np.median(part["v"]))
 
@@ -44,3 +39,18 @@ def test_top_fraction_counts_and_ties(spark):
     # equal scores keep input order; the unscored cluster 0 sorts as 0 (last)
     assert sorted(out[(out["lang"] == "d") & out["is_top"]]["cluster_id"]) == [1, 2]
     assert int(out[(out["lang"] == "d") & (out["cluster_id"] == 0)]["cluster_rank"].iloc[0]) == 9
+
+
+def test_null_groups_are_groups(spark):
+    rows = [(None, 3.0, 1), (None, 1.0, 2), (None, None, 3), ("a", 5.0, 4), ("b", None, 5)]
+    df = spark.createDataFrame(rows, "g string, v double, id bigint")
+    got = {(r["g"], r["id"]): (r["pos"], r["group_size"]) for r in group_positions(df, ["g"], ["id"]).collect()}
+    assert got == {(None, 1): (0, 3), (None, 2): (1, 3), (None, 3): (2, 3), ("a", 4): (0, 1), ("b", 5): (0, 1)}
+    # nulls have no rank: the median is that of the values there are
+    assert {r["g"]: r["median"] for r in group_median(df, ["g"], "v", "id").collect()} == {None: 2.0, "a": 5.0, "b": None}
+
+
+def test_empty_input(spark):
+    df = spark.createDataFrame([], "g string, v double, id bigint")
+    assert group_positions(df, ["g"], ["id"]).count() == 0
+    assert group_median(df, ["g"], "v", "id").count() == 0

@@ -8,6 +8,7 @@ from tessera.sources.corpus import corpus_slice
 from tessera.sources.files import (
     NER_RECORD_SCHEMA,
     curated_member_rows,
+    parse_jsonl,
     read_curated_points,
     read_jsonl,
     read_ner_records,
@@ -41,6 +42,13 @@ def test_tolerant_jsonl_read(spark):
         read_jsonl(spark, bad, schema)
 
 
+def test_good_lines_do_not_depend_on_the_columns_read(spark):
+    lines = ['{"title": "A", "index": 1, "entities": [], "lang_code": "de"}', '{"title": "B", "index": "x", "entities": [], "lang_code": "de"}', "[1, 2]", "{oops", "", "  ", None, "null", '"text"']
+    good, rejected = parse_jsonl(spark.createDataFrame([(x,) for x in lines], "value string"), NER_RECORD_SCHEMA)
+    assert good.count() == good.select("title").count() == good.select("lang_code").count() == 1
+    assert sorted((r["line"], r["reason"]) for r in rejected.collect()) == sorted([(lines[1], "bad_field"), ("[1, 2]", "not_an_object"), ("{oops", "not_an_object"), ("null", "not_an_object"), ('"text"', "not_an_object")])
+
+
 def test_route_round_trip(spark):
     from tessera.plans.ner_selection import run_ner_selection, write_routes
 
