@@ -16,11 +16,14 @@ lower-cased); with fewer words the whole sequence is its only element.
    (``2 ** -BITS``). Pairs estimated far below the threshold (``MARGIN``, four
    standard errors) are dropped.
 4. *Confirmation* on the full sets, then connected components.
-5. *The rest*: in buckets that are still split, members of different components
-   are compared. Estimate and confirmation on the full sets are conditions of
-   the join, so a pair that is no link is never emitted; a pair is confirmed in
-   the first band it shares. Big buckets are cut into blocks, so no task gets a
-   whole one. The links join the components.
+5. *The rest*: buckets that are still split. Big ones are cut into blocks, and each
+   pair of blocks is a group of its own, so no task gets a whole bucket. A member
+   stays only where some partner of another component has a high enough
+   estimate and shares no earlier band with it. The groups left are compared on
+   the full sets at once: distinct shingles become columns, documents rows of a
+   0/1 matrix, and its product with itself holds all intersections. A group
+   returns links that connect what it found connected, fewer than it has
+   members, never its pairs. The links join the components.
 
 Every pair that shares a band is thus linked, or confirmed to be no link, or already in
 one component. At similarity 0.75, a pair shares none of 32 bands of 4
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.bytescan import BLACK, Words, chunks, flat, mix, odd_constants, span_hashes, window_hashes
 from tessera.llm.components import components
@@ -46,8 +50,9 @@ SIMILAR = (75, 100)
 #: Estimates this far below the threshold are not confirmed: 4 standard errors of 128 fields.
 MARGIN = 0.16
 STAR_ROUNDS = 3
-#: Members of a bucket that are compared in one block.
-BLOCK = 512
+#: Members of a bucket in one block; two blocks are compared at a time, shingles in tiles.
+BLOCK = 256
+TILE = 4096
 
 _FIELDS = 64 // BITS
 _WORDS = BANDS * ROWS * BITS // 64
@@ -140,22 +145,19 @@ def equal_share(a: Column, b: Column) -> Column:
     return (same - chance) / (1 - chance)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, form: str = "binary") -> DataFrame:
-    """``id, shingles``: full sets (ascending 64-bit hashes) of some documents, packed or as ``array<long>``."""
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles binary``: full sets (ascending 64-bit hashes) of some documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = flat(batch.column(1))
             for i, j in chunks(offsets):
                 value, first = shingle_sets(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if form == "binary":
-                    column = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(value)])
-                else:
-                    column = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(value.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), column], names=["id", "shingles"])
+                packed = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(value)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed], names=["id", "shingles"])
 
     rows = semi_join(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), ids, "id")
-    return map_batches(rows, run, schema_with(docs.schema[id_col].dataType, f"shingles {form}"))
+    return map_batches(rows, run, schema_with(docs.schema[id_col].dataType, "shingles binary"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,35 +211,103 @@ def _star_pairs(members: DataFrame, label: DataFrame | None, turn: int, least: f
     return now.join(lead.select("key", "lead"), "key").where(near).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
 
-def _links_across(members: DataFrame, label: DataFrame | None, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """``a, b``: links between members of one bucket in different components.
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every two sets (each ascending, distinct)."""
+    sizes = [len(x) for x in sets]
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # the others are in no intersection
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.concatenate([[0], (np.diff(column) > 0).astype(np.int64)])) if len(column) else column
+    out = np.diag(np.array(sizes, dtype=np.float32))
+    np.fill_diagonal(out, 0)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, TILE):
+        i, j = np.searchsorted(column, [start, start + TILE])
+        tile = np.zeros((len(sets), TILE if column[j - 1] >= start + 64 else 64), dtype=np.float32)
+        tile[row[i:j], column[i:j] - start] = 1
+        out += tile @ tile.T
+    return out
 
-    Buckets are cut into blocks of about ``BLOCK`` members by hash, and each pair
-    of blocks is a join key of its own. A first semi-join keeps the members with
-    any partner whose estimate is high enough; only their full sets are looked up.
-    """
-    now = _labelled(members, label)
-    size = now.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    blocks = now.join(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
-    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        keep = ["key", "band", "blocks", "own", "id", "component", "sig", *more]
-        left = rows.select(*keep, F.col("own").alias("i"), F.explode(every).alias("j")).alias("l")
-        return left, rows.select(*keep, F.explode(every).alias("i"), F.col("own").alias("j")).alias("r")
+def _group_links(ids: list, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
+    """Links (smaller id first) that connect members of different components as the
+    similar pairs do; at most one per member."""
+    size = np.array([len(x) for x in sets])
+    same = intersections(sets)
+    alike = SIMILAR[1] * same >= SIMILAR[0] * (size[:, None] + size[None, :] - same)
+    alike &= component[:, None] != component[None, :]
+    links: list[tuple] = []
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in np.flatnonzero(alike.any(axis=1)).tolist():
+        for j in np.flatnonzero(alike[i, i + 1 :]).tolist():
+            a, b = find(i), find(i + 1 + j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((min(ids[i], ids[i + 1 + j]), max(ids[i], ids[i + 1 + j])))
+    return links
+
+
+def _compare_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of every ``(key, lo, hi)`` group of rows that come sorted by group."""
+    held: list[pa.RecordBatch] = []
+
+    def links(rows: pa.Table) -> list[tuple]:
+        group = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
+        edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1), [True]]))
+        ids, component = rows.column("id").to_pylist(), rows.column("component").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("shingles")]
+        out = []
+        for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if j - i > 1:
+                out += _group_links(ids[i:j], component[i:j], sets[i:j])
+        return out
+
+    def result(found: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        kind = like.schema.field("id").type
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], kind), pa.array([b for _, b in found], kind)], names=["a", "b"])
 
-    at = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = [batch.column(c)[batch.num_rows - 1] for c in ("key", "lo", "hi")]
+        if [held[0].column(c)[0] for c in ("key", "lo", "hi")] == keys:
+            continue  # one group so far
+        rows = pa.Table.from_batches(held).combine_chunks()
+        group = np.stack([rows.column(c).to_numpy() for c in ("key", "lo", "hi")], axis=1)
+        last = int(np.flatnonzero((group != group[-1]).any(axis=1))[-1]) + 1
+        yield result(links(rows.slice(0, last)), batch)
+        held = rows.slice(last).to_batches()
+    if held:
+        yield result(links(pa.Table.from_batches(held).combine_chunks()), held[0])
+
+
+def _links_across(members: DataFrame, label: DataFrame | None, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """``a, b``: links that connect members of one bucket in different components."""
+    now = _labelled(members, label)
+    size = now.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("from"), F.max("component").alias("to")).where("from <> to")
+    blocks = now.join(size.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    wide = blocks.join(reps.select("id", "keys"), "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pair = lambda rows: rows.withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    left, right = pair(wide).alias("l"), pair(wide).alias("r")
+    at = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "lo", "hi")]
     near = (F.col("l.component") != F.col("r.component")) & (equal_share(F.col("l.sig"), F.col("r.sig")) >= least)
-    left, right = sides(blocks)
-    open_ = store(left.join(right, [*at, near], "left_semi").drop("i", "j").distinct(), "open-members")
-    sets = store(_sets(docs, open_.select("id").distinct(), id_col, text_col, "array<long>"), "open-sets")
-    wide = open_.join(sets, "id").join(reps.select("id", "keys"), "id")
-    left, right = sides(wide, "shingles", "keys")
-    same = F.size(F.array_intersect("l.shingles", "r.shingles"))
-    alike = F.lit(SIMILAR[1]) * same >= F.lit(SIMILAR[0]) * (F.size("l.shingles") + F.size("r.shingles") - same)
     before = F.exists(F.zip_with(F.slice("l.keys", 1, F.col("l.band")), F.slice("r.keys", 1, F.col("r.band")), lambda x, y: x == y), lambda e: e)
-    found = left.join(right, [*at, F.col("l.id") < F.col("r.id"), near, ~before, alike])
-    return found.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    open_ = store(left.join(right, [*at, near, ~before], "left_semi").select("key", "lo", "hi", "id", "component"), "open-members")
+    sets = store(_sets(docs, open_.select("id").distinct(), id_col, text_col), "open-sets")
+    grouped = open_.join(sets, "id").select("key", "lo", "hi", "id", "component", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    kind = docs.schema[id_col].dataType
+    return map_batches(grouped, _compare_groups, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -110,3 +110,14 @@ def test_components_of_paths_and_hubs(spark):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 131))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_intersections_equal_set_operations(monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 8)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 40, 40, 25, 60)]
+    got = neardup.intersections(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
