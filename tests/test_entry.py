@@ -31,3 +31,18 @@ def test_cheap_queries_match_oracle_at_small_scale(spark):
         a = e.queries()[name](spark, SF_SMALL).toPandas()
         b = con.sql(e.oracle_sql()[name]).df()
         assert compare(a, b) == "OK", name
+
+
+def test_absent_parts_are_skipped_but_their_errors_are_not(tmp_path, monkeypatch):
+    """The parts that may be deleted: a missing module is nothing, a broken one raises."""
+    import sys
+
+    import pytest
+
+    import __spark_entry__ as e
+
+    assert e._optional("tessera.no_such_part") is None
+    (tmp_path / "broken_part.py").write_text("import no_such_library\n")
+    monkeypatch.setattr(sys, "path", [str(tmp_path), *sys.path])
+    with pytest.raises(ModuleNotFoundError):
+        e._optional("broken_part")
