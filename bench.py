@@ -49,7 +49,7 @@ def main() -> None:
     ).write.format("noop").mode("overwrite").save()
     # ... and MLlib's KMeans code paths (a small fit on the given vectors)
     vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS idx", "CAST(embedding AS array<double>) AS vec")
-    kmeans_fit_predict(vecs, "vec", 8, max_iter=5, order_cols=["idx"])[0].write.format("noop").mode("overwrite").save()
+    kmeans_fit_predict(vecs, "vec", 8, max_iter=5)[0].write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         t0 = time.perf_counter()
