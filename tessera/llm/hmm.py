@@ -13,8 +13,8 @@ every task), while the word counts, which grow with the corpus, are a table that
 is joined and never collected.
 
 *Tokens* are written once, a row per block of about ``BLOCK_BYTES`` of text: the
-block's distinct word hashes and every token as a place among them. Training
-passes and scoring read that table.
+block's distinct word hashes, the most frequent first, and every token as a
+place among them, compressed. Training passes and scoring read that table.
 
 *Training*: every task runs forward and backward over its sequences (texts cut
 every ``SEGMENT`` tokens), all sequences in step, and emits expected counts per
@@ -45,7 +45,7 @@ CLASS_BITS = 14
 CLASSES = 1 << CLASS_BITS  # the end is class number CLASSES
 ROUNDS = 3
 SEGMENT = 128
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens whose forward and backward values are held at once.
 TOKENS_AT_ONCE = 250_000
 #: Documents that seed the states' first emissions, and the longest that is taken.
@@ -127,11 +127,21 @@ def _log10_forward(model: Hmm, classes: np.ndarray, first: np.ndarray) -> np.nda
     return out
 
 
+def packed_ints(values: np.ndarray) -> bytes:
+    """32-bit integers by byte planes, compressed; small values take little room."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_ints(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """Written table of blocks: ``block, ids, held, sizes, hashes, places``.
 
-    ``hashes`` (ascending distinct, END last) and ``places`` (one per token, the
-    end included) are packed 64- and 32-bit integers.
+    ``hashes``: the block's distinct tokens (64-bit, END among them); ``sizes``:
+    tokens of each text, its end included; ``places``: one per token, packed.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType(
@@ -145,28 +155,33 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> D
         ]
     )
 
+    def row(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        tokens = np.concatenate([p[3] for p in parts])
+        distinct, back, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        whole = [pa.concat_arrays([p[k] for p in parts]) for k in range(3)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in whole]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, pa.array([distinct[order].tobytes()], pa.binary()), pa.array([packed_ints(rank[back])], pa.binary())], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        parts, size = [], 0
         for batch in batches:
             body, offsets = flat(batch.column(2))
-            for i, j in chunks(offsets, BLOCK_BYTES):
+            for i, j in chunks(offsets):
                 words = Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], BLACK)
                 got = np.minimum(words.hashes(), END - np.uint64(1))
                 tokens = np.full(len(got) + j - i, END, dtype=np.uint64)
                 tokens[np.arange(len(got)) + words.doc] = got  # every text before has its end
-                hashes, places = np.unique(tokens, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i)),
-                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(1).slice(i, j - i)),
-                        pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), pa.array(words.count + 1, pa.int32())),
-                        pa.array([hashes.tobytes()], pa.binary()),
-                        pa.array([places.astype(np.int32).tobytes()], pa.binary()),
-                    ],
-                    names=schema.names,
-                )
-                number += 1
+                parts.append((batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(words.count + 1, pa.int32()), tokens))
+                size += int(offsets[j] - offsets[i])
+                if size >= BLOCK_BYTES:
+                    yield row(number, parts)
+                    number, parts, size = number + 1, [], 0
+        if parts:
+            yield row(number, parts)
 
     rows = docs.select(F.col(id_col).alias("id"), held_out.alias("held"), F.col(text_col).cast("binary").alias("text"))
     return store(map_batches(rows, run, schema), "tokens")
@@ -177,8 +192,10 @@ def _block(batch: pa.RecordBatch, k: int, *names: str) -> list[np.ndarray]:
     out = []
     for name in names:
         cell = batch.column(name)[k]
-        if name in ("hashes", "places"):
-            out.append(np.frombuffer(cell.as_buffer(), dtype=np.uint64 if name == "hashes" else np.int32))
+        if name == "hashes":
+            out.append(np.frombuffer(cell.as_buffer(), dtype=np.uint64))
+        elif name == "places":
+            out.append(unpacked_ints(cell.as_py(), int(batch.column("sizes")[k].values.to_numpy().sum())))
         else:
             out.append(cell.values.to_numpy(zero_copy_only=False))
     return out
@@ -187,13 +204,29 @@ def _block(batch: pa.RecordBatch, k: int, *names: str) -> list[np.ndarray]:
 def word_counts(tokens: DataFrame) -> DataFrame:
     """Written ``h, c``: counts of all training tokens (ends too); grows with the vocabulary."""
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, back = np.unique(h, return_inverse=True)
+        return keys, np.bincount(back, weights=n).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            h, n = merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "c"])
+
         for batch in batches:
             for k in range(batch.num_rows):
                 held, sizes, hashes, places = _block(batch, k, "held", "sizes", "hashes", "places")
                 n = np.bincount(places[np.repeat(~held.astype(bool), sizes)], minlength=len(hashes))
-                some = n > 0
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["h", "c"])
+                parts.append((hashes[n > 0], n[n > 0]))
+                size += len(parts[-1][0])
+                if size > 2_000_000:  # what a task holds is bounded; the shuffle adds up the rest
+                    yield out()
+                    parts, size = [], 0
+        if parts:
+            yield out()
 
     rows = map_batches(tokens.select("held", "sizes", "hashes", "places"), run, "h long, c long")
     return store(rows.groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
@@ -310,16 +343,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for k in range(batch.num_rows):
                 (hashes,) = _block(batch, k, "hashes")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), batch.column("block")[k].as_py()), pa.int64()), pa.array(hashes.view(np.int64))], names=["block", "h"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(hashes), batch.column("block")[k].as_py()), pa.int64()), pa.array(np.arange(len(hashes)), pa.int32()), pa.array(hashes.view(np.int64))], names=["block", "place", "h"]
+                )
 
-    def in_hash_order(part: pa.Table) -> pa.Table:
-        h = part.column("h").to_numpy().view(np.uint64)
-        c = part.column("c").to_numpy()[np.argsort(h)]
+    def by_place(part: pa.Table) -> pa.Table:
+        c = part.column("c").to_numpy()[np.argsort(part.column("place").to_numpy())]
         return pa.table({"block": pa.array([part.column("block")[0].as_py()], pa.int64()), "counts": pa.array([c.astype(np.int64).tobytes()], pa.binary())})
 
-    words = map_batches(tokens.select("block", "hashes"), distinct_words, "block long, h long")
-    known = words.join(counts, "h", "left").select("block", "h", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
-    blocks = known.groupBy("block").applyInArrow(in_hash_order, "block long, counts binary")
+    words = map_batches(tokens.select("block", "hashes"), distinct_words, "block long, place int, h long")
+    known = words.join(counts, "h", "left").select("block", "place", F.coalesce("c", F.lit(0).cast("long")).alias("c"))
+    blocks = known.groupBy("block").applyInArrow(by_place, "block long, counts binary")
     shared = docs.sparkSession.sparkContext.broadcast((model, totals))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
