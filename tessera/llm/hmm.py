@@ -257,7 +257,9 @@ def seeded(docs: DataFrame, id_col: str, text_col: str, held_out: Column, totals
     chosen among ``SEED_DOCS`` training documents (smallest hash of id and text)."""
     size = F.octet_length(F.col(text_col).cast("binary"))
     rows = docs.where(~held_out & (size > 0) & (size <= SEED_BYTES)).select(F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"))
-    texts = [bytes(r["text"]) for r in rows.orderBy("h", "text").limit(SEED_DOCS).collect()]
+    # hashes first: every task offers its smallest ones, and texts would be too much for that
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(SEED_DOCS).collect()]
+    texts = [bytes(r["text"]) for r in rows.where(F.col("h").isin(least)).dropDuplicates(["h"]).orderBy("h").collect()]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     words = Words(np.frombuffer(b"".join(texts), dtype=np.uint8), at, BLACK)
     own = class_of(words.hashes())
