@@ -98,8 +98,8 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page URL: the rules', else the models'."""
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+    """Verdict on every page URL: the rules', else the models' on the whole URL."""
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), whole=True)
 
 
 @register

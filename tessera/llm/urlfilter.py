@@ -3,7 +3,8 @@
 Two smoothed variable-order Markov models, one of accepted and one of rejected
 URLs, give every character the logarithm of the ratio of its probabilities;
 their mean over the URL is the score, and URLs below a calibrated threshold are
-rejected.
+rejected. ``whole`` judges the URL as it stands, scheme, query and fragment
+included; without it the models see host and path only.
 
 *Models.* Characters fall into ``len(ALPHABET) + 2`` classes (digits are one).
 Runs of up to ``LONGEST`` classes are counted in both sets. Probabilities are
@@ -145,19 +146,24 @@ def threshold(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
     return min(0.0, value) if value is not None else 0.0
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, reject_words: list[str] = REJECT_WORDS) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, reject_words: list[str] = REJECT_WORDS, whole: bool = False) -> DataFrame:
     """``id_col, host, path, rule, verdict, score`` of every URL.
 
+    The models learn and score the text of the URL: all of it if ``whole``, else
+    host and path, without scheme, query and fragment. Rules and reject words
+    look at host and path in both cases.
+
     ``verdict`` is the rule's where one fits, else ``block`` if the score is
     below the threshold. Null URLs and those without ``://`` have an empty host
-    and path, no rule and score 0. A row per input row (repeats and null ids
+    and path and no rule; their score is 0, but a URL without ``://`` has that
+    of its characters if ``whole``. A row per input row (repeats and null ids
     included); other columns are ignored; an empty table gives an empty result.
     Without rejected URLs all scores favour acceptance, and none is blocked.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", name.alias("rule"), says.alias("says"), F.concat("host", "path").alias("text"))
+    rows = rows.select("id", "host", "path", name.alias("rule"), says.alias("says"), (F.col("url") if whole else F.concat("host", "path")).alias("text"))
     texts = store(rows.groupBy("text").agg(F.any_value("host").alias("host"), F.any_value("says").alias("says")), "urls")
     bad = functools.reduce(lambda acc, w: acc | F.contains(F.col("host"), F.lit(w)), reject_words, F.lit(False))
     accepted = ~(bad | F.coalesce(F.col("says") == "block", F.lit(False)))

@@ -133,3 +133,67 @@ def test_one_sided_and_empty_tables(spark):
     rows = u.judge_urls(only).collect()
     assert len(rows) == 3 and {r["verdict"] for r in rows} == {"allow"}
     assert u.judge_urls(only.limit(0)).count() == 0
+
+
+def brute_whole(urls):
+    """Scores of the whole URLs, with dictionaries."""
+    label = {}
+    for url in urls:
+        host, path = split(url)
+        label[url or ""] = not (any(w in host for w in u.REJECT_WORDS) or rule(host, path)[1] == "block")
+    texts = list(label)
+    grams = {g: [Counter() for _ in range(u.LONGEST + 1)] for g in (True, False)}
+    for text, good in label.items():
+        c = [0] * (u.LONGEST - 1) + classes(text)
+        for i in range(u.LONGEST - 1, len(c)):
+            for k in range(1, u.LONGEST + 1):
+                grams[good][k][tuple(c[i - k + 1 : i + 1])] += 1
+    after = {g: [defaultdict(list) for _ in range(u.LONGEST + 1)] for g in grams}
+    for g, sizes in grams.items():
+        for k, found in enumerate(sizes):
+            for run, n in found.items():
+                after[g][k][run[:-1]].append(n)
+
+    def p(g, run):
+        shorter = p(g, run[1:]) if len(run) > 1 else 1 / u.CLASSES
+        seen = after[g][len(run)].get(run[:-1])
+        return (grams[g][len(run)][run] + len(seen) * shorter) / (sum(seen) + len(seen)) if seen else shorter
+
+    scores = {}
+    for text in texts:
+        c, total = [0] * (u.LONGEST - 1) + classes(text), 0.0
+        for i in range(u.LONGEST - 1, len(c)):
+            for k in range(u.LONGEST, 0, -1):
+                run = tuple(c[i - k + 1 : i + 1])
+                if grams[True][k][run] + grams[False][k][run] >= u.MIN_COUNT and p(True, run) > 0 and p(False, run) > 0:
+                    total += math.log(p(True, run) / p(False, run))
+                    break
+        scores[text] = total / len(text) if text else 0.0
+    return scores
+
+
+def test_whole_urls_equal_brute_force(spark):
+    urls = URLS * 2 + ["http://a.com/x?free=pills#win", "http://a.com/x?page=2", "free-casino-pills"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in u.judge_urls(pages, whole=True).collect()}
+    scores = brute_whole(urls)
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        assert (got[i]["host"], got[i]["path"]) == split(url) and got[i]["rule"] == rule(*split(url))[0]
+        assert abs(got[i]["score"] - scores[url or ""]) < 2e-6, url
+
+
+def test_the_query_sees_query_fragment_and_texts_without_scheme(spark, tmp_path):
+    import __spark_entry__ as e
+
+    good = [f"https://site{i}.example.net/page/{i}?id={i}#top" for i in range(60)]
+    bad = [f"https://site{i}-casino.example.net/page/{i}?bonus=freespin#jackpot" for i in range(60)]
+    odd = ["https://plain.example.net/page/7?id=7#top", "https://plain.example.net/page/7?bonus=freespin#jackpot", "https://plain.example.net/page/7?bonus=freespin", "bonus=freespin#jackpot"]
+    rows = [(i, url, "") for i, url in enumerate(good + bad + odd)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r for r in e.queries()["op6_url_filter"](spark, str(tmp_path)).collect()}
+    at = len(good + bad)
+    assert len(got) == len(rows)
+    assert len({got[at + k]["score"] for k in range(3)}) == 3
+    assert got[at]["score"] > got[at + 1]["score"]
+    assert got[at + 3]["host"] == "" and got[at + 3]["score"] != 0
