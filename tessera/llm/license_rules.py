@@ -113,7 +113,7 @@ SENTENCES = [
     ("isc-grant", "isc", 45, 0.95, "permission", r"permission to use copy modify and or distribute this software for any purpose"),
     ("hpnd-grant", "hpnd", 43, 0.8, "permission", r"permission to use copy modify and distribute this software and its documentation"),
     ("bsd-grant", "bsd", 45, 0.95, "redistribution", r"redistribution and use in source and binary forms with or without modification"),
-    ("bsd-3-name", "bsd-3", 46, 0.95, "contributors", r"neither the name of (?:\w+ ){1,12}may be used to endorse or promote products"),
+    ("bsd-3-name", "bsd-3", 46, 0.95, "endorse", r"neither the name of (?:(?!neither the name of )[^ ]+ )+?may be used to endorse or promote products"),
     ("bsd-4-advert", "bsd-4", 47, 0.95, "advertising", r"all advertising materials mentioning features or use of this software"),
     ("gpl-grant", "gpl", 45, 0.95, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
     ("lgpl-grant", "lgpl", 46, 0.95, "redistribute", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),

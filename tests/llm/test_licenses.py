@@ -1,4 +1,6 @@
+import random
 import re
+from re import _parser
 
 from tessera.llm import licenses
 from tessera.llm.license_rules import rules
@@ -75,3 +77,61 @@ def test_odd_rows(spark):
     got = licenses.scan(docs)
     assert got.count() == len(ODD) and got.where("size(base) > 0 OR size(detections) > 0").count() == 0
     assert licenses.scan(odd_documents(spark, [])).count() == 0
+
+
+def made_match(parsed, rng):
+    """A random text that the parsed pattern matches (look-aheads are left to the caller's check)."""
+    out = ""
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "NOT_LITERAL":
+            out += rng.choice("abcxyz019")
+        elif kind == "IN":
+            what, value = rng.choice(arg)
+            if str(what) == "LITERAL":
+                out += chr(value)
+            elif str(what) == "RANGE":
+                out += chr(rng.randint(*value))
+            else:
+                assert str(value) == "CATEGORY_WORD"
+                out += rng.choice("abcxyz019")
+        elif kind == "BRANCH":
+            out += made_match(rng.choice(arg[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += made_match(arg[3], rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            for _ in range(rng.randint(least, min(int(most), least + 14))):
+                out += made_match(inner, rng)
+        else:
+            assert kind == "ASSERT_NOT", kind
+    return out
+
+
+def test_every_generated_match_holds_its_keyword():
+    rng = random.Random(5)
+    for r in rules():
+        parsed = _parser.parse(r.pattern)
+        for _ in range(40):
+            text = made_match(parsed, rng)
+            assert re.fullmatch(r.pattern, text), (r.name, text)
+            assert r.keyword in text, (r.name, text)
+
+
+def test_bsd_3_name_without_contributors_and_with_long_names(spark):
+    end = "may be used to endorse or promote products derived from this software"
+    texts = [
+        f"Neither the name of the University nor of the Laboratory {end}.",
+        f"Neither the name of the Regents of the Distant State University and Polytechnic of the Northern Coast nor the names of its contributors {end}.",
+        f"Neither the name of the {'Very ' * 60}Long Name Society {end}.",
+        f"Neither the name of the “Müller – Söhne” trust {end}.",
+        f"Neither the name of A. Neither the name of B {end}.",
+        "Neither the name of the contributors is known here.",
+        "neither the name of " * 3000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: as_tuple(r) for r in licenses.scan(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert [[name for *_, name in got[i][2]] for i in range(7)] == [["bsd-3-name"]] * 5 + [[]] * 2
