@@ -8,9 +8,12 @@ context gets ``count / (total + distinct)``; an unseen one pays the escape
 context, down to the uniform 1/256. The sum of ``-log2`` over the whole text is
 the exact length of its code; the language with the shortest code wins.
 
-The trees of all languages share one set of contexts, flattened into arrays
-(child per context and byte, cost per context, byte and language), so whole
-chunks are scored by array look-ups.
+Every language has its own tree, whole: a sorted array of the grams (context and
+byte) it saw, with the cost of the byte after the context and of an escape from
+the gram as a context. Trees are counted by Spark and sent in blocks of about
+``BLOCK_GRAMS`` grams (a language is never split); a worker looks up the distinct
+grams of a chunk of texts, block by block. Neither contexts nor languages are
+capped.
 
 Training is a fit on a bounded sample: at most ``SAMPLE_DOCS`` documents per
 language, those with the smallest hash of id and text. Everything else covers
@@ -24,56 +27,114 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import chunks, flat
-from tessera.llm.scratch import map_batches, packed, schema_with, unpacked
+from tessera.llm.scratch import BROADCAST_KEYS, map_batches, packed, schema_with, store, unpacked
 
 ORDER = 3
 #: Bound of the fit: documents per language, and bytes of the longest that is taken.
 SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 1 << 20
-MAX_LANGUAGES = 256
-#: Size of the cost table (contexts x bytes x languages); rarer contexts are left to shorter ones.
-MODEL_CELLS = 1 << 23
-#: Contexts seen less often than this say too little to be kept.
-MIN_CONTEXT = 4
+#: Grams of one broadcast (16 bytes each), unless a single language has more.
+BLOCK_GRAMS = 1 << 21
+#: Contexts that a language saw less often are left to shorter ones; 1 keeps all.
+MIN_CONTEXT = 1
 UNKNOWN = "und"
 
 
+_LOW = np.uint64((1 << 32) - 1)
+
+
+def _of_size(size: int, grams: np.ndarray) -> np.ndarray:
+    """Keys of the newest ``size`` bytes of ``grams``: the size above 32 bits of gram."""
+    return (grams & np.uint64((1 << 8 * size) - 1)) | np.uint64(size << 32)
+
+
+def _text_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Key of the up to ``ORDER`` bytes before each byte, inside its text, and the byte."""
+    n = len(data)
+    left = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    gram = np.zeros(n, dtype=np.uint64)
+    for back in range(ORDER + 1):
+        gram[back:] |= np.where(left[back:] >= back, data[: max(n - back, 0)].astype(np.uint64) << np.uint64(8 * back), np.uint64(0))
+    return gram | ((np.minimum(left, ORDER) + 1).astype(np.uint64) << np.uint64(32))
+
+
+@dataclass
+class PpmTree:
+    """Frozen statistics of one language."""
+
+    keys: np.ndarray  # sorted grams
+    cost: np.ndarray  # bits of the newest byte after the others
+    escape: np.ndarray  # bits of "none of its successors" after the gram; 0 if it is no context
+    root: float  # the same after no byte
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray) -> PpmTree:
+        """From sorted distinct ``keys`` and how often each was seen."""
+        context = np.where(keys >> np.uint64(32) > 1, ((keys & _LOW) >> np.uint64(8)) | (((keys >> np.uint64(32)) - np.uint64(1)) << np.uint64(32)), np.uint64(0))
+        contexts, where = np.unique(context, return_inverse=True)
+        total, distinct = np.bincount(where, weights=n), np.bincount(where)
+        known = (total >= MIN_CONTEXT) | (contexts == 0)
+        bits = np.log2(total + distinct)
+        out = np.where(known, bits - np.log2(distinct), 0.0)
+        at = np.minimum(np.searchsorted(contexts, keys), len(contexts) - 1)
+        escape = np.where(contexts[at] == keys, out[at], 0.0)
+        cost = np.where(known[where], bits[where] - np.log2(n), np.inf)  # infinite: the context is not kept
+        return cls(keys, cost.astype(np.float32), escape.astype(np.float32), float(out[0]))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of the newest byte of each gram, through all escapes."""
+        size, gram = keys >> np.uint64(32), keys & _LOW
+        out = np.zeros(len(keys))
+        left = np.arange(len(keys))
+        for order in range(ORDER, -1, -1):
+            deep = size[left] > order
+            now = left[deep]
+            at, hit = self.find(_of_size(order + 1, gram[now]))
+            hit &= np.isfinite(self.cost[at])
+            out[now[hit]] += self.cost[at[hit]]
+            missed = now[~hit]
+            if order:
+                at, hit = self.find(_of_size(order, gram[missed] >> np.uint64(8)))
+                out[missed[hit]] += self.escape[at[hit]]
+            else:
+                out[missed] += self.root
+            left = np.concatenate([left[~deep], missed])
+        out[left] += 8
+        return out
+
+
 @dataclass
 class PpmModel:
-    """Frozen statistics. ``child`` has a second half of rows that lead to
-    themselves: the walk from the newest byte backwards stays where it ended."""
+    """``languages`` in order and their trees, in broadcast blocks in the same order."""
 
     languages: list[str]
-    code: np.ndarray  # byte -> column; the last column is "no byte of the sample"
-    child: np.ndarray  # (2 * contexts, columns) -> context
-    cost: np.ndarray  # (2 * contexts, columns, languages), bits
-    order: int
+    blocks: list[Broadcast]
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language, (texts, languages)."""
-        n, out = len(data), np.zeros((len(offsets) - 1, len(self.languages)))
-        if not n or not self.languages:
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        if not len(data) or not self.languages:
             return out
-        column = self.code[data]
-        nothing = self.code[256]
-        node = np.zeros(n, dtype=np.int32)
-        width = self.child.shape[1]
-        child = self.child.ravel()
-        before = column
-        starts = offsets[:-1][offsets[:-1] < n]
-        for _ in range(self.order):
-            step = np.empty_like(before)
-            step[0], step[1:] = nothing, before[:-1]
-            step[starts] = nothing
-            before = step
-            node = child[node * width + before]
-        cost = self.cost.reshape(-1, len(self.languages))[node * width + column]
+        keys, where = np.unique(_text_grams(data, offsets), return_inverse=True)
         full = np.flatnonzero(np.diff(offsets) > 0)
-        out[full] = np.add.reduceat(cost, offsets[:-1][full], axis=0, dtype=np.float64)
+        starts = offsets[:-1][full]
+        j = 0
+        for block in self.blocks:
+            for tree in block.value:
+                out[full, j] = np.add.reduceat(tree.costs(keys)[where], starts)
+                j += 1
+            if len(self.blocks) > 1 and hasattr(block, "_path"):
+                vars(block).pop("_value", None)  # one block at a time; read again for the next chunk
         return out
 
 
@@ -87,18 +148,14 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES)
     )
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages")
-    if not counts:
-        return rows.select("lang", "text")
-    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, (1.3 * per_language + 50) / n)))])
-    near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share[F.col("lang")])
+    counts = store(rows.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    few = counts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    near = rows.join(F.broadcast(counts) if few else counts, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.least(F.lit(1.0), F.lit(1.3 * per_language + 50) / F.col("rows")))
     return near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= per_language).select("lang", "text")
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, size, gram, n``: runs of 1 to ORDER + 1 bytes (oldest byte highest)."""
+    """``lang, key, n``: runs of 1 to ORDER + 1 bytes (oldest byte highest)."""
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), dtype=object)
         body, offsets = flat(batch.column(1))
@@ -111,61 +168,33 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 back = size - 1
                 gram[back:] |= part[: len(part) - back] << np.uint64(8 * back)
                 keys, n = np.unique(gram[left >= back], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), size), pa.int32()), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())],
-                    names=["lang", "size", "gram", "n"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(_of_size(size, keys).astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> PpmModel:
     """Model from the labelled rows of ``docs``. Null languages and null texts
     teach nothing; without any labelled row the model knows no language."""
-    taught = map_batches(sample(docs, id_col, text_col, lang_col, per_language), _gram_counts, "lang string, size int, gram long, n long")
-    grams = taught.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(grams["lang"].unique().tolist())
-    seen = np.unique(grams.loc[grams["size"] == 1, "gram"].to_numpy(dtype=np.int64))
-    width = len(seen) + 1
-    code = np.full(257, width - 1, dtype=np.int32)
-    code[seen] = np.arange(len(seen))
-    if not languages:
-        return PpmModel([], code, np.zeros((2, width), np.int32), np.zeros((2, width, 0), np.float32), ORDER)
-    # contexts: all but the newest byte of a gram; the most frequent ones that the table holds, parents first
-    room = max(1, MODEL_CELLS // (2 * width * len(languages)))
-    parts = []
-    for size in range(2, ORDER + 2):
-        g = grams[grams["size"] == size]
-        context, where = np.unique(g["gram"].to_numpy() >> 8, return_inverse=True)
-        total = np.bincount(where, weights=g["n"].to_numpy(dtype=np.float64))
-        parts += [(size - 1, int(c), int(t)) for c, t in zip(context, total, strict=True) if t >= MIN_CONTEXT]
-    parts.sort(key=lambda x: (-x[2], x[0], x[1]))
-    chosen: dict[tuple[int, int], int] = {(0, 0): 0}
-    for size, context, _ in sorted(parts[: room - 1]):
-        parent = (size - 1, context & ((1 << 8 * (size - 1)) - 1))
-        if parent in chosen:
-            chosen[(size, context)] = len(chosen)
-    n = len(chosen)
-    child = np.repeat(np.arange(n, 2 * n, dtype=np.int32)[:, None], width, axis=1)
-    child = np.concatenate([child, child])
-    parents = np.zeros(n, dtype=np.int64)
-    for (size, context), k in chosen.items():
-        if size:
-            parents[k] = chosen[(size - 1, context & ((1 << 8 * (size - 1)) - 1))]
-            child[parents[k], code[context >> (8 * (size - 1))]] = k
-    cost = np.zeros((n, width, len(languages)), dtype=np.float32)
-    for j, lang in enumerate(languages):
-        count = np.zeros((n, width))
-        own = grams[grams["lang"] == lang]
-        for size, gram, c in zip(own["size"].tolist(), own["gram"].tolist(), own["n"].tolist(), strict=True):
-            k = chosen.get((size - 1, gram >> 8))
-            if k is not None:
-                count[k, code[gram & 255]] += c
-        total, distinct = count.sum(axis=1), (count > 0).sum(axis=1)
-        p = np.empty((n, width))
-        for k in range(n):  # parents come first
-            shorter = p[parents[k]] if k else np.full(width, 1 / 256)
-            p[k] = np.where(count[k] > 0, count[k] / (total[k] + distinct[k]), shorter * distinct[k] / (total[k] + distinct[k])) if total[k] else shorter
-        cost[:, :, j] = -np.log2(p)
-    return PpmModel(languages, code, child, np.concatenate([cost, cost]), ORDER)
+    taught = map_batches(sample(docs, id_col, text_col, lang_col, per_language), _gram_counts, "lang string, key long, n long")
+    grams = store(taught.groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
+    sizes = sorted((r["lang"], r["grams"]) for r in grams.groupBy("lang").agg(F.count("*").alias("grams")).collect())
+    groups: list[list[str]] = []
+    room = 0
+    for lang, size in sizes:
+        if size > room:
+            groups.append([])
+            room = BLOCK_GRAMS
+        groups[-1].append(lang)
+        room -= size
+    blocks = []
+    for group in groups:  # one block on the driver at a time; languages are sorted as Spark sorts them
+        got = grams.where(F.col("lang").between(group[0], group[-1])).toArrow()
+        own = pc.index_in(got["lang"], pa.array(group, pa.string())).to_numpy()
+        keys, n = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+        order = np.lexsort((keys, own))
+        cuts = np.searchsorted(own[order], np.arange(len(group) + 1))
+        trees = [PpmTree.of(keys[order[a:b]], n[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blocks.append(docs.sparkSession.sparkContext.broadcast(trees))
+    return PpmModel([lang for lang, _ in sizes], blocks)
 
 
 def score(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,11 +207,10 @@ def score(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: st
     null ids included); other columns are ignored, whatever their names; an
     empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = schema_with(docs.schema[id_col].dataType, "text binary, lang_pred string, score double, bits_per_byte double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: PpmModel = shared.value
+        own = model
         for batch in batches:
             body, offsets = flat(batch.column(1))
             for i, j in chunks(offsets, 1 << 19):

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -91,3 +92,26 @@ def test_sample_is_bounded_and_repeatable(spark):
     b = langid.sample(docs.repartition(7), "doc_id", "text", "lang", 30).collect()
     assert sorted(a) == sorted(b)
     assert all(0 < sum(r["lang"] == lang for r in a) <= 30 for lang in {r["lang"] for r in a})
+
+
+def test_whole_trees_of_many_languages(spark, monkeypatch):
+    """More than 256 languages, in several blocks: every context of each counts."""
+    monkeypatch.setattr(langid, "BLOCK_GRAMS", 5000)
+    rng = random.Random(3)
+    texts = {f"l{k:03d}": " ".join("".join(rng.choices(rng.sample("abcdefghijklmnopqrstuvwxyz", 7), k=6)) for _ in range(12)) for k in range(300)}
+    rows = [(k, text, lang, "", 0) for k, (lang, text) in enumerate(texts.items())]
+    docs = odd_documents(spark, rows)
+    model = langid.fit(docs)
+    assert model.languages == sorted(texts) and len(model.blocks) > 1
+    judged = [texts["l000"].encode(), texts["l299"].encode()[:40], b"zebra \xff"]
+    got = model.bits(np.frombuffer(b"".join(judged), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in judged])]))
+    for lang in ("l000", "l001", "l150", "l299"):
+        raw, counts = texts[lang].encode(), {}
+        for i, b in enumerate(raw):
+            for k in range(min(langid.ORDER, i) + 1):
+                seen = counts.setdefault(raw[i - k : i], {})
+                seen[b] = seen.get(b, 0) + 1
+        for t, bits in zip(judged, got[:, model.languages.index(lang)], strict=True):
+            assert abs(bits - brute_bits(counts, t, langid.ORDER)) < 1e-3
+    named = {r["doc_id"]: r["lang_pred"] for r in langid.score(docs, model).collect()}
+    assert named == {k: lang for k, _, lang, *_ in rows}
