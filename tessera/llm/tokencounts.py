@@ -82,8 +82,7 @@ class TokenRollup:
         """Add the changes; False (and nothing is read) if the batch was committed before."""
         if self.committed(batch_id):
             return False
-        # few rows, one per group: one file
-        signed_deltas(changes).coalesce(1).write.mode("overwrite").parquet(self._folder(batch_id))
+        signed_deltas(changes).write.mode("overwrite").parquet(self._folder(batch_id))
         return True
 
     def _tables(self) -> list[str]:
@@ -125,7 +124,7 @@ class TokenRollup:
         names = self.spark.createDataFrame([(b,) for b in sorted(held)], "batch_id string")
         number = 1 + max((int(t.removeprefix("fold-")) for t in tables if t.startswith("fold-")), default=0)
         both = self.totals().withColumn("batch_id", F.lit(None).cast("string")).unionByName(names, allowMissingColumns=True)
-        both.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fold-{number:08d}")
+        both.write.mode("overwrite").parquet(f"{self.path}/fold-{number:08d}")
 
 
 def count_words(text_col: str = "text") -> F.Column:  # type: ignore[name-defined]

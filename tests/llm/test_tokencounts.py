@@ -86,3 +86,22 @@ def test_deltas_of_odd_rows(spark):
 def test_word_count(spark):
     got = {(r[0], r[1]): r[2] for r in odd_documents(spark).select("doc_id", "text", count_words().alias("n")).collect()}
     assert all(got[i, t] == len(black_words(t)) for i, t, *_ in ODD)
+
+
+def test_groups_are_reduced_and_folded_in_many_tasks(spark):
+    from tessera.llm.tokencounts import TokenRollup
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rollup = TokenRollup.temporary(spark)
+        changes = spark.range(500).selectExpr("'insert' AS op", "concat('host', id) AS source", "'en' AS lang", "'v' AS tokenizer_version", "id + 1 AS n_tokens", "CAST(NULL AS long) AS n_tokens_before")
+        assert rollup.commit("load", changes) and not rollup.commit("load", changes)
+        assert len(spark.read.parquet(f"{rollup.path}/batch-load").inputFiles()) > 1
+        rollup.compact()
+        assert len(spark.read.parquet(f"{rollup.path}/fold-00000001").where("n_docs IS NOT NULL").inputFiles()) > 2
+        assert not rollup.commit("load", changes)
+        assert {r["source"]: r["n_tokens"] for r in rollup.totals().collect()} == {f"host{i}": i + 1 for i in range(500)}
+    finally:
+        spark.conf.set(key, before)
