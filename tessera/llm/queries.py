@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, hmm, imatch, langid, licenses, linededup, neardup, urlfilter
+from tessera.llm import bpe, convrepair, decontam, hmm, imatch, langid, licenses, linededup, neardup, urlfilter
 from tessera.llm.tokencounts import TokenRollup, count_words
+from tessera.llm.scratch import store
 from tessera.llm.sql import SQL
+from tessera.operators.ranking import join_groups
 from tessera.session import table_path
 
 __all__ = ["QUERIES", "SQL"]
@@ -147,3 +149,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = linededup.without_lines(docs, linededup.repeated_lines(docs))
     return left.select("doc_id", "exact_lines", "near_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@register
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after seeded damage."""
+    given = table(spark, sf_dir, "conversations")
+    turns = store(convrepair.damage(given), "damaged-turns")
+    repairs, repaired = convrepair.repair(turns)
+    every = given.select(F.col("conv_id").alias("conv")).distinct()
+    found = join_groups(join_groups(every, repairs, ["conv"], "left"), convrepair.digests(repaired), ["conv"], "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        F.col("conv").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
