@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, convrepair, decontam, hmm, imatch, langid, licenses, linededup, neardup, tokenalign, urlfilter
+from tessera.llm import bpe, collisions, convrepair, decontam, hmm, imatch, langid, licenses, linededup, neardup, tokenalign, urlfilter
 from tessera.llm.tokencounts import TokenRollup, count_words
 from tessera.llm.scratch import store
 from tessera.llm.sql import SQL
@@ -151,6 +151,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "exact_lines", "near_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@register
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all others."""
+    return collisions.search_nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
 @register
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of every document's tokens under both vocabularies."""
