@@ -286,6 +286,8 @@ class Coder:
         self._place = np.zeros(0, dtype=np.int64)
         self._tokens = np.arange(self.vocab.n, dtype=np.int32)  # special tokens stand for themselves
         self._at = np.arange(self.vocab.n + 1, dtype=np.int64)
+        self._points = np.zeros(0, dtype=np.uint32)  # code points of the words, to compare with
+        self._points_at = np.zeros(self.vocab.n + 1, dtype=np.int64)
 
     def _judge(self, pairs: np.ndarray) -> np.ndarray:
         """Whether the merges leave each pair ``a * n + b`` as it is."""
@@ -369,9 +371,14 @@ class Coder:
             place = len(self._at) - 1 + np.arange(len(fresh))
             self._at = np.concatenate([self._at, first[1:] + len(self._tokens)])
             self._tokens = np.concatenate([self._tokens, tokens])
+            size = stop[one[fresh]] - start[one[fresh]]
+            self._points_at = np.concatenate([self._points_at, np.cumsum(size) + len(self._points)])
+            self._points = np.concatenate([self._points, points[_ranges(start[one[fresh]], size)]])
             at = np.searchsorted(self._word, words[fresh])
             self._word, self._place = np.insert(self._word, at, words[fresh]), np.insert(self._place, at, place)
         place = self._place[np.searchsorted(self._word, words)][back]
+        if not self._same(place, points, start, stop):
+            place = self._apart(whole, start, stop)
         for p, i in fixed.items():
             place[np.searchsorted(start, p)] = i
         count = self._at[place + 1] - self._at[place]
@@ -380,6 +387,23 @@ class Coder:
         text_end = ends[np.cumsum([len(row) for row in parts]) - 1]
         return ids, np.concatenate([[0], total[np.searchsorted(start, text_end)]])
 
+    def _same(self, place: np.ndarray, points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bool:
+        """Whether every word is the remembered one that its hash found, by its code points."""
+        first = self._points_at[place]
+        size = stop - start
+        return bool((self._points_at[place + 1] - first == size).all()) and np.array_equal(points[start[0] :], self._points[_ranges(first, size)])
+
+    def _apart(self, whole: str, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Places of all words when two different ones share a hash: told apart by their text, remembered by none."""
+        texts = [whole[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        number = {w: k for k, w in enumerate(dict.fromkeys(texts))}
+        self._forget()
+        tokens, first = self.encode_words(list(number))
+        self._at = np.concatenate([self._at, first[1:] + len(self._tokens)])
+        self._tokens = np.concatenate([self._tokens, tokens])
+        self._points_at = np.concatenate([self._points_at, np.zeros(len(number), dtype=np.int64)])
+        return self.vocab.n + np.fromiter((number[w] for w in texts), dtype=np.int64, count=len(texts))
+
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of the decoded texts (broken sequences become U+FFFD)."""
         entry, own, cut = self.entries.__getitem__, ids.tolist(), first.tolist()

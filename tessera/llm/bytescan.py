@@ -3,7 +3,7 @@
 Every text operator of this subpackage looks at UTF-8 bytes, a bounded chunk
 at a time: whole texts, but never more than ``CHUNK_BYTES`` of them at once
 (a single longer text is its own chunk). Words are 64-bit hashes; whoever
-needs exactness beyond 64 bits verifies on the bytes.
+needs exactness beyond 64 bits verifies on the bytes or adds the second lane.
 """
 
 from __future__ import annotations
@@ -45,42 +45,41 @@ def odd_constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + _U(seed)) | _U(1)
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
+#: Values of the first places of a span, one row of 256 per place and lane (see :func:`place_values`).
+_NEAR = 64
+_TABLE = [mix(np.arange((_NEAR + 1) * 256, dtype=np.uint64) * _BASE + _U(lane + 1)) for lane in range(2)]
+_STEP = _U(0xD1B54A32D192ED03)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(0, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES)
-            step = np.full(size, _BASE, dtype=np.uint64)
-            step[0] = 1
-            back = np.full(size, _U(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
-            back[0] = 1
-            self.up, self.down = np.multiply.accumulate(step), np.multiply.accumulate(back)
-        return self.up, self.down
+def place_values(units: np.ndarray, place: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A random 64-bit number for each (unit, place in its span): no sum of them is
+    a polynomial, so no family of spans (say complementary ones) collides by its form."""
+    if units.dtype != np.uint8:
+        return mix(mix(units.astype(np.uint64) + _U(lane + 1)) + place.astype(np.uint64) * _STEP)
+    near = np.minimum(place, _NEAR)
+    near <<= 8
+    near |= units
+    out = _TABLE[lane][near]
+    if near.max(initial=0) >= _NEAR << 8:
+        far = np.flatnonzero(near >= _NEAR << 8)
+        out[far] = mix((place[far].astype(np.uint64) << _U(8) | units[far]) * _BASE + _U(lane + 1))
+    return out
 
 
-_POWERS = _Powers()
-
-
-def hash_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``n`` powers of the hash base and of its inverse."""
-    return _POWERS.upto(n)
-
-
-def span_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``units`` (bytes or code points): a
-    polynomial, read off one running sum, then mixed."""
+def span_hashes(units: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of ``units`` (bytes, code points or word hashes): the
+    values of its units at their places in the span, summed and mixed with the length.
+    Starts must ascend and spans not overlap. ``lane`` 1 is a second, independent hash."""
     n = len(units)
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
-    up, down = _POWERS.upto(n + 1)
+    begin = np.concatenate([[0], start, [n]]).astype(np.int32)  # Arrow's own bound
+    place = np.arange(n, dtype=np.int32)
+    place -= np.repeat(begin[:-1], np.diff(begin))
     total = np.empty(n + 1, dtype=np.uint64)
     total[0] = 0
-    np.cumsum((units.astype(np.uint64) + _U(1)) * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(place_values(units, place, lane), out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64) * _STEP)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +126,9 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, lane: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        return span_hashes(self.data, self.start, self.end)
+        return span_hashes(self.data, self.start, self.end, lane)
 
     def text(self, i: int, j: int) -> bytes:
         """Words ``i`` to ``j`` (exclusive), joined by single spaces."""

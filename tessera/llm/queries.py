@@ -148,7 +148,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: removed lines and digest of the text left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     left = linededup.without_lines(docs, linededup.repeated_lines(docs))
-    return left.select("doc_id", "exact_lines", "near_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return left.select("row.doc_id", "exact_lines", "near_lines", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 @register

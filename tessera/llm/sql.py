@@ -40,17 +40,21 @@ WITH ln AS (
   FROM (SELECT doc_id, i, {BLACK_WORDS.format(x=LOWER.format(x="lines[i]"))} AS w
         FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
               FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL)))
-  WHERE len(w) >= 3
+  WHERE len(w) >= 1
 ),
 u AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min({{'d': doc_id, 'l': line}}) AS f FROM ln GROUP BY s),
+unit AS (SELECT s, f, 'word' AS kind, n AS size FROM u WHERE n >= 8 UNION ALL SELECT s, f, 'char', length(s) FROM u WHERE n < 8 AND length(s) >= 24),
 cut AS (
-  SELECT s, n, f, i, coalesce(list_aggregate(list_concat(w[1:i - 1], w[i + 1:n]), 'string_agg', ' '), '') AS v
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 8)
+  SELECT s, kind, n AS size, f, i, coalesce(list_aggregate(list_concat(w[1:i - 1], w[i + 1:n]), 'string_agg', ' '), '') AS v
+  FROM (SELECT u.*, 'word' AS kind, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 8)
+  UNION ALL
+  SELECT s, kind, size, f, i, substr(s, 1, i - 1) || substr(s, i + 1)
+  FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM unit WHERE kind = 'char')
 ),
 near AS (
-  SELECT a.s FROM cut a JOIN cut b ON a.v = b.v AND a.i = b.i AND a.n = b.n AND b.f < a.f
-  UNION SELECT a.s FROM cut a JOIN u b ON a.v = b.s AND b.n >= 8 AND b.f < a.f
-  UNION SELECT b.s FROM cut a JOIN u b ON a.v = b.s AND b.n >= 8 AND a.f < b.f
+  SELECT a.s FROM cut a JOIN cut b ON a.kind = b.kind AND a.v = b.v AND a.i = b.i AND a.size = b.size AND b.f < a.f
+  UNION SELECT a.s FROM cut a JOIN unit b ON a.kind = b.kind AND a.v = b.s AND b.f < a.f
+  UNION SELECT b.s FROM cut a JOIN unit b ON a.kind = b.kind AND a.v = b.s AND a.f < b.f
 ),
 gone AS (
   SELECT doc_id, line, {{'d': doc_id, 'l': line}} <> u.f AS ex, near.s IS NOT NULL AS nr

@@ -58,3 +58,26 @@ def test_operator_on_odd_rows(spark, library):
     packed = bpe.encode_texts(docs, pack=True).where("doc_id = 9").collect()
     assert len(packed) == 2 and all(int.from_bytes(r["ids"], "little") == got[9, "one"][0] for r in packed)
     assert bpe.encode_texts(odd_documents(spark, [])).count() == 0
+
+
+def complementary_words(letters="ab", lengths=(1024, 2048)):
+    """Two-letter Thue-Morse words and their complements: they collide under polynomial hashes modulo 2 ** 64."""
+    out = []
+    for n in lengths:
+        bits = [bin(i).count("1") & 1 for i in range(n)]
+        out += ["".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)]
+    return out
+
+
+def test_complementary_words(own, library):
+    same(own, library, complementary_words())
+    for word in complementary_words("xy"):  # across calls, through the memory
+        same(own, library, [word, f"{word} {word}"])
+
+
+def test_equal_hashes_are_told_apart(library, monkeypatch):
+    """With a hash that knows lengths only, the code points still decide."""
+    monkeypatch.setattr(bpe, "span_hashes", lambda points, start, stop: (stop - start).astype("uint64"))
+    weak = bpe.Coder(bpe.default_vocabulary())
+    for k in range(3):
+        same(weak, library, [f"one two six ten {k} <|endoftext|> cat dog", "aa bb", "", "cc bb aa"])
