@@ -12,11 +12,11 @@ are, and the least and greatest value.
 *Search.* A query's window of radius ``r`` on a projection reaches ``r`` to both sides of
 the query's own value. A vector at distance ``r`` falls into it with the chance that a
 standard normal is below 1 in size, so one within ``r`` falls into at least ``threshold()``
-of all windows with a chance of 1 - ``MISS``. Windows widen by ``GROWTH`` (virtual
-rehashing: no new hash, only what the last radius left out on both sides), counts go on
-growing, and vectors that reach the threshold are verified on the original vectors. A
-query stops as soon as its radius reaches the distance of the last of its best ``k``: of
-those nearer than that, all but ``MISS`` have been verified.
+of all windows with a chance of 1 - ``MISS``. Windows widen by ``GROWTH`` to both sides
+(virtual rehashing: no new hash, only new ends in the sorted arrays), and vectors that
+reach the threshold for the first time are verified on the original vectors. A query
+stops as soon as its radius reaches the distance of the last of its best ``k``: of those
+nearer than that, all but ``MISS`` have been verified.
 
 *Rounds.* First each query searches its own block, which bounds its distances. Then it
 goes to every block that it can need: a block on which fewer than the threshold of its
@@ -104,16 +104,32 @@ class Scale:
 
 
 class Block:
-    """Sorted projections of a block of vectors."""
+    """Sorted projections of a block of vectors: ``values`` of each projection in order, and
+    ``rank``, the place that each vector has in them."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, values: np.ndarray, order: np.ndarray) -> None:
-        self.ids, self.rows, self.vectors, self.values, self.order = ids, rows, vectors, values, order
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, values: np.ndarray, rank: np.ndarray) -> None:
+        self.ids, self.rows, self.vectors, self.values, self.rank = ids, rows, vectors, values, rank
 
     @classmethod
     def build(cls, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, scale: Scale) -> Block:
         places = scale.project(vectors).T.astype(np.float32)
         order = np.argsort(places, axis=1, kind="stable")
-        return cls(ids, rows, vectors, np.take_along_axis(places, order, axis=1), order.astype(np.uint32))
+        rank = np.empty(order.shape, dtype=_rank_kind(len(ids)))
+        np.put_along_axis(rank, order, np.arange(len(ids), dtype=rank.dtype)[None, :], axis=1)
+        return cls(ids, rows, vectors, np.take_along_axis(places, order, axis=1), rank)
+
+    def collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many of each query's windows ``[low, high)`` of the sorted arrays hold each vector; (queries, vectors)."""
+        counts = np.zeros((len(low), len(self.ids)), dtype=np.uint16)
+        start, width = low.astype(self.rank.dtype), (high - low).astype(self.rank.dtype)
+        for j, rank in enumerate(self.rank):
+            counts += rank[None, :] - start[:, j : j + 1] < width[:, j : j + 1]  # below the start it wraps around
+        return counts
+
+
+def _rank_kind(n: int) -> str:
+    """Ranks and a window as wide as the block must fit, or a window would wrap to nothing."""
+    return "<u2" if n < 1 << 16 else "<u4"
 
 
 class Best:
@@ -151,36 +167,26 @@ def count_collisions(block: Block, queries: np.ndarray, own: np.ndarray, places:
     """Search one block for some queries (their vectors, rows, projections): windows grow
     until their radius reaches the last of ``best``, which is updated, or ``limit``, a
     distance within which each query is known to have its ``k``."""
-    n, m = len(block.ids), block.values.shape[0]
+    m = block.values.shape[0]
     for a in range(0, len(queries), _SLICE):
-        live = np.arange(a, min(a + _SLICE, len(queries)))
-        counts = np.zeros((len(live), n), dtype=np.int64)
-        seen = block.rows[None, :] == own[live][:, None]  # a query is none of its own answers
-        radius = np.where(limit[live] < 2.0, limit[live] / GROWTH**2, FIRST_RADIUS)
-        low, high = np.zeros((len(live), m), dtype=np.int64), np.zeros((len(live), m), dtype=np.int64)
-        active, fresh = np.arange(len(live)), True
+        active = np.arange(a, min(a + _SLICE, len(queries)))
+        seen = block.rows[None, :] == own[active][:, None]  # a query is none of its own answers
+        radius = np.where(limit[active] < 2.0, limit[active] / GROWTH, FIRST_RADIUS)
         while len(active):
-            reach = radius[active][:, None] + _ROUNDING
-            left, right = places[live[active]] - reach, places[live[active]] + reach
-            new_low = np.stack([np.searchsorted(block.values[j], left[:, j]) for j in range(m)], axis=1)
-            new_high = np.stack([np.searchsorted(block.values[j], right[:, j], side="right") for j in range(m)], axis=1)
+            left, right = places[active] - radius[:, None] - _ROUNDING, places[active] + radius[:, None] + _ROUNDING
+            low = np.stack([np.searchsorted(block.values[j], left[:, j]) for j in range(m)], axis=1)
+            high = np.stack([np.searchsorted(block.values[j], right[:, j], side="right") for j in range(m)], axis=1)
+            # at a radius beyond all distances everything is a candidate
+            fresh = ~seen & ((block.collisions(low, high) >= enough) | (radius >= 2.0)[:, None])
+            seen |= fresh
             for x, i in enumerate(active.tolist()):
-                if fresh:
-                    parts = [o[b:e] for o, b, e in zip(block.order, new_low[x].tolist(), new_high[x].tolist(), strict=True)]
-                else:  # only what the last radius left out, on both sides
-                    parts = [o[b:e] for o, b, e in zip(block.order, new_low[x].tolist(), low[i].tolist(), strict=True)]
-                    parts += [o[b:e] for o, b, e in zip(block.order, high[i].tolist(), new_high[x].tolist(), strict=True)]
-                counts[i] += np.bincount(np.concatenate(parts), minlength=n)
-                # at a radius beyond all distances everything is a candidate
-                found = np.flatnonzero(~seen[i] & ((counts[i] >= enough) | (radius[i] >= 2.0)))
+                found = np.flatnonzero(fresh[x])
                 if len(found):
-                    seen[i, found] = True
-                    best.offer(int(live[i]), queries[live[i]], block, found)
-            low[active], high[active], fresh = new_low, new_high, False
-            last = np.minimum(np.minimum(_radius(best.score[live[active], -1], turn[live[active]]), limit[live[active]]), 2.0)
-            going = radius[active] < last
-            active, last = active[going], last[going]
-            radius[active] = np.minimum(np.maximum(radius[active] * GROWTH, FIRST_RADIUS / 64), last)
+                    best.offer(i, queries[i], block, found)
+            last = np.minimum(np.minimum(_radius(best.score[active, -1], turn[active]), limit[active]), 2.0)
+            going = radius < last
+            active, seen, last = active[going], seen[going], last[going]
+            radius = np.minimum(np.maximum(radius[going] * GROWTH, FIRST_RADIUS / 64), last)
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
@@ -195,8 +201,8 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def build_index(vectors: DataFrame, scale: Scale, is_query: Column, k: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
     """Written index of ``vectors(id, v, row)`` and its number of blocks.
 
-    A row per block: ``blk``; ``ids, rows, vectors, places, whose`` (packed arrays, ``places`` the
-    sorted values of each projection and ``whose`` their positions); ``low, high`` per
+    A row per block: ``blk``; ``ids, rows, vectors, places, ranks`` (packed arrays, ``places`` the
+    sorted values of each projection and ``ranks`` the vectors' places among them); ``low, high`` per
     projection; and of its queries ``q_rows, q_ids, q_vectors, q_score`` (the score of
     the last of their best ``k`` in this block, ``-inf`` if there are fewer).
     """
@@ -240,11 +246,11 @@ def build_index(vectors: DataFrame, scale: Scale, is_query: Column, k: int, bloc
                 if len(asked):
                     places, turn = scale.turned(asked)
                     count_collisions(block, asked, block.rows[pick], places, turn, best, np.full(len(asked), np.inf), enough)
-                packed = [_pack(block.ids, "<i8"), _pack(block.rows, "<i8"), _pack(block.vectors, kind), _pack(block.values, "<f4"), _pack(block.order, "<u4"), _pack(block.values[:, 0], "<f4"), _pack(block.values[:, -1], "<f4")]
+                packed = [_pack(block.ids, "<i8"), _pack(block.rows, "<i8"), _pack(block.vectors, kind), _pack(block.values, "<f4"), _pack(block.rank, _rank_kind(len(block.ids))), _pack(block.values[:, 0], "<f4"), _pack(block.values[:, -1], "<f4")]
                 packed += [_pack(block.rows[pick], "<i8"), _pack(block.ids[pick], "<i8"), _pack(asked, kind), _pack(best.score[:, -1], "<f8")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *[pa.array([x], pa.binary()) for x in packed]], names=names)
 
-    names = ["blk", "ids", "rows", "vectors", "places", "whose", "low", "high", "q_rows", "q_ids", "q_vectors", "q_score"]
+    names = ["blk", "ids", "rows", "vectors", "places", "ranks", "low", "high", "q_rows", "q_ids", "q_vectors", "q_score"]
     return store(map_batches(gathered, build, "blk int, " + ", ".join(f"{c} binary" for c in names[1:])), "collision-index"), blocks
 
 
@@ -305,7 +311,7 @@ def search_nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "
     index, blocks = build_index(numbered, scale, is_query, k, block_rows)
     pairs = needed_blocks(index, blocks, scale)
     asked = index.select(F.col("blk").alias("q_blk"), "q_rows", "q_ids", "q_vectors", "q_score")
-    met = pairs.join(asked, "q_blk").join(index.select("blk", "ids", "rows", "vectors", "places", "whose"), "blk")
+    met = pairs.join(asked, "q_blk").join(index.select("blk", "ids", "rows", "vectors", "places", "ranks"), "blk")
     dim, enough = scale.dim, threshold(m)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +330,7 @@ def search_nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "
                 get = lambda c: batch.column(c)[x].as_buffer()  # noqa: B023, E731
                 if blk != loaded:
                     ids = np.frombuffer(get("ids"), "<i8")
-                    block = Block(ids, np.frombuffer(get("rows"), "<i8"), _matrix(get("vectors").to_pybytes(), len(ids), dim), np.frombuffer(get("places"), "<f4").reshape(m, -1), np.frombuffer(get("whose"), "<u4").reshape(m, -1).astype(np.int64))
+                    block = Block(ids, np.frombuffer(get("rows"), "<i8"), _matrix(get("vectors").to_pybytes(), len(ids), dim), np.frombuffer(get("places"), "<f4").reshape(m, -1), np.frombuffer(get("ranks"), _rank_kind(len(ids))).reshape(m, -1))
                     loaded = blk
                 q_rows = np.frombuffer(get("q_rows"), "<i8").copy()
                 q = _matrix(get("q_vectors").to_pybytes(), len(q_rows), dim)
@@ -338,6 +344,6 @@ def search_nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "
                 count_collisions(block, q, q_rows, places, turn, best, _radius(np.frombuffer(get("q_score"), "<f8"), turn), enough)
         yield from done()
 
-    found = map_batches(met.select("blk", "q_blk", "q_rows", "q_ids", "q_vectors", "q_score", "ids", "rows", "vectors", "places", "whose"), search, "q_row long, query_id long, row long, vec_id long, score double")
+    found = map_batches(met.select("blk", "q_blk", "q_rows", "q_ids", "q_vectors", "q_score", "ids", "rows", "vectors", "places", "ranks"), search, "q_row long, query_id long, row long, vec_id long, score double")
     w = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
