@@ -120,6 +120,24 @@ def test_pairs_are_bounded_by_the_vocabularies():
     assert own.most_pairs() == 324_297
 
 
+def test_ranked_ids_are_those_of_the_library():
+    """The faster coder against the tokenizers library: random texts, every assigned character."""
+    from tokenizers import Tokenizer
+
+    own = tokenalign.Vocabularies(*tokenalign.default_vocabularies())
+    assert own.ranked is not None
+    library = Tokenizer.from_file(tokenalign.default_vocabularies()[0])
+    library.encode_special_tokens = True
+    rng = random.Random(9)
+    letters = [*"ab'stredvlm 1\n.é\t", "'s", "'ll", " '", "  ", "<|endoftext|>", "　", "٣", "😀", "the", "ing", "\x00"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    texts += ["".join(f" {chr(c)}a {chr(c)}1" for c in range(at, at + 64) if not 0xD800 <= c < 0xE000) or "x" for at in range(1, 0x30000, 64)]
+    want = [x.ids for x in library.encode_batch([f" {t}" for t in texts], add_special_tokens=False)]
+    a, first, _, _ = own.encode(texts)
+    cut = first.tolist()
+    assert [a[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)] == want
+
+
 def test_long_texts_in_parts_give_the_same_ids(monkeypatch):
     own = tokenalign.Vocabularies(*tokenalign.default_vocabularies())
     rng = random.Random(8)
