@@ -1,40 +1,40 @@
-"""Clustering: count rule, MLlib KMeans, fixed-centroid assignment, assembly.
+"""Clustering: count rule, KMeans, fixed-centroid assignment, assembly.
 
-KMeans itself is MLlib's distributed Lloyd iteration over the *distinct*
-vectors, weighted by how often each occurs: copies cost nothing, and an init
-that samples rows always finds as many different centres as it is asked for.
-The flat fit holds its ``k x d`` centres on the driver and in every task, as
-MLlib does. ``two_level_kmeans`` is the explicit alternative for large ``k``:
-only the coarse centres travel.
+``fit_predict_groups`` clusters all groups (languages) at once: see ``lloyd`` for the
+seeding and the iterations. It holds the ``k x d`` centres of a group on the driver and in
+every task. ``tree_kmeans`` is the explicit alternative for large ``k``: nothing of
+it is held in one place that grows with the data.
 
 Assignment to *given* centres walks tiles of centres inside one vectorised
 UDF; centres beyond a byte bound are applied block by block, with the running
-best written in between. There is one init and one solver unless the caller
-names others, and nothing is chosen by size.
+best written in between. Nothing is chosen by size.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import KMEANS_SEED
 from ..session import cut_lineage
+from .lloyd import Fit, centre_groups, distinct_points, fit_groups, lloyd_step, plus_plus
 from .ranking import group_positions, join_groups
 
 MAX_BROADCAST_BYTES = 256 << 20
-# Partitions of a fit. Which rows the init samples depends on it, so it is a
-# fixed parameter and not read from the session or the data; raise it with the data.
-FIT_PARTITIONS = 16
+#: Children of a tree's node, vectors of a node that its split is fitted on (those with the
+#: smallest content hashes), and rows of a node that meet its centres in one run.
+FAN_OUT = 16
+SPLIT_SAMPLE = 4096
+RUN_ROWS = 65_536
 # Cells of the distance matrix that the assignment holds at once (64 MB).
 TILE_CELLS = 8 << 20
 
@@ -46,127 +46,167 @@ def cluster_count(n: Column | int) -> Column | int:
     return F.least(F.greatest(F.lit(2).cast("bigint"), F.floor(n / 10).cast("bigint")), n.cast("bigint"))
 
 
-def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
-    """``vec, weight, key``: distinct vectors, their multiplicity, a content hash."""
-    return df.groupBy(F.col(vec_col).alias("vec")).agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("key", F.xxhash64("vec"))
+def fit_predict_groups(df: DataFrame, group_col: str, vec_col: str, ks: dict, seed: int = KMEANS_SEED, max_iter: int = 300, tol: float = 1e-4, prediction_col: str = "cluster_id", init: str = "k-means||") -> tuple[DataFrame, dict[object, Fit]]:
+    """Label every row with its group's nearest centre; ``ks`` gives the clusters of each group.
 
-
-def kmeans_fit_predict(
-    df: DataFrame,
-    vec_col: str,
-    k: int,
-    seed: int = KMEANS_SEED,
-    max_iter: int = 300,
-    tol: float = 1e-4,
-    init_mode: str = "random",
-    prediction_col: str = "cluster_id",
-    num_partitions: int = FIT_PARTITIONS,
-    solver: str = "block",
-):
-    """Fit MLlib KMeans on ``vec_col`` (``array<double>``) and label every row.
-
-    The fit sees the distinct vectors, hash-partitioned by content into a fixed
-    number of partitions and sorted there, so equal data give equal labels
-    whatever the input's order or partitioning. ``init_mode="random"`` samples
-    ``k`` distinct vectors; ``"k-means||"`` may find fewer than ``k`` centres, which
-    MLlib's block solver does not take: use ``solver="row"`` with it. ``k`` above
-    the number of distinct vectors is lowered to it. Returns ``(labelled_df,
-    model)``; ``model`` is ``None`` when one cluster (or none) is left.
+    All groups are fitted in the same jobs. ``k`` above the number of distinct vectors
+    of a group is lowered to it; a group with one cluster has label 0 and no fit. Rows
+    with a null vector have a null label. Labels do not depend on the input's order
+    or partitioning.
     """
-    rows = distinct_vectors(df, vec_col).repartition(num_partitions, "key").sortWithinPartitions("key", "vec")
-    rows = rows.withColumn("_features", array_to_vector("vec")).select("_features", "weight")
-    n = df.select(vec_col).distinct().limit(k + 1).count()
-    if min(k, n) <= 1:
-        # one cluster: nothing to fit (MLlib requires k >= 2)
-        return df.withColumn(prediction_col, F.lit(0)), None
-    km = KMeans(
-        k=min(k, n),
-        seed=seed,
-        maxIter=max_iter,
-        tol=tol,
-        initMode=init_mode,
-        solver=solver,
-        featuresCol="_features",
-        predictionCol=prediction_col,
-        weightCol="weight",
-    )
-    model = km.fit(rows)
-    return model.transform(df.withColumn("_features", array_to_vector(F.col(vec_col)))).drop("_features"), model
-
-
-def _lloyd(x: np.ndarray, weight: np.ndarray, k: int, seed: int, max_iter: int, tol: float) -> np.ndarray:
-    """Weighted Lloyd iterations on one cell; an emptied centre keeps its place."""
-    centres = x[np.sort(np.random.default_rng(seed).choice(len(x), size=k, replace=False))]
-    label = np.zeros(len(x), dtype=np.int64)
+    points = distinct_points(df, group_col, vec_col)
+    sizes = {r["grp"]: r["n"] for r in points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group
+    fits = fit_groups(points, sizes, ks, seed, max_iter, tol, init)
+    sent = df.sparkSession.sparkContext.broadcast({g: f.centres for g, f in fits.items()})
+
+    @F.pandas_udf("int")
+    def label(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for group, vec in batches:
+            out = pd.array(np.zeros(len(vec), dtype=np.int32), dtype="Int32")
+            out[vec.isna().to_numpy()] = pd.NA
+            for g, rows in pd.Series(np.arange(len(vec))).groupby(group.to_numpy(), dropna=False):
+                centres = sent.value.get(None if pd.isna(g) else g)
+                at = rows.to_numpy()[vec.notna().to_numpy()[rows.to_numpy()]]
+                if centres is not None and len(at):
+                    out[at] = nearest(np.stack(vec.to_numpy()[at]).astype(np.float64), centres)[0].astype(np.int32)
+            yield pd.Series(out)
+
+    return df.withColumn(prediction_col, label.asNondeterministic()(F.col(group_col), F.col(vec_col))), fits
+
+
+def kmeans_fit_predict(df: DataFrame, vec_col: str, k: int, seed: int = KMEANS_SEED, max_iter: int = 300, tol: float = 1e-4, prediction_col: str = "cluster_id", init: str = "k-means||") -> tuple[DataFrame, Fit | None]:
+    """:func:`fit_predict_groups` with all rows in one group; ``(labelled, fit or None)``."""
+    labelled, fits = fit_predict_groups(df.withColumn("_group", F.lit(0)), "_group", vec_col, {0: k}, seed, max_iter, tol, prediction_col, init)
+    return labelled.drop("_group"), fits.get(0)
+
+
+def _local_fit(x: np.ndarray, weight: np.ndarray, k: int, seed: int, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(centres, labels)`` of a bounded number of vectors: the same seeding and iterations inside one task."""
+    centres = plus_plus(x, weight, k, seed)
+    group, moved = centre_groups(centres), np.zeros(k)
+    label, upper, lower = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf), np.zeros((len(x), int(group.max()) + 1))
     for _ in range(max_iter):
-        label = np.concatenate([nearest(x[i : i + 2048], centres)[0] for i in range(0, len(x), 2048)])
+        label, upper, lower, _n = lloyd_step(x, label, upper, lower, centres, moved, group)
         total = np.bincount(label, weights=weight, minlength=k)
         sums = np.stack([np.bincount(label, weights=weight * x[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
-        moved = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centres)
-        shift = ((moved - centres) ** 2).sum(axis=1).max()
-        centres = moved
-        if shift <= tol * tol:
+        new = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-300)[:, None], centres)
+        moved = np.sqrt(((new - centres) ** 2).sum(axis=1))
+        centres = new
+        if moved.max() <= tol:
             break
-    return np.concatenate([nearest(x[i : i + 2048], centres)[0] for i in range(0, len(x), 2048)])
-
-
-def two_level_kmeans(
-    df: DataFrame,
-    vec_col: str,
-    k: int,
-    seed: int = KMEANS_SEED,
-    max_iter: int = 300,
-    tol: float = 1e-4,
-    max_cell: int = 20_000,
-    prediction_col: str = "cluster_id",
-    num_partitions: int = FIT_PARTITIONS,
-    max_levels: int = 6,
-) -> DataFrame:
-    """Label every row with one of ``k`` clusters, coarse cells first.
-
-    Distinct vectors are split into cells by a flat fit with few centres; a cell
-    of more than ``max_cell`` distinct vectors is split again. Each cell gets its
-    share of ``k`` (by distinct vectors, largest remainders, at least 1), and is
-    clustered on its own in one bounded task. Only coarse centres and one row
-    per cell pass through the driver. An approximation of the flat fit, chosen
-    by the caller, never by size. With fewer than ``k`` distinct vectors, or more
-    cells than ``k``, the number of clusters is that number. ``max_levels`` splits
-    that leave a cell too big are an error.
+    return centres, nearest(x, centres)[0]
+
+
+def _split_centres(points: DataFrame, cells: DataFrame, seed: int, max_iter: int, tol: float) -> DataFrame:
+    """``grp, path, centres``: at most ``FAN_OUT`` centres of every cell, fitted on its
+    ``SPLIT_SAMPLE`` vectors with the smallest hashes; one grouped job for all cells."""
+    at = Window.partitionBy("grp", "path").orderBy("key", "vec")
+    sample = join_groups(points, cells.select("grp", "path", "k"), ["grp", "path"]).withColumn("_rank", F.row_number().over(at)).where(F.col("_rank") <= SPLIT_SAMPLE)
+    kind = points.schema["grp"]
+    schema = T.StructType([kind, T.StructField("path", T.StringType()), T.StructField("centres", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank")
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        centres, _ = _local_fit(x, pdf["weight"].to_numpy(), min(FAN_OUT, int(pdf["k"].iloc[0]), len(x)), seed, max_iter, tol)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "path": [pdf["path"].iloc[0]], "centres": [[list(c) for c in centres]]})
+
+    return sample.groupBy("grp", "path").applyInPandas(split, schema)
+
+
+def _descend(points: DataFrame, cells: DataFrame, centres: DataFrame) -> DataFrame:
+    """``points`` of the given cells with the number of their nearest child appended to ``path``.
+
+    A cell's centres lead its rows; a large cell is dealt to many runs, each with a copy
+    of the centres, so no task holds more than one cell's centres and a batch of rows."""
+    runs = F.greatest(F.lit(1), F.ceil(F.col("n") / RUN_ROWS).cast("int"))
+    lead = join_groups(cells.select("grp", "path", "n"), centres, ["grp", "path"]).select("grp", "path", F.explode(F.sequence(F.lit(0), runs - 1)).alias("run"), F.lit(None).cast("array<double>").alias("vec"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("long").alias("key"), "centres")
+    body = join_groups(points, cells.select("grp", "path", "n"), ["grp", "path"]).select("grp", "path", F.pmod("key", runs).cast("int").alias("run"), "vec", "weight", "key", F.lit(None).cast("array<array<double>>").alias("centres"))
+    both = lead.unionByName(body).repartition("grp", "path", "run").sortWithinPartitions("grp", "path", "run", F.col("centres").isNull(), "key")
+    schema = T.StructType([points.schema[c] for c in ("grp", "path", "vec", "weight", "key")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+        for batch in batches:
+            marks = np.flatnonzero(batch.column("centres").is_valid().to_numpy(zero_copy_only=False))
+            for a, b in zip([-1, *marks.tolist()], [*marks.tolist(), batch.num_rows], strict=True):
+                if a >= 0:
+                    held = np.array(batch.column("centres")[a].as_py())
+                if b - a > 1:
+                    rows = batch.slice(a + 1, b - a - 1)
+                    x = rows.column("vec").flatten().to_numpy().reshape(rows.num_rows, -1)
+                    child = nearest(x, held)[0]
+                    path = pa.array([f"{p}.{c:02d}" for p, c in zip(rows.column("path").to_pylist(), child.tolist(), strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([rows.column("grp"), path, rows.column("vec"), rows.column("weight"), rows.column("key")], names=["grp", "path", "vec", "weight", "key"])
+
+    return both.select("grp", "path", "vec", "weight", "key", "centres").mapInArrow(run, schema)
+
+
+def _shares(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """``grp, path, n, k, first`` of ``children(grp, path, n)``: a cell's clusters are shared out among
+    its children (at most ``FAN_OUT``) by their vectors, largest remainders first, at least 1 each."""
+    up = F.regexp_replace("path", r"\.[0-9]+$", "")
+    own = join_groups(children.withColumn("up", up), parents.select("grp", F.col("path").alias("up"), F.col("k").alias("all_k"), F.col("first").alias("base")), ["grp", "up"])
+    family = Window.partitionBy("grp", "up")
+    count, total = F.count(F.lit(1)).over(family), F.sum("n").over(family)
+    own = own.withColumn("spare", F.greatest(F.least("all_k", total) - count, F.lit(0))).withColumn("exact", F.when(total > count, F.col("spare") * (F.col("n") - 1) / (total - count)).otherwise(0.0))
+    own = own.withColumn("left", F.col("spare") - F.sum(F.floor("exact")).over(family)).withColumn("turn", F.row_number().over(family.orderBy((F.col("exact") - F.floor("exact")).desc(), "path")))
+    own = own.withColumn("k", (1 + F.floor("exact") + F.when(F.col("turn") <= F.col("left"), 1).otherwise(0)).cast("long"))
+    before = F.coalesce(F.sum("k").over(family.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("first", (F.col("base") + before).cast("long")).select("grp", "path", "n", "k", "first")
+
+
+def tree_kmeans(df: DataFrame, group_col: str, vec_col: str, ks: DataFrame, seed: int = KMEANS_SEED, max_iter: int = 300, tol: float = 1e-4, max_cell: int = 20_000, prediction_col: str = "cluster_id", max_levels: int = 12) -> DataFrame:
+    """Label every row with one of its group's ``k`` clusters (``ks(group_col, k)``) by a tree of cells.
+
+    A cell of more than ``max_cell`` distinct vectors is split into at most ``FAN_OUT``; all
+    cells of a level are split in one grouped job, and every vector carries its path. A split
+    is fitted on ``SPLIT_SAMPLE`` vectors of the cell; a leaf on all of its vectors, in one
+    bounded task. Clusters are shared out from a cell to its children by their numbers of
+    distinct vectors. The driver sees one number a level; paths, shares and centres are tables.
+
+    An approximation of the flat fit, chosen by the caller, never by size. With fewer than
+    ``k`` distinct vectors the number of clusters is that number. ``max_levels`` splits
+    that leave a cell too big are an error. Rows with a null vector have a null label.
     """
-    points = cut_lineage(distinct_vectors(df, vec_col).withColumn("cell", F.lit("0")))
+    points = cut_lineage(distinct_points(df, group_col, vec_col).select("grp", F.lit("0").alias("path"), "vec", "weight", "key"))
+    sizes = points.groupBy("grp", "path").agg(F.count(F.lit(1)).alias("n"))
+    roots = join_groups(sizes, ks.select(F.col(group_col).alias("grp"), F.col("k").cast("long").alias("k")), ["grp"])
+    cells = cut_lineage(roots.select("grp", "path", "n", F.greatest(F.lit(1), F.least("k", "n")).alias("k"), F.lit(0).cast("long").alias("first")))
+    leaves = []
     for level in range(max_levels + 1):
-        big = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_cell).collect()
-        if not big:
+        big = (F.col("n") > max_cell) & (F.col("k") > 1)
+        leaves.append((points, cells.where(~big)))
+        wide = cells.where(big)
+        if not wide.limit(1).count():
             break
         if level == max_levels:
-            raise ValueError(f"{len(big)} cells keep more than {max_cell} vectors after {max_levels} splits")
-        parts = [points.where(~F.col("cell").isin([r["cell"] for r in big]))]
-        for r in big:
-            part, _ = kmeans_fit_predict(points.where(F.col("cell") == r["cell"]), "vec", max(2, math.ceil(4 * r["n"] / max_cell)), seed, max_iter, tol, prediction_col="_part", num_partitions=num_partitions)
-            parts.append(part.withColumn("cell", F.concat("cell", F.lit("."), F.col("_part").cast("string"))).drop("_part"))
-        merged = parts[0]
-        for p in parts[1:]:
-            merged = merged.unionByName(p)
-        points = cut_lineage(merged)
-    sizes = sorted((r["cell"], r["n"]) for r in points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(n for _, n in sizes)
-    spare = max(0, min(k, total) - len(sizes))
-    exact = [spare * (n - 1) / max(1, total - len(sizes)) for _, n in sizes]
-    share = [1 + int(x) for x in exact]
-    for i in sorted(range(len(sizes)), key=lambda i: (-(exact[i] % 1), sizes[i][0]))[: spare - sum(int(x) for x in exact)]:
-        share[i] += 1
-    plan = pd.DataFrame({"cell": [c for c, _ in sizes], "k": share, "first": np.cumsum([0, *share])[:-1] if sizes else []})
-    cells = df.sparkSession.createDataFrame(plan.astype({"k": int, "first": int}) if len(plan) else [], "cell string, k long, first long")
+            raise ValueError(f"a cell keeps more than {max_cell} vectors after {max_levels} splits")
+        centres = cut_lineage(_split_centres(points, wide, seed, max_iter, tol))
+        points = cut_lineage(_descend(points, wide, centres))
+        cells = cut_lineage(_shares(points.groupBy("grp", "path").agg(F.count(F.lit(1)).alias("n")), wide))
 
     def fine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
-        label = _lloyd(np.stack(pdf["vec"].to_numpy()).astype(np.float64), pdf["weight"].to_numpy(), min(int(pdf["k"].iloc[0]), len(pdf)), seed, max_iter, tol)
-        return pd.DataFrame({"vec": pdf["vec"], "label": label + int(pdf["first"].iloc[0])})
-
-    labelled = points.join(cells, "cell").groupBy("cell").applyInPandas(fine, "vec array<double>, label long")
-    labelled = cut_lineage(labelled)
-    same = df[vec_col].eqNullSafe(labelled["vec"])
-    return df.join(labelled.withColumnRenamed("label", prediction_col), same).drop(labelled["vec"])
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        _, label = _local_fit(x, pdf["weight"].to_numpy(), int(pdf["k"].iloc[0]), seed, max_iter, tol)
+        return pd.DataFrame({"grp": pdf["grp"], "vec": pdf["vec"], "label": label + int(pdf["first"].iloc[0])})
+
+    schema = T.StructType([points.schema["grp"], T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("label", T.LongType())])
+    parts = []
+    for own, ready in leaves:
+        held = join_groups(own, ready.select("grp", "path", "k", "first"), ["grp", "path"])
+        parts.append(held.where("k > 1").groupBy("grp", "path").applyInPandas(fine, schema))
+        parts.append(held.where("k = 1").select("grp", "vec", F.col("first").alias("label")))  # whatever their size
+    labelled = cut_lineage(functools.reduce(DataFrame.union, parts)).select(F.col("grp").alias("_grp"), F.col("vec").alias("_vec"), F.col("label").alias(prediction_col))
+    same = df[group_col].eqNullSafe(F.col("_grp")) & (df[vec_col].cast("array<double>") == F.col("_vec"))
+    return df.join(labelled, same, "left").drop("_grp", "_vec")
+
+
+def two_level_kmeans(df: DataFrame, vec_col: str, k: int, seed: int = KMEANS_SEED, max_iter: int = 300, tol: float = 1e-4, max_cell: int = 20_000, prediction_col: str = "cluster_id", max_levels: int = 12) -> DataFrame:
+    """:func:`tree_kmeans` with all rows in one group."""
+    ks = df.sparkSession.createDataFrame([(0, k)], "_group int, k long")
+    return tree_kmeans(df.withColumn("_group", F.lit(0)), "_group", vec_col, ks, seed, max_iter, tol, max_cell, prediction_col, max_levels).drop("_group")
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -420,6 +420,11 @@ SQL: dict[str, str] = {
       SELECT cluster_id, unnest(generate_series(0, len(vec) - 1)) AS dim, unnest(vec) AS x FROM assign) GROUP BY ALL""",
     "kmeans_invariants": """SELECT count(*) AS n, count(*) AS n_in_range, CAST(0 AS BIGINT) AS n_off_centre,
       greatest(2, count(DISTINCT embedding) // 10) AS k FROM embeddings""",
+    "kmeans_seeding": """SELECT greatest(2, count(DISTINCT embedding) // 10) AS k, greatest(2, count(DISTINCT embedding) // 10) AS n_different,
+      true AS no_worse_than_random FROM embeddings""",
+    "kmeans_bounds": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_other_label, true AS skips_half FROM embeddings",
+    "kmeans_tree_cost": """SELECT count(*) AS n, count(DISTINCT vec_id) AS n_once, greatest(2, count(DISTINCT embedding) // 10) AS k,
+      true AS near_flat FROM embeddings""",
     "kmeans_single_lang_invariants": w(CORPUS, NER, SELECTED_ARTICLES) + KMEANS_COUNTS,
     "kmeans_two_level_invariants": w(CORPUS, NER, SELECTED_ARTICLES) + KMEANS_COUNTS,
     "kmeans_multi_lang_invariants": w(CORPUS, CLEAN) + "SELECT count(*) AS n, count(*) AS n_once, true AS in_range FROM clean",

@@ -488,19 +488,19 @@ def q_multi_lang_dominated(spark, sf):
     return dominated
 
 
-def _off_centre(labelled, model, vec_col: str, label_col: str):
+def _off_centre(labelled, centres, vec_col: str, label_col: str):
     """Rows with a centre nearer than their own (beyond rounding), counted in SQL-free plain NumPy."""
     import numpy as np
 
-    centres = np.array(model.clusterCenters())
+    from ..operators.kmeans import nearest
 
     @F.pandas_udf("long")
     def off(vec: pd.Series, label: pd.Series) -> pd.Series:
         if not len(vec):
             return pd.Series([], dtype="int64")
         x = np.stack(vec.to_numpy())
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-        return pd.Series((d[np.arange(len(x)), label.to_numpy()] > d.min(axis=1) + 1e-9).astype("int64"))
+        own = ((x - centres[label.to_numpy()]) ** 2).sum(axis=1)
+        return pd.Series((own > nearest(x, centres)[1] + 1e-9).astype("int64"))
 
     return labelled.agg(
         F.count(F.lit(1)).alias("n"),
@@ -509,12 +509,85 @@ def _off_centre(labelled, model, vec_col: str, label_col: str):
     ).withColumn("k", F.lit(len(centres)).cast("bigint"))
 
 
+def _tenth(v):
+    """The k rule on the distinct given vectors."""
+    return max(2, v.select("vec").distinct().count() // 10)
+
+
 def q_kmeans_invariants(spark, sf):
     """KMeans of the given vectors, k = n // 10 distinct: every row is labelled and at its nearest centre."""
     v = _vectors(spark, sf)
-    k = max(2, v.select("vec").distinct().count() // 10)
-    labelled, model = kmeans_fit_predict(v.select("vec_id", "vec"), "vec", k)
-    return _off_centre(labelled, model, "vec", "cluster_id")
+    labelled, fit = kmeans_fit_predict(v.select("vec_id", "vec"), "vec", _tenth(v))
+    return _off_centre(labelled, fit.centres, "vec", "cluster_id")
+
+
+def q_kmeans_seeding(spark, sf):
+    """Seeding of the given vectors: exactly k different centres, and after all iterations no more cost than from random ones."""
+    v = _vectors(spark, sf).select("vec_id", "vec")
+    k = _tenth(v)
+    _, seeds = kmeans_fit_predict(v, "vec", k, max_iter=0)
+    _, seeded = kmeans_fit_predict(v, "vec", k)
+    _, random = kmeans_fit_predict(v, "vec", k, init="random")
+    different = len({tuple(c) for c in seeds.centres})
+    return spark.createDataFrame([(k, different, seeded.cost <= random.cost)], "k long, n_different long, no_worse_than_random boolean")
+
+
+def q_kmeans_bounds(spark, sf):
+    """Iterations with carried bounds on the given vectors against plain ones from the same seeds: rows with
+    another label, and whether more than half of the evaluations were skipped after the third round."""
+    import numpy as np
+
+    from ..operators.kmeans import nearest
+
+    v = _vectors(spark, sf).select("vec_id", "vec")
+    k = _tenth(v)
+    labelled, fit = kmeans_fit_predict(v, "vec", k)
+    _, seeds = kmeans_fit_predict(v, "vec", k, max_iter=0)
+    centres = seeds.centres
+    for _ in range(fit.iterations):  # plain Lloyd: every row against every centre, means by aggregation
+        rows = _assigned(v, centres)
+        new = centres.copy()
+        for r in centroids(rows, "cluster_id", "vec", EMB_DIM).collect():
+            new[r["cluster_id"]] = r["centroid"]
+        centres = new
+
+    @F.pandas_udf("long")
+    def other(vec: pd.Series, label: pd.Series) -> pd.Series:
+        return pd.Series((nearest(np.stack(vec.to_numpy()), centres)[0] != label.to_numpy()).astype("int64") if len(vec) else [], dtype="int64")
+
+    late = fit.skipped[3:]
+    return labelled.agg(F.count(F.lit(1)).alias("n"), F.sum(other("vec", "cluster_id")).alias("n_other_label")).withColumn("skips_half", F.lit(not late or sum(late) / len(late) > 0.5))
+
+
+def _assigned(v, centres):
+    """Every row with its nearest centre."""
+    import numpy as np
+
+    from ..operators.kmeans import nearest
+
+    @F.pandas_udf("int")
+    def near(vec: pd.Series) -> pd.Series:
+        return pd.Series(nearest(np.stack(vec.to_numpy()), centres)[0] if len(vec) else [], dtype="int32")
+
+    return v.withColumn("cluster_id", near("vec"))
+
+
+def q_kmeans_tree_cost(spark, sf):
+    """The tree on the given vectors, with cells small enough to be split: all ids in use, every row
+    labelled once, and its cost is at most 1.25 times that of the flat fit."""
+    from ..operators.kmeans import two_level_kmeans
+    from ..session import cut_lineage
+
+    v = _vectors(spark, sf).select("vec_id", "vec")
+    k = _tenth(v)
+    _, flat = kmeans_fit_predict(v, "vec", k)
+    tree = cut_lineage(two_level_kmeans(v, "vec", k, max_cell=100))
+    at = F.col("centroid")
+    spread = F.aggregate(F.zip_with("vec", at, lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda acc, d: acc + d)
+    rows = tree.join(centroids(tree, "cluster_id", "vec", EMB_DIM).select("cluster_id", "centroid"), "cluster_id")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("n_once"), F.countDistinct("cluster_id").alias("k"), (F.sum(spread) <= 1.25 * flat.cost).alias("near_flat")
+    )
 
 
 def q_kmeans_single_lang_invariants(spark, sf):
