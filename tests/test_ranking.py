@@ -54,3 +54,28 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "g string, v double, id bigint")
     assert group_positions(df, ["g"], ["id"]).count() == 0
     assert group_median(df, ["g"], "v", "id").count() == 0
+
+
+def test_order_statistics_over_all_doubles(spark):
+    """Any double there is, ties, signed zeros, infinities: the k-th value without a sort."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ranking import group_quantiles
+
+    rng = np.random.default_rng(3)
+    bits = rng.integers(-(1 << 63), (1 << 63) - 1, 400).view(np.float64)
+    values = np.concatenate([bits[np.isfinite(bits)], [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.0, 1.0, 1.0 + 2**-52], rng.normal(size=200).round(1)])
+    groups = rng.choice(["a", "b", None, "hot", "hot", "hot"], len(values))
+    df = spark.createDataFrame([(None if g is None or g == "None" else str(g), float(v)) for g, v in zip(groups, values, strict=True)], "g string, v double")
+    ranks = [lambda n: F.lit(0), lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2), lambda n: n - 1]
+    got = {(r["g"], r["which"]): r["value"] for r in group_quantiles(df, ["g"], "v", ranks).collect()}
+    for g in ("a", "b", "hot", None):
+        own = np.sort([v for h, v in zip(groups, values, strict=True) if (None if h is None or h == "None" else str(h)) == g])
+        n = len(own)
+        assert [got[g, i] for i in range(4)] == [own[0], own[(n - 1) // 2], own[n // 2], own[-1]]
+
+
+def test_median_plan_has_no_range_exchange(spark, capsys):
+    df = spark.range(100).selectExpr("id % 3 AS g", "CAST(id AS double) AS v", "id")
+    group_median(df, ["g"], "v", "id").explain()
+    assert "rangepartitioning" not in capsys.readouterr().out.lower()
