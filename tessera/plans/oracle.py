@@ -429,6 +429,12 @@ SQL: dict[str, str] = {
     "kmeans_two_level_invariants": w(CORPUS, NER, SELECTED_ARTICLES) + KMEANS_COUNTS,
     "kmeans_multi_lang_invariants": w(CORPUS, CLEAN) + "SELECT count(*) AS n, count(*) AS n_once, true AS in_range FROM clean",
     "pca_invariants": "SELECT count(*) AS n, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings",
+    # interchange formats
+    "json_arrays": w(CORPUS) + "SELECT lang, idx, title, md5(text) AS text_md5 FROM corpus",
+    "curated_points": w(CORPUS)
+    + """SELECT lang, cluster_id, rank - 1 AS member_pos, title, idx FROM (
+      SELECT c.lang, CAST(e.label AS BIGINT) AS cluster_id, c.title, c.idx, row_number() OVER (PARTITION BY c.lang, e.label ORDER BY c.idx) AS rank
+      FROM corpus c JOIN embeddings e ON c.idx = e.vec_id) WHERE rank <= 20""",
     # aggregations
     "cluster_sizes": w(CORPUS)
     + "SELECT e.label AS cluster_id, count(*) AS sample_count FROM corpus c JOIN embeddings e ON c.idx = e.vec_id GROUP BY 1",

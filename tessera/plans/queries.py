@@ -7,10 +7,11 @@ Computed columns carry the same names as their SQL oracles
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -632,6 +633,37 @@ def q_culture_clusters(spark, sf):
     return run_all_stages(_corpus(spark, sf)).dominated
 
 
+# --- interchange formats -----------------------------------------------------------------------
+
+
+def q_json_arrays(spark, sf):
+    """S8, S9: the corpus written as one JSON array per language by many tasks, read back by byte ranges."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import read_json_array_split, write_json_arrays
+
+    corpus = load_corpus(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    write_json_arrays(corpus.select(F.col("lang").alias("file"), "lang", "idx", "title", "text"), folder, "file", ["idx"])
+    back = read_json_array_split(spark, folder, T.StructType.fromDDL("lang string, idx long, title string, text string"))
+    return back.select("lang", "idx", "title", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def q_curated_points(spark, sf):
+    """S10: the clusters of the given labels written as the curated object ``{lang: [cluster, ...]}``, read back to member rows."""
+    from ..session import ensure_checkpoint_dir
+    from ..sources.files import curated_member_rows, read_curated_points
+
+    members = _label_samples(spark, sf).join(load_corpus(spark, sf, spread=False).select("lang", "idx", "title"), "idx").where("lang = lang_code").select("lang", F.col("cluster_id").cast("int").alias("cluster_id"), "title", "idx")
+    # a curated file is small by nature: a few clusters chosen by hand (here the first 20 members of each)
+    w = Window.partitionBy("lang", "cluster_id").orderBy("idx")
+    first = members.withColumn("rank", F.row_number().over(w)).where("rank <= 20").groupBy("lang", "cluster_id").agg(F.array_sort(F.collect_list(F.struct("idx", "title"))).alias("m"))
+    cluster = F.struct("cluster_id", F.size("m").alias("cluster_size"), F.lit("theme").alias("theme"), F.lit("described").alias("description"), F.col("m.title").alias("titles"), F.col("m.idx").alias("indices"))
+    langs = first.groupBy("lang").agg(F.collect_list(cluster).alias("clusters"))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/curated-{uuid.uuid4().hex}"
+    langs.agg(F.map_from_entries(F.collect_list(F.struct("lang", "clusters"))).alias("m")).select(F.to_json("m")).coalesce(1).write.text(folder)
+    return curated_member_rows(read_curated_points(spark, folder)).select("lang", F.col("cluster_id").cast("bigint").alias("cluster_id"), F.col("member_pos").cast("bigint").alias("member_pos"), "title", "idx")
+
+
 # --- aggregations -----------------------------------------------------------------------
 
 

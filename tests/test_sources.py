@@ -93,3 +93,69 @@ def test_cluster_conf_sizes():
     c = cluster_conf(8000)
     assert c["spark.sql.shuffle.partitions"] == "32000"
     assert c["spark.sql.files.maxPartitionBytes"] == "128m"
+
+
+ELEMENTS = [
+    {"a": 1, "t": 'brackets ]}[{ and, commas "quoted" \\\\ end\\\\'},
+    {"a": 2, "t": "}"},
+    {"a": 3, "t": "ünïcödé 日本 \\u007d \n", "n": {"x": [1, [2, {"y": "}]"}]]}},
+    {"a": 4, "t": ""},
+    {"a": 5, "t": "x" * 3000 + "}" * 50 + '"'},
+    {"a": 6, "t": None},
+]
+SCHEMA = "a long, t string"
+
+
+@pytest.fixture()
+def tiny_ranges(spark):
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for c, v in kept.items():
+        spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_split_array_equals_the_whole_read(spark, tmp_path, tiny_ranges, indent):
+    from pyspark.sql.types import StructType
+
+    from tessera.sources.files import _pieces, read_json_array, read_json_array_split, split_json_array
+
+    path = str(tmp_path / "one.json")
+    rows = [e | {"a": 10 * i + e["a"]} for i in range(8) for e in ELEMENTS]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rows, f, indent=indent, ensure_ascii=False)
+    assert _pieces(spark, path).select("start").distinct().count() > 25
+    got = sorted(r["element"] for r in split_json_array(spark, path).collect())
+    assert sorted(map(json.dumps, map(json.loads, got))) == sorted(map(json.dumps, rows))
+    schema = StructType.fromDDL(SCHEMA)
+    key = lambda r: r["a"]
+    assert sorted(read_json_array_split(spark, path, schema).collect(), key=key) == sorted(read_json_array(spark, path, schema).collect(), key=key)
+
+
+def test_split_arrays_of_other_values_and_empty_ones(spark, tmp_path, tiny_ranges):
+    from tessera.sources.files import split_json_array
+
+    texts = {"a": "[]", "b": " [ ] \n", "c": '[1, "two, ]", [3, [4]], null, true]', "d": json.dumps(["}" * 400, {"k": "["}])}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {}
+    for r in split_json_array(spark, str(tmp_path)).collect():
+        got.setdefault(r["file"][-6], []).append(r["element"])
+    assert {k: sorted(map(json.dumps, map(json.loads, v))) for k, v in got.items()} == {k: sorted(map(json.dumps, json.loads(t))) for k, t in texts.items() if json.loads(t)}
+
+
+def test_json_arrays_round_trip(spark, tmp_path):
+    from tessera.sources.files import split_json_array, write_json_arrays
+
+    rows = [(["en", "de", None, "zh/tw"][i % 4], i, f'text "{i}" ]}}, [{{' if i % 3 else None) for i in range(200)]
+    out = str(tmp_path / "arrays")
+    files = write_json_arrays(spark.createDataFrame(rows, "lang string, idx long, text string").repartition(5), out, "lang", ["idx"])
+    assert sorted(os.path.basename(f) for f in files) == ["de.json", "en.json", "null.json", "zh%2Ftw.json"]
+    for lang, name in (("en", "en"), ("de", "de"), (None, "null"), ("zh/tw", "zh%2Ftw")):
+        with open(f"{out}/{name}.json", encoding="utf-8") as f:
+            assert json.load(f) == [{"idx": i, "text": t} for g, i, t in rows if g == lang]
+    assert sorted(os.listdir(out), key=str)[-1] != "_pieces"
+    assert split_json_array(spark, f"{out}/en.json").count() == 50
+    assert write_json_arrays(spark.createDataFrame([], "lang string, idx long"), str(tmp_path / "none"), "lang", ["idx"]) == []
