@@ -16,9 +16,12 @@ is joined and never collected.
 block's distinct word hashes, the most frequent first, and every token as a
 place among them, compressed. Training passes and scoring read that table.
 
-*Training*: every task runs forward and backward over its sequences (texts cut
-every ``SEGMENT`` tokens), all sequences in step, and emits expected counts per
-class; partial sums are aggregated, the driver gets states x classes numbers.
+*Training*: every task runs forward and backward over whole texts, those of a block in
+step. Forward values are kept every ``SEGMENT`` steps only; going back, each piece is
+computed again from those before it, so memory is bounded by a piece whatever the length
+of a text, and the values of both directions cross all pieces. Expected counts per class
+are aggregated, the driver gets states x classes numbers. Rounds end after ``ROUNDS``, or
+when the likelihood of a training token grows by less than ``LEAST_GAIN`` (its logarithm).
 
 *Scoring*: the scaled forward recursion over whole texts gives the exact
 likelihood of the class sequence; word shares come from a join of the blocks'
@@ -44,10 +47,10 @@ STATES = 8
 CLASS_BITS = 14
 CLASSES = 1 << CLASS_BITS  # the end is class number CLASSES
 ROUNDS = 3
+LEAST_GAIN = 0.002
+#: Steps of time between kept forward values.
 SEGMENT = 128
 BLOCK_BYTES = 8 << 20
-#: Tokens whose forward and backward values are held at once.
-TOKENS_AT_ONCE = 250_000
 #: Documents that seed the states' first emissions, and the longest that is taken.
 SEED_DOCS, SEED_BYTES = 256, 1 << 16
 #: Weight, in tokens, of the class shares of the whole corpus in every state's emissions.
@@ -65,6 +68,8 @@ class Hmm:
     start: np.ndarray  # (states,)
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (CLASSES + 1, states)
+    #: Mean log likelihood of a training token under the model that this one was learned from.
+    likelihood: float = float("nan")
 
 
 def in_step(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,36 +86,59 @@ def in_step(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first[:-1][order][rank] + time, order[rank], at
 
 
-def forward(model: Hmm, classes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward recursion over classes in step: scaled values, scales, emissions."""
+def forward(model: Hmm, classes: np.ndarray, at: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward recursion over some steps of time (``at``: where each starts in ``classes``),
+    ``before`` holding the values of the step before them (none: the texts start here).
+    Returns scaled values, scales, emissions."""
     seen = model.emit[classes]
     alpha, scale = np.empty_like(seen), np.empty(len(classes))
     for t in range(len(at) - 1):
         a, b = at[t], at[t + 1]
-        value = seen[a:b] * (alpha[at[t - 1] : at[t - 1] + b - a] @ model.move if t else model.start)
+        last = before if t == 0 else alpha[at[t - 1] : a]
+        value = seen[a:b] * (model.start if last is None else last[: b - a] @ model.move)
         total = value.sum(axis=1)
         scale[a:b] = total
         alpha[a:b] = value / total[:, None]
     return alpha, scale, seen
 
 
+def expected_counts(model: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions of whole sequences, and their log likelihood."""
+    place, _, at = in_step(first)
+    own, steps = classes[place], len(at) - 1
+    pieces = [(p, min(p + SEGMENT, steps)) for p in range(0, steps, SEGMENT)]
+    local = lambda p, q: (own[at[p] : at[q]], at[p : q + 1] - at[p])
+    kept: list[np.ndarray | None] = [None]  # values of the step before each piece
+    for p, q in pieces[:-1]:
+        alpha, _, _ = forward(model, *local(p, q), kept[-1])
+        kept.append(alpha[at[q - 1] - at[p] :].copy())
+    moves, emits, likelihood = np.zeros_like(model.move), np.zeros_like(model.emit), 0.0
+    after: np.ndarray | None = None  # emission, scale and backward value of the step behind a piece
+    starts = np.zeros_like(model.start)
+    for (p, q), before in zip(reversed(pieces), reversed(kept), strict=True):
+        mine, cut = local(p, q)
+        alpha, scale, seen = forward(model, mine, cut, before)
+        likelihood += float(np.log(scale).sum())
+        seen /= scale[:, None]
+        beta = np.ones_like(alpha)
+        for t in range(q - p - 1, -1, -1):
+            a, b = cut[t], cut[t + 1]
+            later = after
+            if later is not None:
+                beta[a : a + len(later)] = later @ model.move.T
+                moves += alpha[a : a + len(later)].T @ later
+            after = seen[a:b] * beta[a:b]
+        alpha *= beta
+        for s in range(alpha.shape[1]):
+            emits[:, s] += np.bincount(mine, weights=alpha[:, s], minlength=len(emits))
+        if p == 0:
+            starts = alpha[: cut[1]].sum(axis=0)
+    return starts, moves * model.move, emits, likelihood
+
+
 def expected(model: Hmm, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions of some sequences."""
-    place, _, at = in_step(first)
-    own = classes[place]
-    alpha, scale, seen = forward(model, own, at)
-    beta = np.ones_like(alpha)
-    moves = np.zeros_like(model.move)
-    seen /= scale[:, None]
-    for t in range(len(at) - 2, 0, -1):
-        a, b = at[t], at[t + 1]
-        later = seen[a:b] * beta[a:b]
-        before = slice(at[t - 1], at[t - 1] + b - a)
-        beta[before] = later @ model.move.T
-        moves += alpha[before].T @ later
-    alpha *= beta
-    emits = np.stack([np.bincount(own, weights=alpha[:, s], minlength=CLASSES + 1) for s in range(alpha.shape[1])], axis=1)
-    return alpha[: at[1]].sum(axis=0), moves * model.move, emits
+    return expected_counts(model, classes, first)[:3]
 
 
 def _log10_forward(model: Hmm, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -292,36 +320,29 @@ def baum_welch(tokens: DataFrame, model: Hmm, totals: ClassTotals) -> Hmm:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Hmm = shared.value
-        table = np.zeros((CLASSES + 1 + 1 + states, states))  # emissions, starts, moves
+        table = np.zeros((CLASSES + 3 + states, states))  # emissions, starts, moves, likelihood and tokens
         for batch in batches:
             for k in range(batch.num_rows):
                 held, sizes, hashes, places = _block(batch, k, "held", "sizes", "hashes", "places")
                 taught = ~held.astype(bool)
                 classes = class_of(hashes)[places[np.repeat(taught, sizes)]]
-                sizes = sizes[taught].astype(np.int64)
-                # cut long texts: starts every SEGMENT tokens
-                pieces = -(-sizes // SEGMENT)
-                end = np.cumsum(sizes)
-                inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                first = np.append(np.repeat(end - sizes, pieces) + inner * SEGMENT, len(classes))
-                i = 0
-                while i < len(first) - 1:
-                    j = max(i + 1, int(np.searchsorted(first, first[i] + TOKENS_AT_ONCE, side="right")) - 1)
-                    starts, moves, emits = expected(own, classes[first[i] : first[j]], first[i : j + 1] - first[i])
+                if len(classes):
+                    starts, moves, emits, likelihood = expected_counts(own, classes, np.concatenate([[0], np.cumsum(sizes[taught], dtype=np.int64)]))
                     table[: CLASSES + 1] += emits
                     table[CLASSES + 1] += starts
-                    table[CLASSES + 2 :] += moves
-                    i = j
+                    table[CLASSES + 2 : -1] += moves
+                    table[-1, 0] += likelihood
+                    table[-1, -1] += len(classes)
         some = np.flatnonzero(table.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(table[some, s]) for s in range(states)]], names=["k", *names])
 
     schema = "k int, " + ", ".join(f"{n} double" for n in names)
     rows = map_batches(tokens.select("held", "sizes", "hashes", "places"), run, schema).groupBy("k").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    table = np.zeros((CLASSES + 2 + states, states))
+    table = np.zeros((CLASSES + 3 + states, states))
     table[rows["k"]] = rows[names]
     emit = table[: CLASSES + 1] + PRIOR * totals.shares()[:, None]
-    start, move = table[CLASSES + 1] + 0.1, table[CLASSES + 2 :] + 0.1
-    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    start, move = table[CLASSES + 1] + 0.1, table[CLASSES + 2 : -1] + 0.1
+    return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), float(table[-1, 0] / max(1.0, table[-1, -1])))
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -339,7 +360,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     totals = ClassTotals.of(counts)
     model = seeded(docs, id_col, text_col, held_out, totals, states)
     for _ in range(rounds):
-        model = baum_welch(tokens, model, totals)
+        before, model = model.likelihood, baum_welch(tokens, model, totals)
+        if model.likelihood - before < LEAST_GAIN:  # not in the first round, which has nothing before it
+            break
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

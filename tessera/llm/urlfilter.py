@@ -2,29 +2,29 @@
 
 Two smoothed variable-order Markov models, one of accepted and one of rejected
 URLs, give every character the logarithm of the ratio of its probabilities;
-their mean over the URL is the score, and URLs below a calibrated threshold are
-rejected. ``whole`` judges the URL as it stands, scheme, query and fragment
-included; without it the models see host and path only.
+their mean over the whole URL, scheme, query and fragment included, is the score,
+and URLs below a calibrated threshold are rejected.
 
 *Models.* Characters fall into ``len(ALPHABET) + 2`` classes (digits are one).
 Runs of up to ``LONGEST`` classes are counted in both sets. Probabilities are
 smoothed from short to long (Witten-Bell): ``(n(context, c) + t(context) *
 p_shorter) / (n(context) + t(context))``, ``t`` the number of distinct
 successors. A character is judged in the longest context in which it was seen
-at all (``MIN_COUNT`` times), so the order varies from place to place.
+at all (``MIN_COUNT`` times), so the order varies from place to place. That choice is
+made once for each of the ``classes ** LONGEST`` (about a million) possible runs, whatever
+the number of URLs: the model is one array of their ratios in one row (8 MB), sent to
+every task, and a URL is scored by adding up entries of it.
 
 *What teaches.* URLs that a rule blocks and those with a word of ``REJECT_WORDS``
 in the host are rejected; those that a rule allows, and those that nothing
 speaks against, are accepted (the background that a rejected URL stands out
-from). Repeated URLs teach once.
+from). Repeated URLs teach once. One in ``HELD_OUT`` (by hash) does not teach.
 
-*Calibration.* The threshold is the score that all but ``MAX_LOSS`` of the
-accepted URLs reach (never above 0, the point of equal likelihood), read off
-exact counts of scores rounded to three places.
+*Calibration.* The threshold is the score that all but ``MAX_LOSS`` of the held-out
+accepted URLs reach (never above 0, the point of equal likelihood), read off exact
+counts of scores rounded to three places.
 
-The table of runs has at most ``classes + ... + classes ** LONGEST`` rows (about
-a million) whatever the number of URLs, and is broadcast. URLs are scored once
-per distinct text, so a hot URL is no hot group.
+URLs are scored once per distinct text, so a hot URL is no hot group.
 """
 
 from __future__ import annotations
@@ -42,6 +42,9 @@ CLASSES = len(ALPHABET) + 2
 LONGEST = 4
 MIN_COUNT = 2
 MAX_LOSS = 0.01
+#: One URL in so many is held out of training; the threshold is read off these.
+HELD_OUT = 5
+BLOCK_TEXTS = 1024
 
 #: Host words of rejected sites (weak labels, for training only).
 REJECT_WORDS = ["casino", "bets", "betting", "poker", "pills", "viagra", "adult", "porn", "xxx", "spam", "malware", "phish", "ads-track", "clickbait", "payday", "warez"]
@@ -86,13 +89,14 @@ def classes_of(text: Column) -> Column:
 def runs_of(text: Column) -> Column:
     """One number per character: its class and those of the ``LONGEST - 1`` before it."""
     pad = F.array(*[F.lit(0)] * (LONGEST - 1))
-    padded = F.concat(pad, classes_of(text))
 
-    def number(i: Column) -> Column:
-        return functools.reduce(lambda acc, k: acc * CLASSES + F.get(padded, i + k), range(1, LONGEST), F.get(padded, i))
+    def numbers(padded: Column) -> Column:
+        number = lambda i: functools.reduce(lambda acc, k: acc * CLASSES + F.get(padded, i + k), range(1, LONGEST), F.get(padded, i))
+        # sequence(0, -1) would count downwards
+        return F.when(F.size(padded) < LONGEST, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(padded) - LONGEST, F.lit(0))), number))
 
-    # sequence(0, -1) would count downwards
-    return F.when(F.size(padded) < LONGEST, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(padded) - LONGEST, F.lit(0))), number))
+    # a variable of a lambda is computed once; a column in one, again for every element
+    return F.get(F.transform(F.array(F.concat(pad, classes_of(text))), numbers), 0)
 
 
 def train(labelled: DataFrame) -> DataFrame:
@@ -125,18 +129,33 @@ def train(labelled: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, parts)
 
 
-def score_texts(texts: DataFrame, model: DataFrame) -> DataFrame:
-    """``text, score`` of distinct ``texts(text)``: mean log ratio per character,
-    rounded to six places; 0 for an empty text or one that the models do not know."""
-    places = texts.select("text", F.posexplode(runs_of(F.col("text"))).alias("place", "whole"))
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), (F.col("whole") % CLASSES**k).cast("int").alias("run")) for k in range(1, LONGEST + 1)]))
-    found = places.select("text", "place", orders.alias("at")).select("text", "place", "at.order", "at.run").join(F.broadcast(model), ["order", "run"])
-    best = found.groupBy("text", "place").agg(F.max_by("ratio", "order").alias("ratio"))
-    # decimals: the sum is the same in any order
-    total = best.groupBy("text").agg(F.sum(F.col("ratio").cast("decimal(30,12)")).alias("total"))
-    return texts.join(total, "text", "left").select(
-        "text", F.when(F.length("text") > 0, F.round(F.coalesce(F.col("total").cast("double"), F.lit(0.0)) / F.length("text"), 6)).otherwise(F.lit(0.0)).alias("score")
-    )
+def dense(model: DataFrame) -> DataFrame:
+    """``ratios``: one row with the log ratio of every run of ``LONGEST`` classes, that of the
+    longest end of the run that the models know (0 if they know none)."""
+    every = model.sparkSession.range(CLASSES**LONGEST).select(F.col("id").cast("int").alias("run"))
+    for order in range(LONGEST, 0, -1):
+        own = model.where(F.col("order") == order).select(F.col("run").alias("tail"), F.col("ratio").alias(f"ratio{order}"))
+        every = every.join(own, F.col("run") % CLASSES**order == F.col("tail"), "left").drop("tail")
+    ratio = F.coalesce(*[F.col(f"ratio{k}") for k in range(LONGEST, 0, -1)], F.lit(0.0))
+    rows = F.array_sort(F.collect_list(F.struct("run", ratio.alias("ratio"))))  # a fixed number of rows
+    return every.agg(F.transform(rows, lambda r: r["ratio"]).alias("ratios"))
+
+
+def mean_ratio(text: Column, ratios: Column) -> Column:
+    """Mean log ratio per character, rounded to six places; 0 for an empty text."""
+    total = F.aggregate(runs_of(text), F.lit(0.0), lambda acc, run: acc + F.get(ratios, run))
+    return F.when(F.length(text) > 0, F.round(total / F.length(text), 6)).otherwise(F.lit(0.0))
+
+
+def score_texts(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Distinct ``texts(text, ...)`` with their ``score``.
+
+    Texts are scored in blocks of about ``BLOCK_TEXTS``: a joined row carries its own copy of the
+    model's array, so there is one for a block, not one for a URL."""
+    blocks = max(1, -(-texts.count() // BLOCK_TEXTS))
+    packed = texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(*texts.columns)).alias("urls"))
+    scored = F.transform("urls", lambda x: F.struct(*[x[c].alias(c) for c in texts.columns], mean_ratio(x["text"], F.col("ratios")).alias("score")))
+    return packed.join(F.broadcast(ratios)).select(F.inline(scored))
 
 
 def threshold(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
@@ -146,31 +165,31 @@ def threshold(scored: DataFrame, max_loss: float = MAX_LOSS) -> float:
     return min(0.0, value) if value is not None else 0.0
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, reject_words: list[str] = REJECT_WORDS, whole: bool = False) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str, str]] = RULES, reject_words: list[str] = REJECT_WORDS) -> DataFrame:
     """``id_col, host, path, rule, verdict, score`` of every URL.
 
-    The models learn and score the text of the URL: all of it if ``whole``, else
-    host and path, without scheme, query and fragment. Rules and reject words
-    look at host and path in both cases.
-
     ``verdict`` is the rule's where one fits, else ``block`` if the score is
-    below the threshold. Null URLs and those without ``://`` have an empty host
-    and path and no rule; their score is 0, but a URL without ``://`` has that
-    of its characters if ``whole``. A row per input row (repeats and null ids
+    below the threshold. Rules and reject words look at host and path, the models at the
+    whole URL. Null URLs and those without ``://`` have an empty host and path and no
+    rule; a null URL scores 0. A row per input row (repeats and null ids
     included); other columns are ignored; an empty table gives an empty result.
-    Without rejected URLs all scores favour acceptance, and none is blocked.
+    Without rejected URLs to learn from, none is blocked by its score.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("url"))
+    rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(url, F.lit("")).alias("text"))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", name.alias("rule"), says.alias("says"), (F.col("url") if whole else F.concat("host", "path")).alias("text"))
-    texts = store(rows.groupBy("text").agg(F.any_value("host").alias("host"), F.any_value("says").alias("says")), "urls")
+    rows = rows.select("id", "host", "path", name.alias("rule"), says.alias("says"), "text")
     bad = functools.reduce(lambda acc, w: acc | F.contains(F.col("host"), F.lit(w)), reject_words, F.lit(False))
     accepted = ~(bad | F.coalesce(F.col("says") == "block", F.lit(False)))
-    model = store(train(texts.select("text", accepted.alias("accepted"))), "url-model")
-    scored = store(score_texts(texts.select("text"), model), "url-scores")
-    good = texts.where(accepted).select("text").join(scored, "text")
-    limit = threshold(good)
-    judged = rows.join(scored, "text")
+    # dealt out to as many tasks as the shuffle has, however small the table is: the work is in the characters
+    spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.groupBy("text").agg(F.any_value("host").alias("host"), F.any_value("says").alias("says")).repartition(spread, "text")
+    teaches = F.crc32(F.col("text").cast("binary")) % HELD_OUT != 0
+    texts = store(texts.select("text", accepted.alias("accepted"), teaches.alias("teaches")), "urls")
+    learned = texts.where("teaches")
+    ratios = store(dense(train(learned.select("text", "accepted"))), "url-model")
+    scored = store(score_texts(texts, ratios), "url-scores")
+    limit = threshold(scored.where("accepted AND NOT teaches")) if learned.where("NOT accepted").limit(1).count() else float("-inf")
+    judged = rows.join(scored.select("text", "score"), "text")
     verdict = F.coalesce("says", F.when(F.col("score") < limit, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")

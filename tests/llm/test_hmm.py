@@ -108,3 +108,53 @@ def test_odd_rows(spark, monkeypatch):
     assert hmm.score(odd_documents(spark, []), F.lit(False)).count() == 0
     alone = hmm.score(docs, F.lit(True)).collect()
     assert len(alone) == len(ODD) and {r["n_known"] for r in alone} == {0} and all(np.isfinite(r["score"]) for r in alone)
+
+
+def plain_baum_welch(model, texts, shares):
+    """One round over whole texts in one process, a token at a time."""
+    states = len(model.start)
+    starts, moves, emits, likelihood, n = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit), 0.0, 0
+    for classes in texts:
+        alpha, scale = [], []
+        for t, c in enumerate(classes):
+            value = model.emit[c] * (alpha[-1] @ model.move if t else model.start)
+            scale.append(value.sum())
+            alpha.append(value / scale[-1])
+        beta = np.ones(states)
+        for t in range(len(classes) - 1, -1, -1):
+            emits[classes[t]] += alpha[t] * beta
+            if t:
+                later = model.emit[classes[t]] * beta / scale[t]
+                moves += np.outer(alpha[t - 1], later) * model.move
+                beta = model.move @ later
+            else:
+                starts += alpha[0] * beta
+        likelihood, n = likelihood + np.log(scale).sum(), n + len(classes)
+    emit, start, move = emits + hmm.PRIOR * shares[:, None], starts + 0.1, moves + 0.1
+    return start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), likelihood / n
+
+
+def test_a_round_over_partitions_equals_the_plain_one(spark, monkeypatch):
+    """Whole texts, many pieces and blocks: starts only where texts start, moves across all pieces."""
+    monkeypatch.setattr(hmm, "BLOCK_BYTES", 20_000)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{rng.integers(0, 40) + 40 * (j // 90 % 2)}" for j in range(rng.integers(0, 700)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 5 == 0
+    tokens = hmm.tokenize(docs, "doc_id", "text", held)
+    totals = hmm.ClassTotals.of(hmm.word_counts(tokens))
+    model = hmm.seeded(docs, "doc_id", "text", held, totals, 3)
+    got = hmm.baum_welch(tokens, model, totals)
+    from tessera.llm.bytescan import span_hashes
+
+    def classes(text):
+        words = text.encode().split()
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        end = np.cumsum([len(w) for w in words]).astype(np.int64) if words else np.zeros(0, np.int64)
+        hashes = span_hashes(data, np.concatenate([[0], end[:-1]]) if words else end, end)
+        return [*hmm.class_of(hashes).tolist(), hmm.CLASSES]
+
+    start, move, emit, likelihood = plain_baum_welch(model, [classes(t) for i, t in rows if i % 5], totals.shares())
+    assert np.allclose(got.start, start) and np.allclose(got.move, move) and np.allclose(got.emit, emit)
+    assert abs(got.likelihood - likelihood) < 1e-9
+    assert hmm.baum_welch(tokens, got, totals).likelihood > got.likelihood

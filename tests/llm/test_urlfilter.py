@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from tessera.llm import urlfilter as u
@@ -46,63 +47,65 @@ def classes(text):
     return [1 if c in "0123456789" else (u.ALPHABET.index(c) + 2 if c in u.ALPHABET else 0) for c in text.lower()]
 
 
+def teaches(text):
+    return zlib.crc32(text.encode()) % u.HELD_OUT != 0
+
+
 def brute(urls):
-    """Everything again with dictionaries."""
-    parts = [split(x) for x in urls]
-    ruled = [rule(*p) for p in parts]
+    """Labels and scores of the whole URLs, with dictionaries."""
     label = {}
-    for (host, path), (_, says) in zip(parts, ruled, strict=True):
-        bad = any(w in host for w in u.REJECT_WORDS) or says == "block"
-        label[host + path] = not bad
-    count = {True: Counter(), False: Counter()}
+    for url in urls:
+        host, path = split(url)
+        label[url or ""] = not (any(w in host for w in u.REJECT_WORDS) or rule(host, path)[1] == "block")
+    texts = list(label)
+    grams = {g: [Counter() for _ in range(u.LONGEST + 1)] for g in (True, False)}
     for text, good in label.items():
+        if not teaches(text):
+            continue
         c = [0] * (u.LONGEST - 1) + classes(text)
         for i in range(u.LONGEST - 1, len(c)):
             for k in range(1, u.LONGEST + 1):
-                count[good][tuple(c[i - k + 1 : i + 1])] += 1
-    total = {g: defaultdict(int) for g in count}
-    kinds = {g: defaultdict(int) for g in count}
-    for g, table in count.items():
-        for run, n in table.items():
-            total[g][len(run), run[:-1]] += n
-            kinds[g][len(run), run[:-1]] += 1
+                grams[good][k][tuple(c[i - k + 1 : i + 1])] += 1
+    after = {g: [defaultdict(list) for _ in range(u.LONGEST + 1)] for g in grams}
+    for g, sizes in grams.items():
+        for k, found in enumerate(sizes):
+            for run, n in found.items():
+                after[g][k][run[:-1]].append(n)
 
     def p(g, run):
         shorter = p(g, run[1:]) if len(run) > 1 else 1 / u.CLASSES
-        n, t = total[g][len(run), run[:-1]], kinds[g][len(run), run[:-1]]
-        return (count[g][run] + t * shorter) / (n + t) if n else shorter
+        seen = after[g][len(run)].get(run[:-1])
+        return (grams[g][len(run)][run] + len(seen) * shorter) / (sum(seen) + len(seen)) if seen else shorter
 
     scores = {}
-    for host, path in parts:
-        text = host + path
-        c = [0] * (u.LONGEST - 1) + classes(text)
-        s = 0.0
+    for text in texts:
+        c, total = [0] * (u.LONGEST - 1) + classes(text), 0.0
         for i in range(u.LONGEST - 1, len(c)):
             for k in range(u.LONGEST, 0, -1):
                 run = tuple(c[i - k + 1 : i + 1])
-                if count[True][run] + count[False][run] >= u.MIN_COUNT:
-                    a, b = p(True, run), p(False, run)
-                    if a > 0 and b > 0:
-                        s += math.log(a / b)
-                        break
-        scores[text] = s / len(text) if text else 0.0
-    return parts, ruled, label, scores
+                if grams[True][k][run] + grams[False][k][run] >= u.MIN_COUNT and p(True, run) > 0 and p(False, run) > 0:
+                    total += math.log(p(True, run) / p(False, run))
+                    break
+        scores[text] = total / len(text) if text else 0.0
+    return label, scores
 
 
 def check(spark, urls):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: r for r in u.judge_urls(pages).collect()}
-    parts, ruled, label, scores = brute(urls)
-    accepted = sorted(round(scores[t], 3) for t, good in label.items() if good)
+    label, scores = brute(urls)
+    held_out = sorted(round(scores[t], 3) for t, good in label.items() if good and not teaches(t))
     assert len(got) == len(urls)
-    for i, ((host, path), (name, says)) in enumerate(zip(parts, ruled, strict=True)):
+    for i, url in enumerate(urls):
+        host, path = split(url)
+        name, says = rule(host, path)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, name)
-        assert abs(got[i]["score"] - scores[host + path]) < 2e-6, urls[i]
+        assert abs(got[i]["score"] - scores[url or ""]) < 2e-6, url
         if says:
             assert got[i]["verdict"] == says
-        elif scores[host + path] < min(0, accepted[0]) - 0.001:
+        elif scores[url or ""] < min(0, held_out[0]) - 0.001:
             assert got[i]["verdict"] == "block"
-        elif scores[host + path] > 0.001:
+        elif scores[url or ""] > 0.001:
             assert got[i]["verdict"] == "allow"
     return got
 
@@ -135,52 +138,8 @@ def test_one_sided_and_empty_tables(spark):
     assert u.judge_urls(only.limit(0)).count() == 0
 
 
-def brute_whole(urls):
-    """Scores of the whole URLs, with dictionaries."""
-    label = {}
-    for url in urls:
-        host, path = split(url)
-        label[url or ""] = not (any(w in host for w in u.REJECT_WORDS) or rule(host, path)[1] == "block")
-    texts = list(label)
-    grams = {g: [Counter() for _ in range(u.LONGEST + 1)] for g in (True, False)}
-    for text, good in label.items():
-        c = [0] * (u.LONGEST - 1) + classes(text)
-        for i in range(u.LONGEST - 1, len(c)):
-            for k in range(1, u.LONGEST + 1):
-                grams[good][k][tuple(c[i - k + 1 : i + 1])] += 1
-    after = {g: [defaultdict(list) for _ in range(u.LONGEST + 1)] for g in grams}
-    for g, sizes in grams.items():
-        for k, found in enumerate(sizes):
-            for run, n in found.items():
-                after[g][k][run[:-1]].append(n)
-
-    def p(g, run):
-        shorter = p(g, run[1:]) if len(run) > 1 else 1 / u.CLASSES
-        seen = after[g][len(run)].get(run[:-1])
-        return (grams[g][len(run)][run] + len(seen) * shorter) / (sum(seen) + len(seen)) if seen else shorter
-
-    scores = {}
-    for text in texts:
-        c, total = [0] * (u.LONGEST - 1) + classes(text), 0.0
-        for i in range(u.LONGEST - 1, len(c)):
-            for k in range(u.LONGEST, 0, -1):
-                run = tuple(c[i - k + 1 : i + 1])
-                if grams[True][k][run] + grams[False][k][run] >= u.MIN_COUNT and p(True, run) > 0 and p(False, run) > 0:
-                    total += math.log(p(True, run) / p(False, run))
-                    break
-        scores[text] = total / len(text) if text else 0.0
-    return scores
-
-
 def test_whole_urls_equal_brute_force(spark):
-    urls = URLS * 2 + ["http://a.com/x?free=pills#win", "http://a.com/x?page=2", "free-casino-pills"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r for r in u.judge_urls(pages, whole=True).collect()}
-    scores = brute_whole(urls)
-    assert len(got) == len(urls)
-    for i, url in enumerate(urls):
-        assert (got[i]["host"], got[i]["path"]) == split(url) and got[i]["rule"] == rule(*split(url))[0]
-        assert abs(got[i]["score"] - scores[url or ""]) < 2e-6, url
+    check(spark, URLS * 2 + ["http://a.com/x?free=pills#win", "http://a.com/x?page=2", "free-casino-pills"])
 
 
 def test_the_query_sees_query_fragment_and_texts_without_scheme(spark, tmp_path):
