@@ -328,6 +328,11 @@ SQL: dict[str, str] = {
     "semantic_entropy": w(CORPUS, ENTROPY)
     + "SELECT c.lang, c.idx, round(coalesce(e.semantic_entropy, 0.0), 6) AS semantic_entropy FROM corpus c LEFT JOIN entropy e USING (idx)",
     # joins / stage 3
+    "bucketed_lookups": w(CORPUS, VECTORS, NER, SELECTED_ARTICLES, QUALITY, CLEAN)
+    + """SELECT 'selected' AS lookup, lang, idx, title FROM selected_articles
+      UNION ALL SELECT 'members', lang, idx, title FROM m
+      UNION ALL SELECT 'pooled', clean.lang_code, clean.idx, clean.title FROM clean
+        JOIN members mb ON mb.lang = clean.lang_code AND mb.idx = clean.idx WHERE mb.cluster_id < 3""",
     "cluster_members": w(CORPUS, VECTORS, QUALITY) + "SELECT lang, cluster_id, idx, title FROM m",
     "knn_avg_distance": w(CORPUS, VECTORS, QUALITY)
     + "SELECT lang, cluster_id, idx, round(avg_distance, 6) AS avg_distance, group_size FROM dist",

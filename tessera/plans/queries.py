@@ -206,6 +206,18 @@ def q_selected_articles_pos(spark, sf):
     return selected_articles(placed, _corpus(spark, sf)).select("lang", "idx", "pos", "title")
 
 
+def q_bucketed_lookups(spark, sf):
+    """J1, J2 and J3 over a corpus that is written once by their key and not moved by any of them."""
+    from ..sources.corpus import bucket_corpus
+    from .quality_selection import cluster_members
+
+    corpus = bucket_corpus(_corpus(spark, sf))
+    selected = selected_articles(_ner(spark, sf).where("selected"), corpus).select(F.lit("selected").alias("lookup"), "lang", "idx", "title")
+    members = cluster_members(_given_members(spark, sf), corpus).select(F.lit("members").alias("lookup"), "lang", "idx", "title")
+    pooled = pool_articles(_given_members(spark, sf).where("cluster_id < 3"), corpus).select(F.lit("pooled").alias("lookup"), F.col("lang_code").alias("lang"), "idx", "title")
+    return selected.unionByName(members).unionByName(pooled)
+
+
 def q_embed_prompt(spark, sf):
     from ..functions.text import embed_prompt
 

@@ -7,13 +7,15 @@ the stable row identity given by the source (never generated).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CHUNK_ROWS
 from ..functions.text import derived_title
 from ..operators.ranking import group_positions
-from ..session import table_path
+from ..session import ensure_checkpoint_dir, table_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,26 @@ def load_corpus(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFr
     return corpus_from_documents(ensure_parallelism(documents) if spread else documents)
 
 
+def bucket_corpus(corpus: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The corpus written once as a table bucketed by ``(lang, idx)``, the key of all lookups.
+
+    Lookups by selection, members and top clusters (and of the texts for entropy) then move
+    only their narrow side; the corpus stays where it is. ``buckets`` (by default the
+    session's shuffle partitions; fewer than those and the planner shuffles after all)
+    is one file each, below the checkpoint folder, deleted when the driver ends.
+    """
+    spark = corpus.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tessera_corpus_{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    # dealt out as the buckets are, so a task writes its bucket and no other
+    rows = corpus.repartition(n, "lang", "idx")
+    rows.write.format("parquet").bucketBy(n, "lang", "idx").sortBy("lang", "idx").option("path", folder).saveAsTable(name)
+    return spark.table(name)
+
+
 def corpus_counts(corpus: DataFrame) -> DataFrame:
     """Rows per language (partial aggregation, one tiny shuffle)."""
     return corpus.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -3,6 +3,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.sources.corpus import corpus_slice
 from tessera.sources.files import (
@@ -159,3 +160,34 @@ def test_json_arrays_round_trip(spark, tmp_path):
     assert sorted(os.listdir(out), key=str)[-1] != "_pieces"
     assert split_json_array(spark, f"{out}/en.json").count() == 50
     assert write_json_arrays(spark.createDataFrame([], "lang string, idx long"), str(tmp_path / "none"), "lang", ["idx"]) == []
+
+
+def test_bucketed_corpus_stays_where_it_is(spark, capsys):
+    """Lookups by (lang, idx) exchange their narrow side only."""
+    from tessera.plans.multi_lang import pool_articles
+    from tessera.plans.quality_selection import cluster_members
+    from tessera.plans.single_lang import selected_articles
+    from tessera.sources.corpus import bucket_corpus
+
+    rows = [(["en", "de", None][i % 3], i, f"T{i}", f"Text number {i} of some length") for i in range(300)]
+    corpus = spark.createDataFrame(rows, "lang string, idx bigint, title string, text string")
+    fixed = bucket_corpus(corpus)
+    keys = spark.createDataFrame([("en", i, "t", 0) for i in range(0, 300, 3)] + [("de", 1, "t", 0), (None, 2, "t", 0)], "lang string, idx bigint, title string, cluster_id int")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lookups = {
+            "J1": lambda c: selected_articles(keys.select(F.col("lang").alias("lang_code"), F.col("idx").alias("index")), c),
+            "J2": lambda c: cluster_members(keys, c),
+            "J3": lambda c: pool_articles(keys, c),
+            "texts": lambda c: keys.join(c.select("lang", "idx", "text"), ["lang", "idx"]),
+        }
+        for name, look in lookups.items():
+            assert sorted(map(str, look(fixed).collect())) == sorted(map(str, look(corpus).collect())), name
+            look(fixed).explain()
+            plan = capsys.readouterr().out
+            # one exchange, that of the narrow side, and it does not stand above the corpus
+            assert "Bucketed: true" in plan and plan.count("Exchange ") == 1, name
+            assert "tessera_corpus_" not in plan[plan.index("Exchange ") :].split("Scan ExistingRDD")[0], name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
