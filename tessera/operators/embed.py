@@ -92,6 +92,38 @@ def l2_normalize_rows(m: np.ndarray, eps: float = 1e-12) -> np.ndarray:
     return m / np.maximum(norms, eps)
 
 
+class BudgetedEmbedder:
+    """An embedder that sees its texts in batches of like length under a token budget.
+
+    A batch is padded to its longest text, so it costs (texts x longest); texts are sorted by
+    length and a batch is filled while that stays within ``budget`` (a longer text is
+    a batch of its own). Vectors come back in the order of the texts. ``tokens`` counts a
+    text's tokens (white-space words by default; a model gives its tokenizer's count).
+    """
+
+    def __init__(self, embedder, budget: int, tokens=None) -> None:
+        self.embedder, self.budget, self._tokens = embedder, budget, tokens or (lambda t: len((t or "").split()))
+
+    @property
+    def dim(self):
+        return self.embedder.dim
+
+    def encode(self, texts: Sequence[str | None]) -> np.ndarray:
+        size = np.array([max(1, self._tokens(t)) for t in texts], dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        out, at = None, 0
+        while at < len(order):
+            # lengths ascend, so the cost of a batch ending at j is (j - at + 1) * size[j]
+            cost = size[order[at:]] * np.arange(1, len(order) - at + 1)
+            end = at + max(1, int(np.searchsorted(cost, self.budget, side="right")))
+            part = order[at:end]
+            got = np.asarray(self.embedder.encode([texts[i] for i in part]))
+            if out is None:
+                out = np.empty((len(texts), got.shape[1]), dtype=got.dtype)
+            out[part], at = got, end
+        return out if out is not None else np.asarray(self.embedder.encode([]))
+
+
 def embed_column(text: Column | str, embedder=None, normalize: bool = False) -> Column:
     """Column expression: embedding of ``text`` as ``array<double>``."""
     emb = embedder or HashingEmbedder()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..constants import KNN_K, TOP_CLUSTER_FRACTION, TOP_TEXTS_PER_CLUSTER
 from ..functions.text import is_blank
 from ..operators.embed import embed_texts
-from ..operators.entropy import semantic_entropy_column
+from ..operators.entropy import LONG_DOCUMENT, long_document_entropy, semantic_entropy_column
 from ..operators.knn import knn_mean_distance
 from ..operators.quality import cluster_scores, density_mask, split_top_fraction, top_texts
 from ..operators.ranking import join_groups
@@ -75,7 +75,14 @@ class QualityResult:
         """Kept members with the entropy of their text; inference runs once, here."""
         kept = cut_lineage(self.members.where("kept"))
         texts = kept.join(self._corpus.select("lang", "idx", "text"), ["lang", "idx"])
-        return cut_lineage(texts.withColumn("semantic_entropy", semantic_entropy_column("text", self._embedder)).drop("text"))
+        scored = cut_lineage(texts.withColumn("semantic_entropy", semantic_entropy_column("text", self._embedder, LONG_DOCUMENT)).drop("text"))
+        # documents too long for one task, if there are any
+        long = scored.where(F.col("semantic_entropy").isNull())
+        if not long.limit(1).count():
+            return scored
+        once = long.select("lang", "idx").distinct().join(self._corpus.select("lang", "idx", "text"), ["lang", "idx"])
+        rest = long.drop("semantic_entropy").join(long_document_entropy(once, ["lang", "idx"], "text", self._embedder), ["lang", "idx"])
+        return cut_lineage(scored.where(F.col("semantic_entropy").isNotNull()).unionByName(rest))
 
     @cached_property
     def top(self) -> DataFrame:
