@@ -9,7 +9,7 @@ hits can then be cut out, or the documents dropped.
 Normalised: A-Z lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
 The broadcast is bounded: the benchmark goes out in blocks of at most
-``BLOCK_BYTES`` of text, and the documents pass through one scan per block, so
+``BLOCK_BYTES`` of distinct texts and their ids (or one text), and the documents pass through one scan per block, so
 a benchmark of any size is covered without a larger broadcast.
 """
 
@@ -33,7 +33,7 @@ _BITS = 22
 class WindowSet:
     """Windows of a block of benchmark items, by size and hash."""
 
-    def __init__(self, ids: list[str | None], texts: list[bytes], window: int = WINDOW) -> None:
+    def __init__(self, ids: list[list[str]], texts: list[bytes], window: int = WINDOW) -> None:
         body = np.frombuffer(b"".join(texts), dtype=np.uint8)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         words = Words(body, at, ALNUM)
@@ -77,16 +77,24 @@ class WindowSet:
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> Iterator[WindowSet]:
     """Window sets of the benchmark, a bounded block of items at a time.
 
-    Rows without text, without words, or without an id still count as windows
-    to remove if they have words; an item without an id has no name to report.
+    Equal texts are one, with all their ids, and blocks are dealt finer until none is
+    larger than ``block_bytes`` (or a single text). Rows without text or words have no window;
+    an item without an id has windows to remove but no name to report.
     """
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") > 0)
+    texts = store(rows.groupBy("text").agg(F.array_sort(F.collect_set("id")).alias("ids")), "benchmark")
+    size = F.octet_length("text") + F.coalesce(F.aggregate("ids", F.lit(0), lambda acc, x: acc + F.octet_length(x)), F.lit(0))
+    n = 1
+    while True:
+        block = F.pmod(F.xxhash64("text"), F.lit(n))
+        worst = texts.groupBy(block.alias("b")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).where("n > 1").agg(F.max("bytes")).first()[0]
+        if (worst or 0) <= block_bytes:
+            break
+        n *= 2
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        got = part.where(F.col("text").isNotNull()).collect()
-        yield WindowSet([r["id"] for r in got], [bytes(r["text"]) for r in got])
+        got = texts.where(block == k).collect()
+        if got:
+            yield WindowSet([r["ids"] for r in got], [bytes(r["text"]) for r in got])
 
 
 def scan_documents(
@@ -141,12 +149,11 @@ def scan_documents(
     return rows.withColumnRenamed("id", id_col)
 
 
-def _result(own: pa.RecordBatch, words: Words, hit: np.ndarray, found: list[tuple[int, int]], names: list[str | None], base: np.ndarray) -> pa.RecordBatch:
+def _result(own: pa.RecordBatch, words: Words, hit: np.ndarray, found: list[tuple[int, int]], names: list[list[str]], base: np.ndarray) -> pa.RecordBatch:
     n = own.num_rows
     items: list[set[str]] = [set(x) for x in own.column(2).to_pylist()]
     for word, item in found:
-        if names[item] is not None:
-            items[int(words.doc[word])].add(names[item])
+        items[int(words.doc[word])].update(names[item])
     earlier = own.column(3).to_pylist()
     if any(earlier):  # spans of earlier blocks join those of this one
         hit = hit.copy()

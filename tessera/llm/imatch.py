@@ -19,6 +19,7 @@ terms, one without words by nothing (all hashes zero).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -182,28 +183,39 @@ def fingerprints(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
 def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``bucket, ahead, id, text``: sorted inside each bucket, buckets whole in one partition.
 
-    Bucket bounds are ids of the table, so the first document of every bucket
-    is known by its id; a copy of it (``ahead``) closes the bucket before, and
-    the smallest id closes the last. Every row thus finds its successor in its
-    own partition, with one shuffle of the texts. Rows of equal id are ordered
-    by text, null ids come first.
+    Bucket bounds are rows of the table, the first ones of a range partitioning of its
+    ids and text hashes (no texts move for it), so the first document of every bucket is
+    known; a copy of it (``ahead``) closes the bucket before, and the smallest id closes the
+    last. Every row thus finds its successor in its own partition, with one shuffle of the
+    texts. Ids may be of any type that sorts. Rows of equal id are ordered by the hash of
+    their text, so a repeated or null id is no hot bucket; null ids come first.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).alias("id"))
-    cut = ids.agg(F.percentile_approx("id", [k / n for k in range(n)], 100 * n).alias("q"), F.min("id").alias("least")).first()
-    bounds = sorted({*(cut["q"] or []), *([] if cut["least"] is None else [cut["least"]])})
-    if not bounds:
-        bounds = [0]
-    array = F.lit(bounds)
-    at = F.greatest(F.size(F.filter(array, lambda b: b <= F.col("id"))) - 1, F.lit(0))
-    is_first = F.coalesce(F.array_contains(array, F.col("id")), F.lit(False))
-    before = F.when(at > 0, at - 1).otherwise(F.lit(len(bounds) - 1))
-    own = F.struct(at.alias("bucket"), F.lit(False).alias("ahead"))
-    copy = F.struct(before.alias("bucket"), F.lit(True).alias("ahead"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    dealt = rows.select(F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("at"), "id", "text").select("at.*", "id", "text")
-    return dealt.repartitionById(len(bounds), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "ahead", F.col("id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("h", F.xxhash64("text"))
+    key = F.struct(F.col("id").isNotNull().alias("has"), "id", "h")
+    ranged = rows.select("id", "h").repartitionByRange(n, F.col("id").asc_nulls_first(), "h")
+    bounds = sorted(tuple(r["k"]) for r in ranged.groupBy(F.spark_partition_id()).agg(F.min(key).alias("k")).collect())  # one row a bucket
+    least = next(iter(rows.where(F.col("id").isNotNull()).agg(F.min(key).alias("k")).collect()))["k"]
+    sent = spark.sparkContext.broadcast((bounds, None if least is None else tuple(least)))
+
+    @F.arrow_udf("array<struct<bucket:int, ahead:boolean>>")
+    def places(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        every, smallest = sent.value
+        out = []
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+            own = (i is not None, i, h)
+            at = bisect.bisect_right(every, own) - 1
+            here = [{"bucket": at, "ahead": False}]
+            if at > 0 and every[at] == own:
+                here.append({"bucket": at - 1, "ahead": True})
+            if own == smallest:
+                here.append({"bucket": len(every) - 1, "ahead": True})
+            out.append(here)
+        return pa.array(out, pa.list_(pa.struct([("bucket", pa.int32()), ("ahead", pa.bool_())])))
+
+    dealt = rows.select(F.explode(places("id", "h")).alias("at"), "id", "h", "text").select("at.*", "id", "h", "text")
+    return dealt.repartitionById(max(1, len(bounds)), F.col("bucket")).sortWithinPartitions("bucket", "ahead", F.col("id").asc_nulls_first(), "h", "text")
 
 
 def compared_with_next(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +225,8 @@ def compared_with_next(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id"
     many from the start of the next document by ascending id (the first after
     the last). Columns: ``id_col, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next``. A lone document is its own
-    next; equal ids follow each other by text; null ids come first and the
-    circle closes at the smallest id that is not null.
+    next; equal ids (of any type that sorts) follow each other by the hash of their
+    text; null ids come first and the circle closes at the smallest id that is not null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = schema_with(docs.schema[id_col].dataType, "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -71,3 +71,15 @@ def test_odd_rows_and_empty_tables(spark):
     assert decontam.scan_documents(docs, none).where("n_hit = 0").count() == len(ODD)
     assert decontam.scan_documents(odd_documents(spark, []), bench(spark)).count() == 0
     assert decontam.clean_documents(docs, bench(spark)).columns == docs.columns
+
+
+def test_blocks_are_bounded_and_repeated_texts_are_one(spark):
+    same = "one two three four five six seven eight nine ten eleven"
+    rows = [(f"r{i}", same) for i in range(500)] + [(f"u{i}", f"item {i} " + " ".join(f"w{i}x{j}" for j in range(12))) for i in range(60)] + [(None, same), ("e", ""), ("n", None)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    blocks = list(decontam.benchmark_blocks(bench, "item_id", "text", block_bytes=1500))
+    assert len(blocks) > 2 and sum(len(b.items) for b in blocks) == 61
+    assert max(len(ids) for b in blocks for ids in b.items) == 500
+    docs = spark.createDataFrame([(1, f"so {same} and w3x0"), (2, " ".join(f"w7x{j}" for j in range(12)))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["n_hit"]) for r in decontam.scan_documents(docs, bench, block_bytes=1500).collect()}
+    assert got == {1: (sorted(f"r{i}" for i in range(500)), 11), 2: (["u7"], 12)}

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import imatch
 from tests.llm.helpers import ODD, alnum_words, odd_documents, with_clashing_columns
@@ -86,3 +87,43 @@ def test_small_tables(spark):
     alone = odd_documents(spark, [(3, "alone in the world", "en", "a", 1)])
     row = imatch.compared_with_next(alone, imatch.build_lexicon(alone)).collect()
     assert len(row) == 1 and row[0]["near_next"] == 1.0
+
+
+def test_string_ids_null_ids_and_repeated_ids(spark):
+    """Any id that sorts; nulls and repeats spread over buckets and still follow each other."""
+    texts = [f"text number {i} about thing {i % 7} and word{i * 31 % 97}" for i in range(120)]
+    rows = [(None if i % 3 == 0 else "same" if i % 3 == 1 else f"id{i:03d}", t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    lexicon = imatch.build_lexicon(docs)
+    seen = None
+    for n in ("1", "6"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sorted((tuple(r) for r in imatch.compared_with_next(docs, lexicon).collect()), key=str)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        seen = seen or got
+        assert got == seen and len(got) == 120
+    hashed = [(r["doc_id"], r["text"]) for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64(F.col("text").cast("binary"))).collect()]
+    start = next(i for i, (k, _) in enumerate(hashed) if k is not None)
+    following = [t for _, t in hashed[1:]] + [hashed[start][1]]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + f[: len(t) // 4]).encode()).hexdigest() for (_, t), f in zip(hashed, following, strict=True))
+    assert sorted(r[2] for r in seen) == want
+
+
+def plain_terms(text, lexicon):
+    raw = " ".join(sorted(set(alnum_words(text)))).encode()
+    value, _ = imatch.distinct_terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return set(value[lexicon.holds(value)].tolist())
+
+
+def test_fingerprints_are_functions_of_the_kept_terms(spark):
+    """A text has the fingerprint of its terms inside the band, whatever else it says and in whatever order."""
+    docs = spark.read.parquet(DOCS)
+    lexicon = imatch.build_lexicon(docs)
+    texts = [r[0] for r in docs.select("text").limit(60).collect() if r[0]]
+    prints = {}
+    for text in texts:
+        own = one(text, lexicon)[0].tobytes()
+        assert one(" ".join(reversed(alnum_words(text))), lexicon)[0].tobytes() == own
+        prints.setdefault(frozenset(plain_terms(text, lexicon)), set()).add(own)
+    assert all(len(p) == 1 for p in prints.values()) and len(prints) > 30
