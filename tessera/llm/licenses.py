@@ -1,7 +1,8 @@
 """Licence scan by ordered signature rules.
 
-Per text: an Aho-Corasick pass over the keywords of all rules tells which rules
-can match at all; only those regular expressions run, on the normalised text.
+Per text: an Aho-Corasick pass over the keywords of all rules, and over the words that
+their patterns cannot do without (a licence's own name before all), tells which
+rules can match at all; only those regular expressions run, on the normalised text.
 Their detections are ordered by priority, then length, then place, and one
 that lies inside the word interval of a better one is suppressed (so "GNU Lesser
 General Public License" is not also the plain one). Independently, the
@@ -13,6 +14,7 @@ from __future__ import annotations
 import bisect
 import functools
 from collections.abc import Iterator
+from re import _parser
 
 import ahocorasick
 import pyarrow as pa
@@ -27,26 +29,66 @@ from tessera.llm.scratch import map_batches, schema_with
 #: Base phrases and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
+#: Word parts shorter than this are in too many texts to tell anything.
+SHORTEST = 3
+
 FOUND = "n_words long, base array<struct<label:string,first:long>>, detections array<struct<rule:string,label:string,confidence:double,first:long,last:long>>"
 
 
+def needed(pattern: str) -> list[frozenset[str]]:
+    """Sets of word parts, one of each of which is in every match of a pattern."""
+
+    def sets(tree) -> list[frozenset[str]]:  # noqa: ANN001
+        out, run = [], ""
+        for kind, arg in [*((str(k), a) for k, a in tree), ("END", None)]:
+            if kind == "LITERAL" and (chr(arg).isascii() and chr(arg).isalnum()):
+                run += chr(arg)
+                continue
+            before, run = run, ""
+            if before:
+                out.append(frozenset([before]))
+            if kind == "BRANCH":
+                # the parser takes a common start out of the ways: it belongs to each of them
+                ways = [best([*(("LITERAL", ord(c)) for c in before), *x]) for x in arg[1]]
+                if all(ways):
+                    out.append(frozenset().union(*ways))
+            elif kind == "SUBPATTERN":
+                out += sets(arg[3])
+            elif kind in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                out += sets(arg[2])
+        return out
+
+    def best(tree) -> frozenset[str]:  # noqa: ANN001
+        return max(sets(tree), key=lambda c: min(map(len, c)), default=frozenset())
+
+    return [c for c in sets(_parser.parse(pattern)) if min(map(len, c)) >= SHORTEST]
+
+
 class Scanner:
     """Rules compiled once per worker, by keyword."""
 
     def __init__(self, every: list[Rule]) -> None:
         self.rules = every
+        self.needed = [needed(r.pattern) for r in every]
         self.patterns = [regex.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in every]
         self.by_keyword: dict[str, list[int]] = {}
         for k, r in enumerate(every):
             self.by_keyword.setdefault(r.keyword, []).append(k)
+        self.last_words = {p.split()[-1] for p, _ in BASE}
         self.gate = ahocorasick.Automaton()
-        for keyword in [*self.by_keyword, *(p.split()[-1] for p, _ in BASE)]:
+        for keyword in {*self.by_keyword, *(p.split()[-1] for p, _ in BASE), *(w for clauses in self.needed for c in clauses for w in c)}:
             self.gate.add_word(keyword, keyword)
         self.gate.make_automaton()
 
     def keywords(self, lowered: str) -> set[str]:
         return {k for _, k in self.gate.iter(lowered)}
 
+    def opens(self, keywords: set[str]) -> bool:
+        """Whether anything can be found: the last word of a base phrase is there, or all that some rule needs."""
+        if not keywords.isdisjoint(self.last_words):
+            return True
+        return any(not any(c.isdisjoint(keywords) for c in self.needed[k]) for key in keywords & self.by_keyword.keys() for k in self.by_keyword[key])
+
     @staticmethod
     def spaces(text: str) -> list[int]:
         """Places of the spaces: the number before a place is the number of its word."""
@@ -68,6 +110,8 @@ class Scanner:
         out = []
         for keyword in sorted(keywords & self.by_keyword.keys()):
             for k in self.by_keyword[keyword]:
+                if any(c.isdisjoint(keywords) for c in self.needed[k]):
+                    continue
                 out += [(k, bisect.bisect_left(spaces, m.start()), bisect.bisect_left(spaces, m.end() - 1)) for m in self.patterns[k].finditer(text)]
         return out
 
@@ -123,7 +167,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 detections: list[list[dict]] = []
                 for k in range(j - i):
                     keywords = own.keywords(raw[cut[k] : cut[k + 1]].decode("utf-8", "replace"))
-                    if not keywords:
+                    if not own.opens(keywords):
                         base.append([])
                         detections.append([])
                         continue

@@ -135,3 +135,15 @@ def test_bsd_3_name_without_contributors_and_with_long_names(spark):
     got = {r["doc_id"]: as_tuple(r) for r in licenses.scan(docs).collect()}
     assert got == {i: brute(t) for i, t in enumerate(texts)}
     assert [[name for *_, name in got[i][2]] for i in range(7)] == [["bsd-3-name"]] * 5 + [[]] * 2
+
+
+def test_every_generated_match_holds_what_its_pattern_needs():
+    rng = random.Random(6)
+    for r in rules():
+        clauses, parsed = licenses.needed(r.pattern), _parser.parse(r.pattern)
+        for _ in range(40):
+            text = made_match(parsed, rng)
+            assert all(any(w in text for w in c) for c in clauses), (r.name, text, clauses)
+    names = {r.label: licenses.needed(r.pattern) for r in rules() if r.name.endswith("-title")}
+    assert any("mozilla" in c for c in names["mpl"])
+    assert sum(any(not c & {"licen", "licence", "license"} for c in clauses) for clauses in names.values()) > 0.9 * len(names)
