@@ -95,3 +95,36 @@ def test_nothing_of_a_driver_only_module_is_needed(spark):
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert os.path.exists(os.path.join(os.path.dirname(e.__file__), "corpus_pipeline.py"))
+
+
+def test_texts_that_no_learned_language_explains_are_rejected(spark):
+    """Greek, Italian in capitals without spaces, and noise among the given languages; clean documents stay."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    greek = "".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω    ") for _ in range(600))
+    noise = "".join(chr(rng.choice([*range(33, 127), *range(0x400, 0x460), *range(0x4E00, 0x4F00)])) for _ in range(600))
+    strangers = [(-1, greek, None, "x", 600), (-2, noise, None, "x", 600), (-3, "12345 !!", None, "x", 8), (-4, None, None, "x", None)]
+    docs = spark.createDataFrame(given + strangers, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).select("doc_id").collect()}
+    assert not left & {-1, -2, -3, -4}
+    assert len(left) > 0.97 * len(given)
+
+
+def test_near_copies_do_not_survive_as_scraps(spark):
+    """Most documents that the near-duplicate operator drops from the whole table are gone after both dedup
+    stages; the others have enough words of their own left (their lines differ in more than one word)."""
+    import corpus_pipeline
+    from tessera.llm import neardup
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dropped = {r["doc_id"]: r["text"] for r in docs.join(neardup.drop_near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").collect()}
+    after = corpus_pipeline.near_dedup(spark, corpus_pipeline.store(corpus_pipeline.line_dedup(spark, docs, SF), "test"), SF)
+    kept = {r["doc_id"]: r["text"] for r in after.where("doc_id IS NOT NULL").collect() if r["doc_id"] in dropped}
+    assert len(kept) < 0.5 * len(dropped)
+    for i, text in kept.items():
+        said = own_words([(i, dropped[i])], dropped[i])
+        assert len(black_words(text)) >= linededup.LEAST_LEFT * said
