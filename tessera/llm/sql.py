@@ -84,3 +84,76 @@ SELECT source, lang, tokenizer_version, CAST(sum(n_docs) AS BIGINT) AS n_docs, C
   SELECT source, lang, 'runs-1', CASE WHEN words = 0 OR runs = 0 THEN 0 ELSE 1 END, CASE WHEN words = 0 OR runs = 0 THEN 0 ELSE runs END FROM c
 ) GROUP BY ALL HAVING sum(n_docs) <> 0 OR sum(n) <> 0
 """
+
+#: A path never inserts a turn at these costs (see ``convrepair``), so the recursion has one step a row.
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c
+    FROM range(256) AS r(i))
+),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+),
+hashed AS (
+  SELECT src.*, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), CAST(4294967295 AS UBIGINT)) % 20 AS kind
+  FROM src, crc_table
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM damaged)
+),
+ordered AS (
+  SELECT *, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS fault
+  FROM placed
+),
+moves AS (
+  SELECT * FROM (VALUES ('E', 's', 'S'), ('E', 'u', 'U'), ('S', 'u', 'U'), ('U', 'a', 'A'), ('A', 'u', 'U')) AS m(st, letter, nst)
+),
+edits AS (
+  SELECT st, 'D' AS l, NULL AS letter, st AS nst, 2 AS cost FROM (VALUES ('E'), ('S'), ('U'), ('A')) AS s(st)
+  UNION ALL SELECT st, 'K', letter, nst, 0 FROM moves
+  UNION ALL SELECT st, 'R', NULL, nst, 1 FROM moves WHERE letter <> 's'
+),
+dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 'E' AS st, {'c': 0, 'a': ''} AS best FROM ordered
+  UNION ALL
+  SELECT o.conv_id, o.pos, e.nst, min({'c': d.best.c + e.cost + CASE WHEN e.l <> 'D' AND o.fault = 't' THEN 5 ELSE 0 END, 'a': d.best.a || e.l})
+  FROM dp d JOIN ordered o ON o.conv_id IS NOT DISTINCT FROM d.conv_id AND o.pos = d.pos + 1
+  JOIN edits e ON e.st = d.st AND (e.l = 'D' OR o.fault NOT IN ('b', 'd') AND (e.l = 'R' OR e.letter = o.letter))
+  GROUP BY o.conv_id, o.pos, e.nst
+),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(CAST(turn AS HUGEINT)) - min(CAST(turn AS HUGEINT)) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM ordered GROUP BY conv_id
+),
+solved AS (
+  SELECT c.conv_id, min(d.best) AS best FROM counted c JOIN dp d ON d.conv_id IS NOT DISTINCT FROM c.conv_id AND d.pos = c.n AND d.st IN ('E', 'A') GROUP BY c.conv_id
+),
+edited AS (
+  SELECT o.conv_id, o.pos, o.role, o.text, substr(s.best.a, o.pos, 1) AS l, o.letter
+  FROM ordered o JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+),
+numbered AS (
+  SELECT *, row_number() OVER w - CAST(first_value(letter = 's' AND l = 'K') OVER w AS INTEGER) AS j FROM edited WHERE l <> 'D' WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+),
+texts AS (
+  SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN j % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS body FROM numbered GROUP BY conv_id
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(s.best.c, 0) AS BIGINT) AS cost, coalesce(s.best.a, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
