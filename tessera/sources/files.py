@@ -111,6 +111,8 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 #: Where a scan stands in a JSON text: outside of strings, inside one, inside one behind a backslash.
 OUTSIDE, INSIDE, ESCAPED = range(3)
+#: Bytes that are scanned at once.
+SCAN_BYTES = 1 << 20
 
 
 class _Scan:
@@ -149,15 +151,19 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
-    """``(file, start, bytes)`` of the rows of one byte range in a batch, each piece followed by its ``}``."""
+    """``(file, start, bytes)`` of the rows of one byte range, each piece followed by its ``}``; at most
+    ``SCAN_BYTES`` at a time, as a scan holds many numbers for each byte."""
     for batch in batches:
-        files, starts, values = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+        files, starts, values = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2)
         i = 0
         while i < len(files):
-            j = i
-            while j < len(files) and files[j] == files[i] and starts[j] == starts[i]:
-                j += 1
-            yield files[i], int(starts[i]), np.frombuffer("".join(f"{v}}}" for v in values[i:j]).encode(), dtype=np.uint8)
+            j, held, size = i, [], 0
+            while j < len(files) and files[j] == files[i] and starts[j] == starts[i] and size < SCAN_BYTES:
+                held.append(values[j].as_py().encode() + b"}")
+                j, size = j + 1, size + len(held[-1])
+            data = np.frombuffer(b"".join(held), dtype=np.uint8)
+            for at in range(0, len(data), SCAN_BYTES):
+                yield files[i], int(starts[i]), data[at : at + SCAN_BYTES]
             i = j
 
 

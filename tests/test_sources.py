@@ -1,3 +1,4 @@
+import numpy as np
 import json
 import os
 import tempfile
@@ -191,3 +192,24 @@ def test_bucketed_corpus_stays_where_it_is(spark, capsys):
             assert "tessera_corpus_" not in plan[plan.index("Exchange ") :].split("Scan ExistingRDD")[0], name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_byte_ranges_are_scanned_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.sources import files
+
+    monkeypatch.setattr(files, "SCAN_BYTES", 7)
+    values = ['[{"a": "x', '\\\\"y"', ', {"a": "' + "é[" * 20 + '"']
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 3), pa.array([0] * 3), pa.array(values)], names=["file", "start", "value"])
+    got = list(files._ranges_of(iter([batch])))
+    assert max(len(data) for _, _, data in got) <= 7
+    text = "".join(v + "}" for v in values).encode()
+    assert b"".join(data.tobytes() for _, _, data in got) == text
+    whole = files._Scan(np.frombuffer(text, dtype=np.uint8), files.OUTSIDE)
+    state, depth, at, cuts = files.OUTSIDE, 0, 0, []
+    for _, _, data in got:
+        scan = files._Scan(data, state)
+        cuts += (scan.cuts(depth) + at).tolist()
+        state, depth, at = scan.end, depth + scan.fall, at + len(data)
+    assert (state, depth, cuts) == (whole.end, whole.fall, whole.cuts(0).tolist())
