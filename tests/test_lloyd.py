@@ -128,3 +128,21 @@ def test_tree_has_every_cluster_and_bounded_cells(spark, monkeypatch):
     again = tree_kmeans(df.repartition(3), "g", "vec", ks, max_cell=60).toPandas()
     key = lambda t: {(str(g), i): c for g, i, c in zip(t["g"], t["idx"], t["cluster_id"], strict=True)}
     assert key(out) == key(again)
+
+
+def test_seeding_by_cells_and_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(lloyd, "SEED_CELL", 60)
+    monkeypatch.setattr(lloyd, "MAX_GROUPS", 6)
+    x = blobs(10, 600, centres=30, spread=0.3)
+    cells = lloyd.seed_cells(x, 150, 1)
+    assert len(cells) > 3 and max(len(rows) for rows, _ in cells) <= 60 and sum(n for _, n in cells) == 150
+    assert all(1 <= n <= len(rows) for rows, n in cells)
+    assert sorted(np.concatenate([rows for rows, _ in cells]).tolist()) == list(range(600))
+    assert lloyd.seed_cells(np.zeros((200, 3)), 2, 1)[0][1] == 2  # fewer than the cells: one cell
+    df = table(spark, {"a": x})
+    _, seeds = fit_predict_groups(df, "g", "vec", {"a": 150}, max_iter=0)
+    assert len(np.unique(seeds["a"].centres, axis=0)) == 150
+    assert lloyd.centre_groups(seeds["a"].centres).max() + 1 <= 6
+    _, fits = fit_predict_groups(df, "g", "vec", {"a": 150}, max_iter=30)
+    want, _ = plain_lloyd(x, np.ones(len(x)), seeds["a"].centres, 30, 1e-4)
+    assert np.allclose(fits["a"].centres, want, atol=1e-9)
