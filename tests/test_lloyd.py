@@ -146,3 +146,35 @@ def test_seeding_by_cells_and_bounded_groups(spark, monkeypatch):
     _, fits = fit_predict_groups(df, "g", "vec", {"a": 150}, max_iter=30)
     want, _ = plain_lloyd(x, np.ones(len(x)), seeds["a"].centres, 30, 1e-4)
     assert np.allclose(fits["a"].centres, want, atol=1e-9)
+
+
+def test_blocks_between_steps_take_no_executor_memory(spark, monkeypatch):
+    monkeypatch.setattr(lloyd, "BLOCK_ROWS", 64)
+    levels, columns, settle = [], set(), lloyd._Steps.settle
+
+    def recorded(self):
+        if self._turn % lloyd.CUT_EVERY:
+            levels.append(self.table.storageLevel)
+        columns.update(self.table.columns)
+        settle(self)
+
+    monkeypatch.setattr(lloyd._Steps, "settle", recorded)
+    _, fits = fit_predict_groups(table(spark, {"a": blobs(11, 500)}), "g", "vec", {"a": 30}, max_iter=12)
+    assert len(levels) > 8 and all(x.useDisk and not x.useMemory and not x.useOffHeap for x in levels)
+    assert not {"ids", "sums"} & columns  # as large as the vectors, and derived from them and the labels
+    assert 0 <= fits["a"].skipped[-1] <= 1
+
+
+def test_blocks_come_in_bounded_batches_in_any_session(spark):
+    from tessera.session import BATCH_SETTING, map_arrow
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([[b.num_rows]], names=["n"])
+
+    other = spark.newSession()
+    other.conf.unset(BATCH_SETTING)
+    blocks = other.range(0, 24, 1, 1).select(F.expr("cast(repeat('x', 1000000) as binary)").alias("x"))
+    assert max(r["n"] for r in map_arrow(blocks, sizes, "n long").collect()) <= 5
+    other.conf.set(BATCH_SETTING, "16m")  # a bound of its own is kept
+    assert max(r["n"] for r in map_arrow(blocks, sizes, "n long").collect()) > 5
