@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs(a, b)`` whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     sets = store(_sets(docs, ids, id_col, text_col), "shingles")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
@@ -304,7 +304,8 @@ def _links_across(members: DataFrame, label: DataFrame | None, reps: DataFrame,
     near = (F.col("l.component") != F.col("r.component")) & (equal_share(F.col("l.sig"), F.col("r.sig")) >= least)
     before = F.exists(F.zip_with(F.slice("l.keys", 1, F.col("l.band")), F.slice("r.keys", 1, F.col("r.band")), lambda x, y: x == y), lambda e: e)
     open_ = store(left.join(right, [*at, near, ~before], "left_semi").select("key", "lo", "hi", "id", "component"), "open-members")
-    sets = store(_sets(docs, open_.select("id").distinct(), id_col, text_col), "open-sets")
+    ids = store(open_.select("id").distinct(), "open-ids")
+    sets = store(_sets(docs, ids, id_col, text_col), "open-sets")
     grouped = open_.join(sets, "id").select("key", "lo", "hi", "id", "component", "shingles").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
     kind = docs.schema[id_col].dataType
     return map_batches(grouped, _compare_groups, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).distinct()
