@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +180,16 @@ def test_blocks_come_in_bounded_batches_in_any_session(spark):
     assert max(r["n"] for r in map_arrow(blocks, sizes, "n long").collect()) <= 5
     other.conf.set(BATCH_SETTING, "16m")  # a bound of its own is kept
     assert max(r["n"] for r in map_arrow(blocks, sizes, "n long").collect()) > 5
+
+
+def test_a_round_takes_about_k_candidates():
+    rng = np.random.default_rng(12)
+    n, k = 20_000, 300
+    d2, w = rng.exponential(size=n), rng.integers(1, 4, n).astype(float)
+    d2[:7] = 0.0  # candidates already
+    block = lloyd._row({"fit": 0, "blk": 0}, {"x": np.arange(n, dtype=float), "w": w, "u": rng.random(n), "d2": d2, "near": np.zeros(n, dtype=np.int32)})
+    for turn in (1, 2, 3):
+        (got,) = lloyd._taken(SimpleNamespace(value={0: k / (w * d2).sum()}), turn, 42)([block])
+        taken = np.frombuffer(got.column("v")[0].as_py()).astype(int)
+        assert abs(len(taken) - k) < 5 * np.sqrt(k) and taken.min() >= 7
+        assert (w * d2)[taken].mean() > 1.5 * (w * d2).mean()
