@@ -193,3 +193,41 @@ def test_a_round_takes_about_k_candidates():
         taken = np.frombuffer(got.column("v")[0].as_py()).astype(int)
         assert abs(len(taken) - k) < 5 * np.sqrt(k) and taken.min() >= 7
         assert (w * d2)[taken].mean() > 1.5 * (w * d2).mean()
+
+
+def test_the_driver_holds_a_piece_of_the_centres_at_a_time(spark, monkeypatch):
+    from tessera.operators import pieces
+
+    monkeypatch.setattr(lloyd, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(lloyd, "SEED_CELL", 100)
+    monkeypatch.setattr(lloyd, "PART", 4)
+    df = table(spark, {"a": blobs(13, 500), "b": blobs(14, 300)})
+    ks = {"a": 90, "b": 40}
+    named = lambda out: {(r["g"], r["idx"]): r["cluster_id"] for r in out.collect()}
+
+    def fitted(init):
+        out, fits = fit_predict_groups(df, "g", "vec", ks, max_iter=3, init=init)
+        return named(out), fits
+
+    whole = {init: fitted(init) for init in ("k-means||", "random")}
+    monkeypatch.setattr(pieces, "PIECE_BYTES", 20 * 6 * 8)
+    held, sent = [], pieces.Pieces.flush
+
+    def flush(self):
+        held.append(sum(len(x) for _, x in self._open))
+        return sent(self)
+
+    monkeypatch.setattr(pieces.Pieces, "flush", flush)
+    for init, (labels, fits) in whole.items():
+        own, cut = fitted(init)
+        assert own == labels
+        for g, k in ks.items():
+            assert np.array_equal(cut[g].centres, fits[g].centres) and cut[g].iterations == fits[g].iterations and cut[g].k == k
+            assert len([first for first, _ in cut[g].pieces.each(cut[g].number)]) >= k // 20
+    # a block of candidates or a part of the clusters may come on top
+    assert max(held) < 2 * 20 + 64 and sum(held) > 500
+    spread = cut["a"].table(spark)
+    rows = sorted(spread.collect())
+    assert [r[0] for r in rows] == list(range(90)) and np.array_equal(np.array([r[1] for r in rows]), cut["a"].centres)
+    other = cut["a"].replaced(spread.where("cluster_id % 2 = 1").select("cluster_id", F.transform("centroid", lambda v: v + 1).alias("centroid")))
+    assert np.array_equal(other.centres, cut["a"].centres + (np.arange(90) % 2)[:, None])
