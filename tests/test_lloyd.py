@@ -1,3 +1,4 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
@@ -231,3 +232,15 @@ def test_the_driver_holds_a_piece_of_the_centres_at_a_time(spark, monkeypatch):
     assert [r[0] for r in rows] == list(range(90)) and np.array_equal(np.array([r[1] for r in rows]), cut["a"].centres)
     other = cut["a"].replaced(spread.where("cluster_id % 2 = 1").select("cluster_id", F.transform("centroid", lambda v: v + 1).alias("centroid")))
     assert np.array_equal(other.centres, cut["a"].centres + (np.arange(90) % 2)[:, None])
+
+
+def test_written_blocks_are_dropped_when_later_ones_are_there(spark, monkeypatch):
+    from tessera.session import ensure_checkpoint_dir
+
+    monkeypatch.setattr(lloyd, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(lloyd, "CUT_EVERY", 2)
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    _, fits = fit_predict_groups(table(spark, {"a": blobs(15, 400)}), "g", "vec", {"a": 20}, max_iter=7)
+    assert fits["a"].iterations > 4
+    assert len(set(folder.glob("table-*")) - before) <= 2  # the distinct vectors and their blocks
